@@ -39,3 +39,18 @@ hit AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max
 SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.verdict, CASE WHEN h3.lower > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND hit.host = p.host AND hit.path = p.path JOIN h3 ON h3.host = p.host
 """
+
+ORACLE["op6_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, source_size * 3 AS cap, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
+t AS (SELECT source, source_size, least(cap::DOUBLE, max(lev) OVER () * weight) AS target FROM lv),
+b AS (SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS epochs, round(target)::BIGINT % greatest(source_size, 1) AS rest FROM t),
+c AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+  FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM c
+"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackfix.llm.dart_minhash import near_duplicates
+from trackfix.llm.source_mixing import mix_documents
 from trackfix.llm.url_reputation import Rule, filter_urls
 from trackfix.session import read_table
 
@@ -18,4 +20,18 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), labels, URL_RULES).drop("bad_lower")
 
 
-QUERIES = {"op2_url_reputation": op2_url_reputation}
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return mix_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-copy class and near-duplicate component of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_url_reputation": op2_url_reputation,
+    "op6_source_mixing": op6_source_mixing,
+    "op10_dart_minhash": op10_dart_minhash,
+}
