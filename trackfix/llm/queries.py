@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackfix.llm.best_fit_packing import pack_documents
 from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.source_mixing import mix_documents
 from trackfix.llm.url_reputation import Rule, filter_urls
@@ -25,6 +27,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens of all documents."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-copy class and near-duplicate component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -33,5 +40,6 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_reputation": op2_url_reputation,
     "op6_source_mixing": op6_source_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_dart_minhash": op10_dart_minhash,
 }
