@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfix.llm.best_fit_packing import pack_documents
+from trackfix.llm.cross_parsing import identify_languages
 from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.source_mixing import mix_documents
 from trackfix.llm.url_reputation import Rule, filter_urls
@@ -32,6 +33,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-copy class and near-duplicate component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -41,5 +47,6 @@ QUERIES = {
     "op2_url_reputation": op2_url_reputation,
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_cross_parsing": op8_cross_parsing,
     "op10_dart_minhash": op10_dart_minhash,
 }
