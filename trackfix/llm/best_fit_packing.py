@@ -29,7 +29,7 @@ PRE_TOKEN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 
 
 #: Characters that Python's classes place elsewhere than the pattern's own: a text with one is encoded as a whole.
-ODD = re.compile("[\x1c-\x1f" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+ODD = frozenset(map(chr, range(0x1C, 0x20))) | {c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
 
 
 class TokenCache:
@@ -39,7 +39,7 @@ class TokenCache:
     of known ones is emptied when it holds ``limit`` of them. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,7 +55,7 @@ class TokenCache:
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
         known.update(zip(new, self._ids(new), strict=True))
-        known.update((w, None) for w in new if not w.isascii() and ODD.search(w) or w.isspace() and ODD.search(w))
+        known.update((w, None) for w in new if not ODD.isdisjoint(w))
         out = []
         for text, ws in zip(texts, words, strict=True):
             parts = [known[w] for w in ws]

@@ -110,17 +110,18 @@ class CrossParser:
                 for c in part:
                     automaton.extend(code[c])
                 automaton.last = 0
-            rows = np.full((len(automaton.next), self.width), -1, np.int32)
-            for s, row in enumerate(automaton.next):
+            n = len(automaton.next)
+            rows = np.full((n + 1, self.width), -1, np.int32)
+            for state, row in enumerate(automaton.next):
                 for c, t in row.items():
-                    rows[s, c] = t
-            root = np.where(rows[0] >= 0, rows[0], 0)
-            stop = rows < 0
-            # Where no transition is, a phrase ends before the letter and the next one begins with it: the sign tells.
-            full = np.where(stop, -(base + root[None, :]) * self.width - 1, (base + rows) * self.width)
+                    rows[state, c] = t
+            # Where no transition is, a phrase ends before the letter and the next begins with it: the sign tells.
+            # State n is between phrases: at the start, and after a letter that the sample hasn't.
+            fresh = np.where(rows[0] >= 0, rows[0], n)
+            full = np.where(rows < 0, -(base + fresh[None, :]) * self.width - 1, (base + rows) * self.width)
             tables.append(full.astype(np.int32))
-            self.roots.append(base * self.width)
-            base += len(rows)
+            self.roots.append((base + n) * self.width)
+            base += n + 1
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ class CrossParser:
         active = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
         roots = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(roots, len(owner), axis=1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         for step in range(int(size[0]) if len(size) else 0):
             k = active[step]
             c = flat[begin[:k] + step]
@@ -160,7 +161,7 @@ class CrossParser:
         cost = total * self.bits[:, None]
         best = cost.argmin(axis=0)
         ranked = np.sort(cost, axis=0)
-        score = 1.0 - ranked[0] / ranked[1] if len(self.languages) > 1 else np.ones(len(texts))
+        score = 1.0 - ranked[0] / np.maximum(ranked[1], 1e-9) if len(self.languages) > 1 else np.ones(len(texts))
         some = letters > 0
         return [self.languages[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
 

@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfix.llm.best_fit_packing import pack_documents
+from trackfix.llm.chunk_fingerprint import fingerprint_neighbours
 from trackfix.llm.cross_parsing import identify_languages
 from trackfix.llm.dart_minhash import near_duplicates
+from trackfix.llm.epsilon_grid import cosine_components
+from trackfix.llm.secret_scan import scan_secrets
 from trackfix.llm.source_mixing import mix_documents
 from trackfix.llm.url_reputation import Rule, filter_urls
 from trackfix.session import read_table
@@ -23,6 +26,16 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), labels, URL_RULES).drop("bad_lower")
 
 
+def op4_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return cosine_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return mix_documents(read_table(spark, sf_dir, "documents"))
@@ -38,6 +51,11 @@ def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return scan_secrets(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-copy class and near-duplicate component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -45,8 +63,11 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_reputation": op2_url_reputation,
+    "op4_chunk_fingerprint": op4_chunk_fingerprint,
+    "op5_epsilon_grid": op5_epsilon_grid,
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_cross_parsing": op8_cross_parsing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_dart_minhash": op10_dart_minhash,
 }
