@@ -54,3 +54,40 @@ c AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.rest,
   FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM c
 """
+
+ORACLE["op1_chat_perspectives"] = r"""
+WITH t AS (SELECT conv_id, coalesce(floor(turn / 512e0), 4503599627370496)::BIGINT AS piece, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, role AS speaker,
+    replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker <> 'system'),
+s AS (SELECT conv_id, piece, turn, role, text, perspective, role = perspective AS mine,
+    CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user|>' || replace(replace(role, '<|', '< |'), chr(10), ' ') || chr(10) END AS head, text || '<|end|>' AS body
+  FROM t JOIN p USING (conv_id)),
+w AS (SELECT *, length(head) AS lh, length(body) AS lb, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+    - length(body) - 1 AS b0, row_number() OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text) AS rn FROM s)
+SELECT conv_id, perspective, piece, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
+  coalesce(string_agg(b0::BIGINT::VARCHAR || ':' || (b0 + lb)::BIGINT::VARCHAR, ',' ORDER BY rn) FILTER (mine), '') AS mask,
+  coalesce(sum(lb) FILTER (mine), 0)::BIGINT AS n_trained
+FROM w GROUP BY conv_id, perspective, piece
+"""
+
+ORACLE["op3_license_scan"] = r"""
+WITH tm AS (SELECT * FROM (VALUES
+  ('Apache-2.0', 'licensed under the apache license version 2 0'),
+  ('Apache-2.0', 'licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license'),
+  ('BSD', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  ('CC-BY-4.0', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  ('CC-BY-NC-4.0', 'licensed under cc by nc 4 0'),
+  ('CC-BY-SA-4.0', 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
+  ('GPL-3.0', 'this work is licensed under the gnu general public license version 3'),
+  ('GPL-3.0', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version'),
+  ('MIT', 'released under the mit license'), ('MIT', 'this project is licensed under the mit license'), ('reserved', 'all rights reserved')) v(license, t)),
+tb AS (SELECT row_number() OVER (ORDER BY license, t) AS k, license, list_distinct(list_transform(range(1, len(string_split(t, ' '))), i -> string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])) AS b FROM tm),
+seg AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(lower(text), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, regexp_extract_all(s, '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM seg),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS passage, w FROM w WHERE len(w) > 0),
+g AS (SELECT doc_id, passage, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS b FROM n WHERE len(w) > 1 AND len(w) < 80),
+d AS (SELECT doc_id, passage, license, 2 * len(list_intersect(g.b, tb.b)) / (len(g.b) + len(tb.b))::DOUBLE AS dice FROM g JOIN tb ON len(tb.b) >= len(g.b) * 0.6 AND len(tb.b) <= len(g.b) * 1.6),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, license) AS rn FROM d WHERE dice >= 0.8)
+SELECT doc_id, passage, license, dice FROM r WHERE rn = 1
+"""

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfix.llm.best_fit_packing import pack_documents
+from trackfix.llm.chat_perspectives import rotate_perspectives
 from trackfix.llm.chunk_fingerprint import fingerprint_neighbours
 from trackfix.llm.cross_parsing import identify_languages
 from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.epsilon_grid import cosine_components
+from trackfix.llm.license_scan import scan_licenses
 from trackfix.llm.secret_scan import scan_secrets
 from trackfix.llm.source_mixing import mix_documents
 from trackfix.llm.url_reputation import Rule, filter_urls
@@ -20,12 +22,22 @@ from trackfix.session import read_table
 URL_RULES = [Rule("org/", "allow"), Rule("example.org/es/", "block"), Rule("example.org/en/1", "block"), Rule("com/fr/", "allow"), Rule("com/de/", "block")]
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's perspective."""
+    return rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict; a page is bad where its label is of low quality or toxic."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("is_bad"))
     return filter_urls(read_table(spark, sf_dir, "pages"), labels, URL_RULES).drop("bad_lower")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that state a licence."""
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op4_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
@@ -62,7 +74,9 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_perspectives": op1_chat_perspectives,
     "op2_url_reputation": op2_url_reputation,
+    "op3_license_scan": op3_license_scan,
     "op4_chunk_fingerprint": op4_chunk_fingerprint,
     "op5_epsilon_grid": op5_epsilon_grid,
     "op6_source_mixing": op6_source_mixing,
