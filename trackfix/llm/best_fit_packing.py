@@ -41,10 +41,13 @@ class TokenCache:
 
     def __init__(self, path: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if hasattr(self.words.model, "_resize_cache"):  # no word comes twice
+            self.words.model._resize_cache(0)
         self.limit, self.known = limit, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -54,17 +57,22 @@ class TokenCache:
             self.known.clear()
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
-        known.update(zip(new, self._ids(new), strict=True))
+        known.update(zip(new, self._word_ids(new), strict=True))
         known.update((w, None) for w in new if not ODD.isdisjoint(w))
         out = []
         for text, ws in zip(texts, words, strict=True):
             parts = [known[w] for w in ws]
-            out.append(self._ids([text])[0] if None in parts else b"".join(parts))
+            out.append(self._text_ids(text) if None in parts else b"".join(parts))
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        found = self.words.encode(words, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, "<u4").tobytes()
+        cut = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))
+        return [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _text_ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _CACHES: dict[str, TokenCache] = {}
