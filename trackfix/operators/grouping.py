@@ -26,10 +26,9 @@ def keyed_components(edges: DataFrame, part: list[str]) -> DataFrame:
 
 def renumber(groups: DataFrame, order: list[str]) -> DataFrame:
     """Groups told apart by ``order`` within a sequence get ids 0, 1, ... in that order."""
-    ids = groups.select(SEQ, *order).distinct().withColumn("group_id", (F.row_number().over(Window.partitionBy(SEQ).orderBy(*order)) - 1).cast("int"))
-    renamed = ids.select(SEQ, *[F.col(c).alias("o_" + c) for c in order], F.col("group_id").alias("new_id"))
-    same = [groups[SEQ] == renamed[SEQ], *[groups[c] == renamed["o_" + c] for c in order]]
-    return groups.join(renamed, same).select(groups[SEQ], F.col("new_id").alias("group_id"), groups["group_type"], groups["query"])
+    rank = F.row_number().over(Window.partitionBy(SEQ).orderBy(*order)) - 1
+    ids = groups.select(SEQ, *order).distinct().select(SEQ, *order, rank.cast("int").alias("group_id"))
+    return groups.select(SEQ, *order, "group_type", "query").join(ids, [SEQ, *order]).select(SEQ, "group_id", "group_type", "query")
 
 
 def direction_edges(descriptors: DataFrame, positions: DataFrame, cfg: RectifyConfig) -> DataFrame:

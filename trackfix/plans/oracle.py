@@ -178,7 +178,7 @@ def compose(select: str) -> str:
 
     visit(select)
     ordered = [n for n in PARTS if n in need]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in ordered) + "\n" + select
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in ordered) + "\n" if ordered else "") + select
 
 
 _K = "seq_id, frame, query"
