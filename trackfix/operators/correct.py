@@ -63,7 +63,7 @@ def scaled(cells: DataFrame, params: DataFrame, series: DataFrame, cameras: Data
     own = ["mode", "shifts", "form", "alpha", "c0x", "c0y", "c0z", "s", "a0x", "a0y", "a0z", "t0x", "t0y", "t0z", "scale", "r", "tx", "ty", "tz"]
     both = cells.join(params.select(*GROUP, *own), GROUP).join(series, [*GROUP, "frame"], "left").join(cameras, [SEQ, "frame"])
     whole = {a: F.col("c0" + a) + F.col("alpha") * (F.col(a) - F.col("c0" + a)) for a in AXES}
-    frame_scale = F.when(~F.isnan("alpha_t"), F.col("alpha_t")).otherwise(F.col("alpha"))
+    frame_scale = F.coalesce(F.when(~F.isnan("alpha_t"), F.col("alpha_t")), F.col("alpha"))
     framed = {a: F.col("c" + a) + frame_scale * (c - F.col("c" + a)) for a, c in whole.items()}
 
     def turned(i: int) -> Column:
