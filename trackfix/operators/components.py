@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trackfix.session import materialize
 
+#: Parts of a large component in the last join.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the component's least node.
@@ -52,4 +55,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         root = pointed.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
     root = materialize(root) if len(pointers) > 1 else root
     least = root.groupBy("root").agg(F.min("node").alias("component"))
-    return root.join(least, "root").select("node", "component")
+    # A component may hold a third of all nodes: its rows are dealt out by a salt as well.
+    salted = root.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["root", "salt"]).select("node", "component")
