@@ -153,7 +153,7 @@ def _block_links(threshold: float):
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 1500) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 500) -> DataFrame:
     """``(doc_id, class_id, component_id, kept)`` of every distinct doc_id of ``docs`` (columns doc_id, text).
 
     ``class_id`` is the least doc_id with the same shingle counts, ``component_id`` the least doc_id reachable
@@ -191,7 +191,7 @@ def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: fl
     groups = materialize(groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp"))
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).select("grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     total = groups.count()
-    tasks = max(1, -(-total // (block // 3)))
+    tasks = max(1, -(-total // block))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = groups.join(sizes, "grp").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
