@@ -82,11 +82,11 @@ WITH tm AS (SELECT * FROM (VALUES
   ('GPL-3.0', 'this work is licensed under the gnu general public license version 3'),
   ('GPL-3.0', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version'),
   ('MIT', 'released under the mit license'), ('MIT', 'this project is licensed under the mit license'), ('reserved', 'all rights reserved')) v(license, t)),
-tb AS (SELECT row_number() OVER (ORDER BY license, t) AS k, license, list_distinct(list_transform(range(1, len(string_split(t, ' '))), i -> string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])) AS b FROM tm),
+tb AS (SELECT row_number() OVER (ORDER BY license, t) AS k, license, list_distinct(list_transform(range(1, len(string_split(t, ' '))), lambda i: string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])) AS b FROM tm),
 seg AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(lower(text), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), 1) AS i FROM documents),
 w AS (SELECT doc_id, i, regexp_extract_all(s, '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM seg),
 n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS passage, w FROM w WHERE len(w) > 0),
-g AS (SELECT doc_id, passage, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS b FROM n WHERE len(w) > 1 AND len(w) < 80),
+g AS (SELECT doc_id, passage, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM n WHERE len(w) > 1 AND len(w) < 80),
 d AS (SELECT doc_id, passage, license, 2 * len(list_intersect(g.b, tb.b)) / (len(g.b) + len(tb.b))::DOUBLE AS dice FROM g JOIN tb ON len(tb.b) >= len(g.b) * 0.6 AND len(tb.b) <= len(g.b) * 1.6),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, license) AS rn FROM d WHERE dice >= 0.8)
 SELECT doc_id, passage, license, dice FROM r WHERE rn = 1
