@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfix.session import read_table
+from trackfix.session import materialize, read_table
 
 #: Five rigid objects (the first stands still) in five sequences of 16 frames.
 FIXTURE_CTES = {
@@ -41,8 +41,10 @@ class Scene:
     truth: DataFrame
 
 
-def scene(spark: SparkSession, sf_dir: str) -> Scene:
+def scene(spark: SparkSession, sf_dir: str, settle: bool = False) -> Scene:
+    """The fixture's tables; ``settle`` writes it first, for queries of many steps."""
     pts = spark.sql(FIXTURE_SQL.replace("FROM customer", "FROM {customer}"), customer=read_table(spark, sf_dir, "customer"))
+    pts = materialize(pts) if settle else pts
     kind = F.when(F.col("o") == 0, "world_fixed").otherwise("co_moving")
     return Scene(
         pts.select("seq_id", "frame", "query", "x", "y", "z", "visible"),

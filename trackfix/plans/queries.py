@@ -19,11 +19,20 @@ QUERIES = {}
 KEYS = ["seq_id", "frame", "query"]
 
 
+#: Queries of many steps, which write their trajectories before the first.
+SETTLED = {
+    "direction_edges", "direction_edges_all_pairs", "knn_edges", "spatial_knn_graph", "radius_pairs", "connected_components", "motion_clusters", "spatial_split",
+    "merge_fragments", "fragment_scale", "sample_anchors_common_frame", "sample_anchors_distinct", "sample_anchors_numpy", "anchor_points", "camera_scale",
+    "per_frame_scale", "interpolated_scale", "smoothed_scale", "anchor_scale", "group_translation", "sim3_fit", "fragment_absorption", "built_groups",
+    "group_type_counts", "coverage_report",
+}
+
+
 def query(f):
     """Registers ``f(scene)`` under its name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(scene(spark, sf_dir))
+        return f(scene(spark, sf_dir, f.__name__ in SETTLED))
 
     run.__doc__ = f.__doc__
     QUERIES[f.__name__] = run
@@ -316,7 +325,7 @@ def sim3_fit(s: Scene) -> DataFrame:
 
 def _corrected(form: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = scene(spark, sf_dir)
+        s = scene(spark, sf_dir, settle=True)
         return correct.apply_form(s.points, s.observations, s.cameras, s.groups, _anchors(s), form, CFG).select(*KEYS, *rounded("x", "y", "z"))
 
     run.__doc__ = f"All groups corrected by the form {form}."
