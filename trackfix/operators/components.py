@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +12,53 @@ from trackfix.session import materialize
 
 #: Parts of a large component in the last join.
 SALTS = 16
+#: Nodes that a task's forest holds before it starts another.
+FOREST_NODES = 500_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around the least nodes of what they connect, in bounded memory."""
+    parent: dict = {}
+    schema = None
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(find(x), x) for x in parent]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        back = (lambda v: dict(zip(names, v, strict=True))) if names else (lambda v: v)
+        return pa.RecordBatch.from_arrays([pa.array([back(p[k]) for p in pairs], schema.field(k).type) for k in (0, 1)], schema=schema)
+
+    names = None
+    for batch in batches:
+        if schema is None:
+            schema = batch.schema
+            names = [f.name for f in schema.field(0).type] if pa.types.is_struct(schema.field(0).type) else None
+        columns = [zip(*[c.field(n).to_pylist() for n in names], strict=True) if names else c.to_pylist() for c in batch.columns]
+        for a, b in zip(*columns, strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > FOREST_NODES:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, together: list[str] | None = None) -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the component's least node.
 
     ``src`` and ``dst`` name two columns of one orderable type (a number, a string, a struct). Null ends,
     loops, repeated and reversed edges are harmless; an empty table gives an empty result.
 
-    Each round every node points to the least node of its closed neighbourhood and the graph contracts
+    First each task turns its edges into stars; ``together`` names columns by which edges are dealt out for
+    that, where they bound a component (a sequence, say). Then each round every node points to the least node of its closed neighbourhood and the graph contracts
     along the pointers, so that only edges between different groups remain. Even rounds order nodes by
     themselves (a star around its least node ends in one round), odd rounds by a hash of the round, under
     which long chains lose a constant share of their nodes. Rounds are written to the shared folder; no
@@ -25,11 +66,11 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     level = (
-        edges.select(F.least(F.col(src), F.col(dst)).alias("a"), F.greatest(F.col(src), F.col(dst)).alias("b"))
+        (edges.repartition(*together) if together else edges)
+        .select(F.least(F.col(src), F.col(dst)).alias("a"), F.greatest(F.col(src), F.col(dst)).alias("b"))
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (a != b))
-        .distinct()
     )
-    level = materialize(level)
+    level = materialize(level.mapInArrow(_stars, level.schema))
     pointers: list[DataFrame] = []
     while not level.isEmpty():
         both = level.union(level.select(b, a))
@@ -43,9 +84,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
             pointed = near.select(F.col("a").alias("node"), F.least(key(a), F.col("near"))["v"].alias("parent"))
         pointed = materialize(pointed)
         pointers.append(pointed)
-        pa = pointed.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
-        pb = pointed.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        moved = level.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
+        of_a = pointed.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+        of_b = pointed.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        moved = level.join(of_a, "a").join(of_b, "b").where(F.col("pa") != F.col("pb"))
         level = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if not pointers:
         return level.select(a.alias("node"), b.alias("component"))

@@ -20,7 +20,7 @@ GROUP = "seq_id long, group_id int, group_type string, query int"
 def keyed_components(edges: DataFrame, part: list[str]) -> DataFrame:
     """``(part..., query, component)`` of edges ``(part..., a, b)``; the component is its least member."""
     node = lambda c: F.struct(*part, F.col(c).alias("k"))
-    found = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    found = connected_components(edges.select(*part, node("a").alias("na"), node("b").alias("nb")), "na", "nb", part)
     return found.select(*[F.col(f"node.{p}").alias(p) for p in part], F.col("node.k").alias("query"), F.col("component.k").alias("component"))
 
 
