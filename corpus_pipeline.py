@@ -32,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     kept = near_duplicates(docs).where("kept").select("doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
