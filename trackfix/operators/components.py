@@ -96,7 +96,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, together: list[st
         root = pointed.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
     root = materialize(root) if len(pointers) > 1 else root
     least = root.groupBy("root").agg(F.min("node").alias("component"))
-    # A component may hold a third of all nodes: its rows are dealt out by a salt as well.
+    # A component may hold a third of all nodes: its rows are dealt out by a salt as well. The exploded side is
+    # larger than Spark estimates, so it is kept from being broadcast.
     salted = root.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["root", "salt"]).select("node", "component")
+    return salted.join(spread.hint("merge"), ["root", "salt"]).select("node", "component")
