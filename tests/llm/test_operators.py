@@ -302,6 +302,23 @@ def test_url_rules_and_odd_urls(spark):
     assert filter_urls(pages.limit(0), labels, rules).count() == 0
 
 
+def test_url_reputation_tells_bad_hosts_from_clean_ones(spark):
+    from trackfix.llm.url_reputation import filter_urls
+
+    tallies = {f"h{i}.example{i % 5}.net": (12, 3) for i in range(60)} | {"bad.example1.net": (14, 13), "small-bad.example2.net": (2, 2), "clean.example1.net": (12, 0), "new.example1.net": (0, 0)}
+    pages, labels = [], []
+    for host, (n, bad) in tallies.items():
+        for i in range(max(n, 1)):
+            pages.append((len(pages), f"http://{host}/{i}"))
+            if n:
+                labels.append((pages[-1][0], i < bad))
+    assert 0.25 < sum(b for _, b in labels) / len(labels) < 0.3
+    got = filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, is_bad boolean"), []).collect()
+    lower = {r.host: r.bad_lower for r in got}
+    assert {r.host for r in got if r.verdict == "block"} == {"bad.example1.net"}
+    assert lower["clean.example1.net"] < lower["h1.example1.net"] < 0.27 and lower["bad.example1.net"] > 0.4
+
+
 @pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op6_"])
 def test_queries_match_their_sql(spark, name):
     from trackfix.llm.oracle import ORACLE

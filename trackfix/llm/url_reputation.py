@@ -1,13 +1,15 @@
 """URL filter: explicit rules first, then empirical-Bayes host reputation.
 
 Labelled page outcomes are counted per host and rolled up to the registered domain and the public suffix.
-At each level a beta-binomial prior is fitted by moments over the groups of that level; the suffix shrinks
-to the overall rate, the domain to its suffix, the host to its domain. A host is blocked when the lower
-posterior bound of its bad rate is over a limit.
+Each level has a beta-binomial prior whose strength is integrated over a few values, weighed by the groups of
+that level and by the group's own outcomes; the suffix shrinks to the overall rate, the domain to its suffix,
+the host to its domain. A host is blocked when the lower posterior bound of its bad rate is over a limit and
+clear of the overall rate.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,9 @@ from trackfix.session import join_sized, materialize
 #: Public suffixes of two labels; any other host has its last label as suffix.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "net.au", "org.au", "org.uk")
 
+#: Prior strengths in pseudo-outcomes, and the weight they share whatever the level's groups say.
+STRENGTHS, DOUBT = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0), 0.1
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -70,29 +75,48 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
-def _strength(groups: DataFrame, low: float = 1.0, high: float = 10_000.0) -> tuple[float, float]:
-    """Mean bad rate and prior strength (pseudo-outcomes) of a level, by moments; strengths stay within bounds."""
-    p = F.col("bad") / F.col("n")
-    labelled = groups.where(F.col("n") > 0)
-    g, n, bad, inverse, square = labelled.agg(
-        F.count(F.lit(1)), F.sum("n"), F.sum("bad"), F.sum(F.lit(1.0) / F.col("n")), F.sum(F.col("n") * p * p)
-    ).first()
-    if not g:
-        return 0.0, low
-    mean = bad / n
-    if g < 2:
-        return mean, high
-    spread = g * (square - n * mean * mean) / ((g - 1) * n)
-    excess = spread - mean * (1 - mean) / g * inverse
-    return mean, min(high, max(low, (mean * (1 - mean) - spread) / excess)) if excess > 0 else high
+def _lgamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number, by Stirling's series eight further on."""
+    y = x + F.lit(8.0)
+    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    for pair in range(0, 8, 2):
+        series = series - F.log((x + F.lit(float(pair))) * (x + F.lit(pair + 1.0)))
+    return series
+
+
+def _evidence(strength: float, prior: Column) -> Column:
+    """Log-probability of ``bad`` of ``n`` outcomes under a beta prior of mean ``prior`` and ``strength`` pseudo-outcomes."""
+    a, b, m, n, bad = F.lit(strength) * prior, F.lit(strength) * (1 - prior), F.lit(strength), F.col("n"), F.col("bad")
+    return _lgamma(a + bad) - _lgamma(a) + _lgamma(b + n - bad) - _lgamma(b) - _lgamma(m + n) + _lgamma(m)
+
+
+def _posterior(groups: DataFrame, prior: str) -> DataFrame:
+    """``groups`` (n, bad, ``prior``) with ``rate`` and ``variance`` of each one's posterior, integrated over ``STRENGTHS``.
+
+    A strength's weight is its likelihood over the groups of the level, mixed with ``DOUBT`` spread evenly; a
+    group's own outcomes then weigh the strengths again. So one that the level's common strength can't
+    explain is led by its own outcomes, however alike the others are.
+    """
+    inside = F.least(F.greatest(F.col(prior), F.lit(1e-9)), F.lit(1 - 1e-9))
+    scored = materialize(groups.withColumns({"inside": inside, "evidence": F.array(*[_evidence(m, inside) for m in STRENGTHS])}))
+    total = scored.where(F.col("n") > 0).agg(*[F.coalesce(F.sum(F.col("evidence")[k]), F.lit(0.0)) for k in range(len(STRENGTHS))]).first()
+    likelihood = [math.exp(v - max(total)) for v in total]
+    log_weight = [math.log((1 - DOUBT) * v / sum(likelihood) + DOUBT / len(STRENGTHS)) for v in likelihood]
+    own = [F.col("evidence")[k] + F.lit(w) for k, w in enumerate(log_weight)]
+    shares = [F.exp(v - F.greatest(*own)) for v in own]
+    means = [(F.lit(m) * F.col("inside") + F.col("bad")) / (F.lit(m) + F.col("n")) for m in STRENGTHS]
+    squares = [p * p + p * (1 - p) / (F.lit(m) + F.col("n") + 1) for m, p in zip(STRENGTHS, means, strict=True)]
+    mix = lambda values: sum((w * v for w, v in zip(shares, values, strict=True)), F.lit(0.0)) / sum(shares, F.lit(0.0))
+    moments = scored.withColumns({"rate": mix(means), "square": mix(squares)})
+    return moments.withColumn("variance", F.greatest(F.col("square") - F.col("rate") * F.col("rate"), F.lit(0.0))).drop("inside", "evidence", "square")
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, page_key: str, outcome_key: str, z: float = 1.645) -> DataFrame:
-    """``(host, n, bad, bad_lower)`` of every host of ``pages`` (columns ``page_key`` and ``host``).
+    """``(host, n, bad, bad_lower, overall)`` of every host of ``pages`` (columns ``page_key`` and ``host``).
 
     ``outcomes`` has ``outcome_key`` and a boolean ``is_bad``; null keys and null outcomes don't count.
     ``bad_lower`` is posterior mean less ``z`` posterior standard deviations. A host without outcomes gets
-    its domain's estimate with the width of the prior.
+    its domain's estimate with the width of the prior. ``overall`` is the rate of all outcomes.
     """
     tally = (
         outcomes.where(F.col(outcome_key).isNotNull() & F.col("is_bad").isNotNull())
@@ -109,30 +133,27 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_key: str, outcom
     sums = lambda df, *keys: materialize(df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     domains = sums(hosts, "domain", "suffix")
     suffixes = sums(domains, "suffix")
-    mean, m_suffix = _strength(suffixes)
-    m_domain, m_host = _strength(domains)[1], _strength(hosts)[1]
-    shrunk = lambda m, prior: (F.lit(m) * prior + F.col("bad")) / (F.lit(m) + F.col("n"))
-    suffixes = suffixes.select("suffix", shrunk(m_suffix, F.lit(mean)).alias("suffix_rate"))
-    domains = join_sized(domains, suffixes, ["suffix"]).select("domain", shrunk(m_domain, F.col("suffix_rate")).alias("domain_rate"))
-    alpha = F.lit(m_host) * F.col("domain_rate") + F.col("bad")
-    total = F.lit(m_host) + F.col("n")
-    rate = alpha / total
-    return join_sized(hosts, materialize(domains), ["domain"]).select(
-        "host", "n", "bad", (rate - F.lit(z) * F.sqrt(rate * (1 - rate) / (total + 1))).alias("bad_lower")
-    )
+    base = F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0))
+    mean = suffixes.agg(base).first()[0]
+    suffixes = _posterior(suffixes.withColumn("mean", F.lit(mean)), "mean").select("suffix", F.col("rate").alias("suffix_rate"))
+    domains = _posterior(join_sized(domains, materialize(suffixes), ["suffix"]), "suffix_rate").select("domain", F.col("rate").alias("domain_rate"))
+    judged = _posterior(join_sized(hosts, materialize(domains), ["domain"]), "domain_rate")
+    return judged.select("host", "n", "bad", (F.col("rate") - F.lit(z) * F.sqrt("variance")).alias("bad_lower"), F.lit(mean).alias("overall"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_key: str = "page_id", outcome_key: str = "doc_id", max_bad: float = 0.25, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_key: str = "page_id", outcome_key: str = "doc_id", max_bad: float = 0.25, z: float = 1.645, margin: float = 0.1) -> DataFrame:
     """One row per row of ``pages`` (``page_key``, ``url``): key, host, path, rule, verdict, bad_lower.
 
     A fitting rule decides (longest wins); any other page is blocked when its host's ``bad_lower`` is over
-    ``max_bad``. Urls that are null, empty or without ``://`` have empty host and path and share the
+    ``max_bad`` and over the overall rate plus ``margin`` of what that leaves to 1, so that in a table of many
+    bad outcomes a host is not blocked for being like the others. Urls that are null, empty or without ``://`` have empty host and path and share the
     reputation of the empty host. Repeated rows each return; an empty table returns no row; other columns
     of the inputs are ignored.
     """
     parsed = pages.select(page_key, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    reputation = materialize(host_reputation(parsed, outcomes, page_key, outcome_key, z).select("host", "bad_lower"))
+    reputation = materialize(host_reputation(parsed, outcomes, page_key, outcome_key, z).select("host", "bad_lower", "overall"))
     hit = F.col("hit")
     judged = join_sized(parsed, reputation, ["host"], "left").withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("bad_lower") > max_bad, "block").otherwise("allow")
+    limit = F.greatest(F.lit(max_bad), F.col("overall") + F.lit(margin) * (1 - F.col("overall")))
+    own = F.when(F.col("bad_lower") > limit, "block").otherwise("allow")
     return judged.select(page_key, "host", "path", hit["rule"].alias("rule"), F.coalesce(hit["verdict"], own).alias("verdict"), "bad_lower")
