@@ -281,3 +281,36 @@ def test_stream_of_sequences(spark, tmp_path):
     query.stop()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == visible.size and out.where("moved").count() > 0
+
+
+def test_all_pairs_direction_edges_cover_whole_sequences(spark):
+    from pyspark.sql import functions as F
+
+    from trackfix.operators.grouping import direction_edges
+    from trackfix.plans.oracle import ORACLE
+    from trackfix.plans.queries import QUERIES
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 3))
+    steps = {}
+    for q in range(90):  # directions on both sides of the threshold, at frames that only partly overlap
+        u = base[q % 6] + rng.normal(0, 0.25, (8, 3))
+        steps[q] = {int(f): v / np.linalg.norm(v) for f, v in zip(sorted(rng.choice(12, 8, replace=False)), u, strict=True)}
+    rows = [(0, q, [(f, *map(float, v)) for f, v in d.items()]) for q, d in steps.items()]
+    desc = spark.createDataFrame(rows, "seq_id long, query int, desc array<struct<frame:int,dx:double,dy:double,dz:double>>")
+    pos = spark.createDataFrame([(0, q, 0.0, 0.0, 0.0) for q in steps], "seq_id long, query int, px double, py double, pz double")
+    cfg = RectifyConfig(direction_knn=None)
+    want = set()
+    for a in steps:
+        for b in range(a + 1, 90):
+            common = steps[a].keys() & steps[b].keys()
+            if len(common) >= cfg.min_co_visible_frames and np.mean([steps[a][f] @ steps[b][f] for f in common]) >= cfg.direction_cos_threshold:
+                want.add((a, b))
+    assert want and {(r.a, r.b) for r in direction_edges(desc, pos, cfg).collect()} == want
+
+    db = duckdb.connect()
+    for t in ("customer", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    first = {r[:3] for r in db.execute(ORACLE["direction_edges_all_pairs"]).fetchall()}
+    got = QUERIES["direction_edges_all_pairs"](spark, "/root/testdata/sf0.01").select("seq_id", "a", "b")
+    assert {tuple(r) for r in got.where("a < 60 AND b < 60").collect()} == first and got.where(F.col("b") >= 60).count() > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,16 +33,35 @@ def renumber(groups: DataFrame, order: list[str]) -> DataFrame:
     return groups.select(SEQ, *order, "group_type", "query").join(ids, [SEQ, *order]).select(SEQ, "group_id", "group_type", "query")
 
 
+def aligned_pairs(descriptors: DataFrame, threshold: float) -> DataFrame:
+    """``(seq_id, a, b)``, a < b, whose unit directions have a dot product of at least ``threshold`` at a common frame.
+
+    A mean is no more than its largest term, so these are all pairs that can have a similarity of the
+    threshold. Directions of a frame are joined by grid cell; the side is the longest chord that the threshold
+    allows, so both ends lie in the same or neighbouring cells.
+    """
+    step = descriptors.select(SEQ, "query", F.explode("desc").alias("d")).select(SEQ, "query", "d.frame", "d.dx", "d.dy", "d.dz")
+    side = math.sqrt(max(0.0, 2 - 2 * max(threshold, -1.0))) + 1e-4
+    axes = ("dx", "dy", "dz")
+    step = materialize(step.withColumns({"c" + c: F.floor(F.col(c) / side) for c in axes}))
+    around = F.expr("transform(sequence(0, 26), i -> named_struct('dx', i % 3 - 1, 'dy', (i div 3) % 3 - 1, 'dz', i div 9 - 1))")
+    cells = ["c" + c for c in axes]
+    left = step.select(SEQ, "frame", F.col("query").alias("a"), *[F.col(c).alias("a" + c) for c in axes], *cells, F.explode(around).alias("o"))
+    left = left.select(SEQ, "frame", "a", *["a" + c for c in axes], *[(F.col("c" + c) + F.col(f"o.{c}")).alias("c" + c) for c in axes])
+    right = step.select(SEQ, "frame", F.col("query").alias("b"), *axes, *cells)
+    dot = sum((F.col("a" + c) * F.col(c) for c in axes), F.lit(0.0))
+    return left.join(right, [SEQ, "frame", *cells]).where((F.col("a") < F.col("b")) & (dot >= threshold - 1e-6)).select(SEQ, "a", "b").distinct()
+
+
 def direction_edges(descriptors: DataFrame, positions: DataFrame, cfg: RectifyConfig) -> DataFrame:
     """Edges ``(seq_id, a, b, similarity)``, a < b, of points that move alike.
 
-    Pairs are tried only where b is among the ``direction_knn`` nearest of a (or all pairs of a sequence when
-    that is None), so that an edge may be missing though a is near b.
+    Pairs are tried only where b is among the ``direction_knn`` nearest of a, so that an edge may be missing
+    though a is near b. When that is None, every edge of a sequence is found: see ``aligned_pairs``.
     """
     where = descriptors.select(SEQ, "query").join(positions, [SEQ, "query"])
     if cfg.direction_knn is None:
-        one, two = where.select(SEQ, F.col("query").alias("a")), where.select(SEQ, F.col("query").alias("b"))
-        pairs = one.join(two, SEQ).where("a < b")
+        pairs = aligned_pairs(descriptors.join(where.select(SEQ, "query"), [SEQ, "query"]), cfg.direction_cos_threshold)
     else:
         pairs = nearest(where, [SEQ], cfg.direction_knn).where("a < b").select(SEQ, "a", "b")
     side = lambda c: descriptors.select(SEQ, F.col("query").alias(c), F.col("desc").alias("d" + c))

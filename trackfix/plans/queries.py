@@ -151,9 +151,8 @@ def direction_edges(s: Scene) -> DataFrame:
 
 @query
 def direction_edges_all_pairs(s: Scene) -> DataFrame:
-    """The direction graph without a neighbour limit, in one sequence's first points."""
-    few = _moving(s).where("query < 60")
-    return grouping.direction_edges(few, motion.median_positions(s.points), RectifyConfig(direction_knn=None)).select("seq_id", "a", "b", *rounded("similarity"))
+    """The direction graph of whole sequences without a neighbour limit."""
+    return grouping.direction_edges(_moving(s), motion.median_positions(s.points), RectifyConfig(direction_knn=None)).select("seq_id", "a", "b", *rounded("similarity"))
 
 
 @query
