@@ -287,6 +287,29 @@ def test_mix_meets_targets(spark):
     assert mix_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_license_scan_finds_wrapped_embedded_and_full_texts(spark):
+    from trackfix.llm.license_scan import TEMPLATES, scan_licenses
+
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    gpl = next(t for n, t in TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    bsd = next(t for n, t in TEMPLATES if n == "BSD")
+    wrap = lambda t, k: "\n# ".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    texts = [
+        ("MIT License\n\nCopyright (c) 2020 Someone\n\n" + wrap(mit, 12) + "\n\nTHE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND.", "MIT"),
+        ("Some tool.\nThis project is licensed under the MIT License - see the LICENSE.md file for details.\nUsage follows.", "MIT"),
+        ("Intro words come first.\n" + wrap(gpl, 9) + "\nMore words.", "GPL-3.0"),
+        ("Notes. " + wrap(bsd, 6) + " 1. first", "BSD"),
+        ("Nothing is said about the terms of use and the like in this text.\nOf the project, with or without.", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(9, None), (10, "")], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in scan_licenses(df).collect():
+        got[r.doc_id].add(r.license)
+        assert 0.8 <= r.dice <= 1
+    assert {i: n for i, n in got.items()} == {i: {n} for i, (_, n) in enumerate(texts) if n}
+    assert scan_licenses(odd_documents(spark)).count() == 0
+
+
 def test_url_rules_and_odd_urls(spark):
     from trackfix.llm.url_reputation import Rule, filter_urls
 
