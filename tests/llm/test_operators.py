@@ -267,6 +267,32 @@ def test_secrets(spark):
     assert scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_random_tokens_behind_names_and_paths_and_of_other_alphabets(spark):
+    from trackfix.llm.secret_scan import redact, scan_secrets
+
+    rng = random.Random(11)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    parts = [
+        ("AWS_SECRET_ACCESS_KEY=", draw(lower + upper + digits, 40), ""),
+        ("https://x.example.com/f?sig=", draw(lower + upper + digits, 43) + "=", "&v=1"),
+        ("see /home/someone/projects/data/files/", draw(lower + upper + digits, 40), " there"),
+        ("lower ", draw(lower + digits, 40), " end"),
+        ("upper ", draw(upper + digits, 40), " end"),
+        ("letters ", draw(lower + upper, 40), " end"),
+        ("letters ", draw(lower, 48), " end"),
+    ]
+    plain = ["internationalization by getUserAccountInformation", "the path /usr/share/documentation/packages/readme is long", "name=ThisIsAVeryLongCamelCaseNameThatIsNotASecretAtAll", "12345678901234567890123456789=1"]
+    rows = [(i, a + t + b) for i, (a, t, b) in enumerate(parts)] + [(100 + i, t) for i, t in enumerate(plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in scan_secrets(df).collect()}
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, (a, t, b) in enumerate(parts):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s]
+        assert any(s <= len(a) and e >= len(a + t) for s, e in spans) and t not in clean[i], (i, got[i])
+    assert all(got[100 + i] == "" and clean[100 + i] == t for i, t in enumerate(plain))
+
+
 def test_mix_meets_targets(spark):
     from trackfix.llm.source_mixing import mix_documents, mixed_rows
 

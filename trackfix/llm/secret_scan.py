@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens.
 
-A token's encoding (hex, base32, base64) is inferred from its letters. Under the hypothesis that it is random
+Runs are cut at ``=`` and tested whole and in their parts between ``/``, ``-`` and ``_``. A token's encoding
+(one of ``ALPHABETS``) is inferred from its letters. Under the hypothesis that it is random
 text of that encoding, chi-squared uniformity of its symbols, the runs test and the lag-one serial
-correlation each give a p-value, joined by Fisher's method. Random tokens have uniform joint p-values, other
+correlation each give a p-value (letters alone also their likeness to prose), joined by Fisher's method. Random tokens have uniform joint p-values, other
 tokens have small ones; so per encoding and length class the share of random tokens is known from the upper
 half of all p-values in the corpus, and the least threshold is taken above which at most ``fdr`` of the
 tokens are estimated not to be random.
@@ -34,8 +35,15 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base26": "abcdefghijklmnopqrstuvwxyz",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
 }
+#: Rough shares of the letters a to z in prose, in per mille; rare ones are rounded up.
+PROSE = (80, 16, 30, 44, 128, 20, 24, 52, 72, 5, 10, 40, 25, 72, 68, 20, 5, 64, 66, 84, 32, 12, 16, 5, 14, 8)
+SEGMENT, PART = re.compile("[A-Za-z0-9+/_-]+=*"), re.compile("[A-Za-z0-9+]+=*")
 BINS = 100
+_LIKE = np.log(np.array(PROSE) * 26 / sum(PROSE))
 
 _HEX, _TOKEN = np.zeros(128, bool), np.zeros(128, bool)
 _HEX[[ord(c) for c in ALPHABETS["hex"]]] = True
@@ -51,23 +59,44 @@ def _runs(flat: np.ndarray, members: np.ndarray, least: int) -> tuple[np.ndarray
     return starts[long], ends[long]
 
 
+def candidates(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans to test in a run: what ``=`` separates (padding stays), and the parts of that between ``/``, ``-`` and ``_``."""
+    found = set()
+    for segment in SEGMENT.finditer(text, start, end):
+        found |= {segment.span(), *(part.span() for part in PART.finditer(text, *segment.span()))}
+    return sorted((s, e) for s, e in found if e - s >= TOKEN_LEAST)
+
+
 def infer_encoding(token: str) -> str | None:
-    """``hex``, ``base32``, ``base64``, or None for what is no encoding of bytes (words, numbers, names)."""
+    """The name of the least of ``ALPHABETS`` that fits, or None for numbers, letters of hex only and names with ``-_+/``.
+
+    Letters and digits of one case are base32 (upper) or base36, letters alone base26 or base52.
+    """
     has = lambda pattern: re.search(pattern, token) is not None
-    if not has("[0-9]"):
-        return None
     if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
-        return "hex" if has("[A-Fa-f]") else None
+        return "hex" if has("[A-Fa-f]") and has("[0-9]") else None
+    if not has("[0-9]"):
+        if re.fullmatch("[A-Z]+=+", token):
+            return "base32"
+        if re.fullmatch("[a-z]+=*|[A-Z]+", token):
+            return "base26"
+        return "base52" if re.fullmatch("[A-Za-z]+=*", token) else None
     if re.fullmatch("[A-Z2-7]+=*", token):
         return "base32"
+    if re.fullmatch("([a-z0-9]+|[A-Z0-9]+)=*", token):
+        return "base36" if has("[A-Za-z]") else None
     return "base64" if re.fullmatch("[A-Za-z0-9+/_-]+=*", token) and has("[a-z]") and has("[A-Z]") else None
 
 
 def random_p(token: str, encoding: str) -> float:
-    """Joint p-value of the three tests under the hypothesis that the token is random."""
+    """Joint p-value of the tests under the hypothesis that the token is random.
+
+    Letters alone get a fourth one, as the others tell long words from random letters only weakly: the
+    log-likelihood of the letters in prose, which is too high for words.
+    """
     body = token.rstrip("=").translate(str.maketrans("-_", "+/"))
     alphabet = ALPHABETS[encoding]
-    body = body.lower() if encoding == "hex" else body
+    body = body.lower() if encoding in ("hex", "base36", "base26") else body
     x = np.array([alphabet.index(c) for c in body], float)
     n, k = len(x), len(alphabet)
     counts = np.bincount(x.astype(int), minlength=k)
@@ -88,8 +117,12 @@ def random_p(token: str, encoding: str) -> float:
     power = float((centred**2).sum())
     r = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     p_serial = math.erfc(abs(r + 1 / n) * math.sqrt(n / 2))
-    half = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    tests = [p_chi, p_runs, p_serial]
+    if encoding in ("base26", "base52"):
+        like = float(_LIKE[x.astype(int) % 26].sum())
+        tests.append(0.5 * math.erfc((like - n * float(_LIKE.mean())) / float(_LIKE.std()) / math.sqrt(2 * n)))
+    half = -sum(math.log(max(p, 1e-300)) for p in tests)
+    return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(tests)))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
                 base = sorted(x for x in spans if x[1] < 3)
                 tokens = []
-                for s, _, e in sorted(x for x in spans if x[1] == 3):
+                for s, e in (c for f, _, g in sorted(x for x in spans if x[1] == 3) for c in candidates(text, f, g)):
                     if encoding := infer_encoding(text[s:e]):
                         alone = all(e <= b or s >= f for b, _, f in base)
                         tokens.append({"start": s, "end": e, "encoding": encoding, "length": int(2 * math.log2(e - s)), "p": random_p(text[s:e], encoding), "alone": alone})
@@ -135,7 +168,7 @@ _SCHEMA = (
 def thresholds(scanned: DataFrame, fdr: float = 0.05, prior: float = 50.0) -> list[tuple[str, int, float]]:
     """``(encoding, length class, least p)`` from the p-values of all tokens of the corpus.
 
-    The histogram has at most 3 encodings, two classes per doubling of length and ``BINS`` bins, whatever the
+    The histogram has at most 6 encodings, two classes per doubling of length and ``BINS`` bins, whatever the
     corpus. ``prior`` random and as many other tokens (of p below 0.01) are added to each class, so that a
     class of few tokens keeps those whose randomness isn't rejected at 1 %.
     """
@@ -160,14 +193,17 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """Secrets of every row of ``docs`` (doc_id, text), over whole texts.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans as ``kind:start:end``),
-    ``spans`` (base spans and the random tokens that touch none of them, by start) and ``found`` (the same as
+    ``spans`` (base spans and the random tokens that touch none of them, the widest of nested ones, by start) and ``found`` (the same as
     an array of structs). Offsets are code points, ends exclusive. A null or empty text has no spans; rows
     that repeat a doc_id each return; an empty table gives an empty result.
     """
     scanned = materialize(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA))
     limits = thresholds(scanned, fdr)
     added = F.filter("tokens", lambda t: t["alone"] & (t["p"] >= _limit(t, limits)))
-    spans = F.array_sort(F.concat(F.col("base"), F.transform(added, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
+    inside = lambda t, u: (u["start"] <= t["start"]) & (u["end"] >= t["end"]) & (u["end"] - u["start"] > t["end"] - t["start"])
+    widest = F.filter("added", lambda t: ~F.exists("added", lambda u: inside(t, u)))
+    scanned = scanned.withColumn("added", added)
+    spans = F.array_sort(F.concat(F.col("base"), F.transform(widest, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform("found", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return scanned.withColumn("found", spans).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), "found")
