@@ -167,7 +167,6 @@ def test_packing_round_trip(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = [(d["doc_id"], d["text"]) for d in documents()] + [(9001, None), (9002, ""), (9003, "²Ⅷ \x1d x\x1f  y's <|endoftext|>\n\n z"), (9004, "日本 " * 5000)]
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path, group=100).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
@@ -194,6 +193,25 @@ def test_packing_round_trip(spark):
     assert pack_documents(spark.createDataFrame([], DOCS), path).count() == 0
 
 
+def test_token_table_matches_the_tokenizer(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from trackfix.llm import token_ids
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, table, rng = Tokenizer.from_file(path), token_ids.TokenTable(path, limit=2000), random.Random(1)
+    letters = [*"abszltvreмд日é'’ \n\t\r  1²٣Ⅷ½!.<|>-_\x1c\x1f\x85\xa0　\u0301🙂", "'s", "'ll", "'re", "'ve", "'t", " '", "''", "'S", "<|endoftext|>"]
+    draw = lambda some, n: "".join(rng.choice(some) for _ in range(n))
+    texts = [draw(letters, rng.randrange(60)) for _ in range(4000)] + ["x" * 300 + " y", "'l", "'", "'s", "", " ", "  \n"]
+    texts += [d["text"] for d in documents()]
+    want = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    assert [ids.tolist() for ids in table.encode(texts)] == [want(t) for t in texts]
+    monkeypatch.setattr(token_ids, "WINDOW", 1000)
+    long = [draw(letters[:-1], 30_000), "日本 " * 5000, "x" * 5000, "\n" * 5000]
+    assert [ids.tolist() for ids in table.encode(long)] == [want(t) for t in long]
+
+
 def test_language_of_held_out_documents(spark):
     from trackfix.llm.cross_parsing import CrossParser, identify_languages
 

@@ -8,8 +8,6 @@ looks anything up.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,78 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.llm.hashing import batches as slices
+from trackfix.llm.token_ids import TokenTable
 from trackfix.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBERS = "array<struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long>>"
 
-#: Fixed value: the pre-token pattern of the byte-level vocabulary, in terms of Python's re.
-PRE_TOKEN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
-#: Characters that Python's classes place elsewhere than the pattern's own: a text with one is encoded as a whole.
-ODD = frozenset(map(chr, range(0x1C, 0x20))) | {c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
-
-
-class TokenCache:
-    """Token ids of whole texts by ``tokenizers``, whose work on a pre-token is kept for later texts.
-
-    A pre-token's ids don't depend on what stands around it, so each distinct one is encoded once; the table
-    of known ones is emptied when it holds ``limit`` of them. Strings of special tokens are ordinary text.
-    """
-
-    def __init__(self, path: str, limit: int = 800_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.words.encode_special_tokens = True
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        if hasattr(self.words.model, "_resize_cache"):  # no word comes twice
-            self.words.model._resize_cache(0)
-        self.limit, self.known = limit, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [PRE_TOKEN.findall(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        known.update(zip(new, self._word_ids(new), strict=True))
-        known.update((w, None) for w in new if not ODD.isdisjoint(w))
-        out = []
-        for text, ws in zip(texts, words, strict=True):
-            parts = [known[w] for w in ws]
-            out.append(self._text_ids(text) if None in parts else b"".join(parts))
-        return out
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        found = self.words.encode(words, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, "<u4").tobytes()
-        cut = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))
-        return [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-    def _text_ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-_CACHES: dict[str, TokenCache] = {}
+_TABLES: dict[str, TokenTable] = {}
 
 
 def _tokenize(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _CACHES[tokenizer] = _CACHES.get(tokenizer) or TokenCache(tokenizer)
-        end = end_id.to_bytes(4, "little")
+        table = _TABLES[tokenizer] = _TABLES.get(tokenizer) or TokenTable(tokenizer)
+        end = np.array([end_id], np.uint32)
         for batch in batches:
             docs, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
             for lo, hi in slices(texts):
-                for doc, ids in zip(docs[lo:hi], cache.encode(texts[lo:hi]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
+                for doc, ids in zip(docs[lo:hi], table.encode(texts[lo:hi]), strict=True):
+                    ids = np.concatenate((ids, end)).astype("<u4", copy=False)
+                    total = len(ids)
                     piece, begin, stop = 0, 0, total % capacity or min(total, capacity)
                     while begin < total:
-                        rows.append((doc, piece, begin, stop - begin, zlib.crc32(ids[4 * begin : 4 * stop])))
+                        rows.append((doc, piece, begin, stop - begin, zlib.crc32(ids[begin:stop])))
                         piece, begin, stop = piece + 1, stop, stop + capacity
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
@@ -167,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     A task packs at most about ``group`` items. Sequences filled to ``full`` of ``capacity`` are emitted; the
     others are dealt anew to a quarter as many tasks (or as many as ``group`` asks for) and packed again, until
     one task has packed all that were left or a round joins less than ``gain`` of them. Null and empty texts
-    are ``end_id`` alone. Every row of ``docs`` is packed, rows with equal doc_id each for itself; an empty
+    are ``end_id`` alone. Strings of the tokenizer's added tokens get those tokens' ids. Every row of ``docs`` is packed, rows with equal doc_id each for itself; an empty
     table gives an empty result.
     """
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id))
