@@ -1,8 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built per language from a bounded sample of labelled text. A text is parsed against
+A suffix automaton is built per language from a bounded sample of labelled passages. A text is parsed against
 each automaton into the fewest phrases, every phrase being the longest match from where the last one ended;
-the language that needs the fewest phrases per letter wins.
+the language that needs the fewest phrases, weighed by the bits that name a place in its sample, wins.
 """
 
 from __future__ import annotations
@@ -11,15 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from trackfix.llm.hashing import batches as slices
-from trackfix.session import join_sized, materialize
 
-#: A text is parsed in blocks of so many characters; a phrase ends with its block.
+#: Texts are parsed from so many places at once, which is put right where a phrase crosses one of them.
 BLOCK = 512
+#: Letters times languages that are parsed together.
+CELLS = 8_000_000
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -27,22 +29,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = 64, max_languages: int = 2000) -> list[tuple[str, str]]:
-    """``(lang, text)`` of at most ``per_language`` rows of each language, those with the least hash of their id.
+def training_sample(docs: DataFrame, per_language: int = 64, passage: int = 200, max_languages: int = 200) -> list[tuple[str, str]]:
+    """``(lang, passage)``: the ``per_language`` passages of least hash of each language.
 
-    Only rows that aren't held out, with a language and a text, count. The bound on what is fetched is
-    ``per_language * max_languages`` rows; more languages are an error.
-    """
-    from pyspark.sql import Window
+    Rows that aren't held out, with an id, a language and a letter in their text, are cut into passages of
+    ``passage`` characters; all of them, wherever they lie in a text, may be drawn, equal ones once. Of more
+    languages than ``max_languages`` those with the most rows are learned, by name on a tie. So at most
+    ``per_language * max_languages`` passages come to the driver.
 
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    chosen = materialize(ranked.select("doc_id").distinct())
-    if known.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"over {max_languages} languages")
-    rows = join_sized(known.select("doc_id", "lang", "text").where("text IS NOT NULL"), chosen, ["doc_id"], "left_semi", max_rows=per_language * max_languages).orderBy("lang", "doc_id", "text").collect()
-    return [(r.lang, r.text) for r in rows]
+    The hash below which there are enough passages is guessed from a count of them and raised for languages
+    where repeats left too few, so that no passage but those drawn is shuffled.
+    """
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    parts = F.ceil(F.length("text") / passage).cast("int")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(parts).alias("passages")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = {r.lang: min(1.0, 4 * per_language / r.passages) for r in counts}
+    drawn: list[tuple[str, str]] = []
+    while share:
+        limits = docs.sparkSession.createDataFrame([(lang, _HIGH if v == 1 else _LOW + int(v * 2.0**64)) for lang, v in share.items()], "lang string, limit long")
+        keyed = known.join(F.broadcast(limits), "lang").select("lang", "text", "limit", F.xxhash64("doc_id", "text").alias("row"))
+        spots = F.filter(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("row", i) <= F.col("limit"))
+        some = keyed.select("lang", "text", "row", F.explode(spots).alias("i"))
+        some = some.select("lang", F.xxhash64("row", "i").alias("h"), F.substring("text", F.col("i") * passage + 1, F.lit(passage)).alias("passage"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        rows = some.groupBy("lang", "h").agg(F.min("passage").alias("passage")).withColumn("rank", rank).where(F.col("rank") <= per_language).collect()
+        got: dict[str, list[tuple[int, str]]] = {lang: [] for lang in share}
+        for r in rows:
+            got[r.lang].append((r.h, r.passage))
+        done = {lang for lang, found in got.items() if len(found) == per_language or share[lang] == 1}
+        drawn += [(lang, text) for lang in done for _, text in sorted(got[lang])]
+        share = {lang: min(1.0, 16 * v) for lang, v in share.items() if lang not in done}
+    return sorted(drawn)
 
 
 class Automaton:
@@ -77,52 +94,83 @@ class Automaton:
 
 
 class CrossParser:
-    """Automata of all languages as one transition table of all texts' letters.
+    """Automata of all languages as one hashed table of transitions, which grows with the sample alone.
 
-    Letters are lower-cased; runs of anything else are one space. Letters that no sample has share a symbol
-    without transitions. ``per_text`` bounds the characters taken of a sampled row, ``per_language`` those
-    of a language, which shrink where more languages than usual would take the table over ``cells``.
+    Letters are lower-cased; runs of anything else are one space. A letter that no sample has is a phrase by
+    itself.
     """
 
-    def __init__(self, sample: list[tuple[str, str]], per_language: int = 12_000, per_text: int = 1000, cells: int = 50_000_000) -> None:
-        normal = [(lang, _normal(text)[:per_text]) for lang, text in sample]
-        letters = sorted(set("".join(t for _, t in normal)) | {" "})
-        self.width = len(letters) + 1
-        per_language = min(per_language, cells // (2 * self.width * max(1, len({lang for lang, _ in normal}))))
+    def __init__(self, sample: list[tuple[str, str]]) -> None:
         pieces: dict[str, list[str]] = {}
-        used: dict[str, int] = {}
-        for lang, part in normal:
-            part = part[: per_language - used.get(lang, 0)]
-            if part:
+        for lang, text in sample:
+            if part := _normal(text):
                 pieces.setdefault(lang, []).append(part)
-                used[lang] = used.get(lang, 0) + len(part)
         self.languages = sorted(pieces)
         #: Phrases cost as many bits as name a place in the sample.
-        self.bits = np.array([np.log2(used[lang] + 1) for lang in self.languages])
+        self.bits = np.array([np.log2(sum(map(len, pieces[lang])) + 1) for lang in self.languages])
+        letters = sorted(set().union(*(set(p) for parts in pieces.values() for p in parts)))
         code = {c: i + 1 for i, c in enumerate(letters)}
+        self.width = len(letters) + 1
         self.code = np.zeros(0x110000, np.int32)
         for c, i in code.items():
             self.code[ord(c)] = i
-        tables, self.roots, base = [], [], 0
+        keys, values, roots, base = [], [], [], 0
         for lang in self.languages:
             automaton = Automaton()
             for part in pieces[lang]:
                 for c in part:
                     automaton.extend(code[c])
                 automaton.last = 0
-            n = len(automaton.next)
-            rows = np.full((n + 1, self.width), -1, np.int32)
             for state, row in enumerate(automaton.next):
-                for c, t in row.items():
-                    rows[state, c] = t
-            # Where no transition is, a phrase ends before the letter and the next begins with it: the sign tells.
-            # State n is between phrases: at the start, and after a letter that the sample hasn't.
-            fresh = np.where(rows[0] >= 0, rows[0], n)
-            full = np.where(rows < 0, -(base + fresh[None, :]) * self.width - 1, (base + rows) * self.width)
-            tables.append(full.astype(np.int32))
-            self.roots.append((base + n) * self.width)
-            base += n + 1
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+                keys += [(base + state) * self.width + c for c in row]
+                values += [base + t for t in row.values()]
+            roots.append(base)
+            base += len(automaton.next)
+        self.root = np.array(roots, np.int64)
+        self._fill(np.array(keys, np.int64), np.array(values, np.int32))
+        #: Where a phrase that begins with a letter leads; back to the root where the sample hasn't the letter.
+        first = self._find(self.root[:, None] * self.width + np.arange(self.width))
+        self.first = np.where(first < 0, self.root[:, None], first)
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Linear probing in a table at most a quarter full."""
+        self.shift = 64 - max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << (64 - self.shift), -1, np.int64), np.zeros(1 << (64 - self.shift), np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            taken, at = np.unique(slot[free], return_index=True)
+            won = free[at]
+            self.keys[taken], self.values[taken] = keys[won], values[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The state that each ``state * width + letter`` leads to, -1 for none."""
+        flat = key.reshape(-1)
+        slot = self._slot(flat)
+        there = self.keys[slot]
+        hit = there == flat
+        out = np.where(hit, self.values[slot], -1)
+        on = np.flatnonzero(~hit & (there >= 0))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            there = self.keys[slot]
+            hit = there == flat[on]
+            out[on[hit]] = self.values[slot[hit]]
+            more = ~hit & (there >= 0)
+            on, slot = on[more], slot[more]
+        return out.reshape(key.shape)
+
+    def _step(self, state: np.ndarray, letter: np.ndarray, root: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a letter, and where it begins a phrase: after a whole one, and where the match ends."""
+        to = self._find(state * self.width + letter)
+        return np.where(to < 0, first, to), (to < 0) | (state == root)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text against each language, and the letters of each text."""
@@ -130,29 +178,64 @@ class CrossParser:
         n = np.array([len(t) for t in normal])
         letters = np.array([len(t) - t.count(" ") for t in normal])
         flat = self.code[np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        blocks = -(-n // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        begin = (np.cumsum(n) - n)[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        size = np.minimum(BLOCK, np.cumsum(n)[owner] - begin)
-        order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        active = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(owner), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for step in range(int(size[0]) if len(size) else 0):
-            k = active[step]
-            c = flat[begin[:k] + step]
-            to = self.table[state[:, :k] + c]
-            stop = to < 0
-            count[:, :k] += stop
-            np.abs(to + stop, out=to)
-            state[:, :k] = to
         total = np.zeros((len(self.languages), len(texts)), np.int64)
-        for row, x in zip(total, count, strict=True):
-            np.add.at(row, owner, x)
+        some = max(1, CELLS // max(1, len(flat)))
+        for lo in range(0, len(self.languages) if len(flat) else 0, some):
+            total[lo : lo + some] = self._counts(flat, n, slice(lo, lo + some))
         return total, letters
 
+    def _counts(self, flat: np.ndarray, n: np.ndarray, languages: slice) -> np.ndarray:
+        """Phrases of each text of ``n`` letters of ``flat`` against some languages.
+
+        Every block of a text is parsed as if a phrase began with it. The parse that comes from the block
+        before is then led on to the first place where both begin a phrase, from where they are one.
+        """
+        root, first = self.root[languages], self.first[languages]
+        blocks = -(-n // BLOCK)
+        owner = np.repeat(np.arange(len(n)), blocks)
+        stop = np.cumsum(n)[owner]
+        begin = stop - n[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        end = np.minimum(begin + BLOCK, stop)
+        order = np.argsort(begin - end, kind="stable")
+        size = (end - begin)[order]
+        state = np.repeat(root[:, None], len(owner), axis=1)
+        starts = np.zeros((len(root), len(flat)), bool)
+        active = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
+        for step in range(int(size[0])):
+            at = begin[order[: active[step]]] + step
+            letter = flat[at]
+            state[:, : len(at)], starts[:, at] = self._step(state[:, : len(at)], letter, root[:, None], first[:, letter])
+        count = np.add.reduceat(starts, begin, axis=1, dtype=np.int64)
+        own = np.empty_like(order)
+        own[order] = np.arange(len(order))
+        more, meet = np.zeros_like(count), np.full_like(count, -1)
+        open_ = np.flatnonzero(end < stop)
+        lang, block = np.repeat(np.arange(len(root)), len(open_)), np.tile(open_, len(root))
+        at, now = end[block], state[lang, own[block]]
+        while len(at):
+            letter = flat[at]
+            now, begins = self._step(now, letter, root[lang], first[lang, letter])
+            met = begins & starts[lang, at]
+            meet[lang[met], block[met]] = at[met]
+            more[lang, block] += begins & ~met
+            at = at + 1
+            on = ~met & (at < stop[block])
+            lang, block, at, now = lang[on], block[on], at[on], now[on]
+        total = np.zeros((len(root), len(n)), np.int64)
+        head = np.cumsum(blocks) - blocks
+        total[:, blocks > 0] = count[:, head[blocks > 0]]
+        for text in np.flatnonzero(blocks > 1).tolist():
+            h = int(head[text])
+            for k in range(len(root)):
+                b = h
+                while True:
+                    total[k, text] += more[k, b]
+                    if (p := int(meet[k, b])) < 0:
+                        break
+                    b = h + (p - int(begin[h])) // BLOCK
+                    total[k, text] += np.count_nonzero(starts[k, p : end[b]])
+        return total
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and a score: the share by which the runner-up needs more phrases."""
         total, letters = self.phrases([t or "" for t in texts])
@@ -196,19 +279,19 @@ def _predict(parser, keep: bool):
     return run
 
 
-def identify_languages(docs: DataFrame, per_language: int = 64, keep_rows: bool = False) -> DataFrame:
+def identify_languages(docs: DataFrame, per_language: int = 64, passage: int = 200, max_languages: int = 200, keep_rows: bool = False) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every row of ``docs`` (doc_id, text, lang).
 
     With ``keep_rows`` the row itself, with all its columns, comes as the struct ``row`` in place of doc_id.
 
-    The automata, of at most 12,000 characters a language from at most ``per_language`` rows, are learned
-    from rows that aren't held out. ``lang_pred`` is a learned language, the first by name on a tie; ``und``
-    (score 0) for a null text or one without letters, and where no language could be learned. ``score`` is
-    1 less the winner's cost over the runner-up's, 1 where only one language was learned. A null doc_id
-    isn't held out and isn't learned from. Whole texts are parsed. Equal texts get equal results; an empty
-    table gives an empty result.
+    The automata are learned from ``per_language`` passages of ``passage`` characters of each of at most
+    ``max_languages`` languages, from rows that aren't held out. ``lang_pred`` is a learned language, the first
+    by name on a tie; ``und`` (score 0) for a null text or one without letters, and where no language could be
+    learned. ``score`` is 1 less the winner's cost over the runner-up's, 1 where only one language was learned.
+    A null doc_id isn't held out and isn't learned from. Whole texts are parsed, each as one. Equal texts get
+    equal results; an empty table gives an empty result.
     """
-    parser = docs.sparkSession.sparkContext.broadcast(CrossParser(training_sample(docs, per_language)))
+    parser = docs.sparkSession.sparkContext.broadcast(CrossParser(training_sample(docs, per_language, passage, max_languages)))
     row = F.struct("*") if keep_rows else F.struct("doc_id", "text")
     rows = docs.select(row.alias("row"))
     first = rows.schema["row"] if keep_rows else docs.schema["doc_id"]
