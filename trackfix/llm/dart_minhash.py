@@ -5,10 +5,12 @@ fall on it as a Poisson process over (region, rank), and each dart names one of
 earliest rank per coordinate is the text's signature. About ``K ln K + 2 K`` darts a text do, whatever
 its length: a long text looks only at low ranks, and a text that leaves a coordinate empty looks further.
 
-Signatures are joined in bands. Texts that share a band with a bucket's least document make up candidate
-groups, found by contraction, so a bucket never spells out its pairs. Inside a group, texts that share any
-band are held against each other exactly, in blocks of bounded size; a block reports a spanning forest of
-its links, which gives the same components as all links.
+Signatures are joined in bands, one text of each class of equal shingle counts. First every text of a bucket
+is held exactly against the bucket's least one, so that a group of near copies, however large, is settled by
+as many comparisons as it has members. Only buckets whose texts are not of one component by then go on: what
+they connect make up candidate groups, and inside a group texts that share any band are held against each
+other exactly, in blocks of bounded size. A task reports a spanning forest of its links, which gives the same
+components as all links.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from trackfix.llm.hashing import batches, mix, salted
 from trackfix.llm.shingles import features
 from trackfix.operators.components import connected_components
-from trackfix.session import materialize
+from trackfix.session import join_sized, materialize
 
 ROWS, BANDS = 7, 36
 K = ROWS * BANDS
@@ -70,7 +72,7 @@ def signatures(key: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarr
 
 def _sketch(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_in:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column("text").to_pylist()
         for lo, hi in batches(texts):
             key, owner = features(texts[lo:hi])
             best, some = signatures(key, owner, hi - lo)
@@ -86,14 +88,15 @@ def _sketch(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = salted(band + np.arange(BANDS, dtype=np.uint64), 13).view(np.int64)
             offsets = pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(band[some].reshape(-1)))],
-                names=["doc_id", "h1", "h2", "n_features", "bands"],
+                [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "t")), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(band[some].reshape(-1)))],
+                names=["doc_id", "t", "h1", "h2", "n_features", "bands"],
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h1, h2, n_features, bands)`` of every row; equal ``h1, h2`` mean equal shingle counts."""
-    return docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, h1 long, h2 long, n_features long, bands array<long>")
+    """``(doc_id, t, h1, h2, n_features, bands)`` of every row; equal ``h1, h2`` mean equal shingle counts, ``t`` is a hash of the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(_sketch, f"doc_id {kind}, t long, h1 long, h2 long, n_features long, bands array<long>")
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -103,19 +106,21 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _block_links(threshold: float):
-    """Links of one task's candidate groups, as a spanning forest."""
+def _exact_links(threshold: float):
+    """Links of one task's groups, as a spanning forest on top of what is known already.
+
+    Rows of a group are of sides: those of side 0 are held against each other, those of side 1 against those of
+    side 2, where they share a band and are not yet connected. ``known`` is equal for what is.
+    """
 
     def links(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group.column("side").to_numpy(), group.column("grp").to_numpy()))  # side 1 before side 2
-        group = group.take(pa.array(order))
-        grp, ids = group.column("grp").to_numpy(), group.column("doc_id").to_numpy()
-        sides = group.column("side").to_numpy()
+        group = group.take(pa.array(np.lexsort((group.column("side").to_numpy(), group.column("grp").to_numpy()))))  # side 1 before side 2
+        grp, sides, known = (group.column(c).to_numpy() for c in ("grp", "side", "known"))
         text = group.column("text")
-        bands = np.stack(group.column("bands").to_numpy()) if len(ids) else np.zeros((0, BANDS), np.int64)
+        bands = np.stack(group.column("bands").to_numpy()) if len(grp) else np.zeros((0, BANDS), np.int64)
         out: list[tuple[int, int]] = []
         cut = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
-        for begin, end in zip(cut[:-1], cut[1:], strict=True):
+        for begin, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if end - begin < 2:
                 continue
             texts = text.slice(begin, end - begin).to_pylist()
@@ -123,83 +128,107 @@ def _block_links(threshold: float):
             for lo, hi in batches(texts):
                 key, owner = features(texts[lo:hi])
                 sets += np.split(key, np.cumsum(np.bincount(owner, minlength=hi - lo))[:-1])
-            sets = [np.sort(s) for s in sets]
-            side, own, parent = sides[begin:end], bands[begin:end], list(range(end - begin))
-            first, by_id = {}, ids[begin:end].tolist()
-            for i, d in enumerate(by_id):
-                parent[i] = first.setdefault(d, i)
+            side, own, parent, first = sides[begin:end], bands[begin:end], list(range(end - begin)), {}
+            for i, c in enumerate(known[begin:end].tolist()):
+                parent[i] = first.setdefault(c, i)
+            size = np.array([len(s) for s in sets])
             shared = [np.zeros((0, 3), np.int64)]
             for i in range(end - begin - 1):
                 if side[i] == 2:
                     continue
                 other = np.flatnonzero(side[i + 1 :] != side[i]) + i + 1 if side[i] else np.arange(i + 1, end - begin)
+                other = other[np.minimum(size[other], size[i]) >= threshold * np.maximum(size[other], size[i])]
                 same = (own[other] == own[i]).sum(axis=1)
                 hit = same > 0
                 shared.append(np.stack((same[hit], np.full(hit.sum(), i), other[hit]), axis=1))
             pairs = np.concatenate(shared)
-            known: dict[int, frozenset] = {}
-            as_set = lambda k: known.get(k) or known.setdefault(k, frozenset(sets[k].tolist()))  # noqa: B023, E731
+            seen: dict[int, frozenset] = {}
+            as_set = lambda k: seen.get(k) or seen.setdefault(k, frozenset(sets[k].tolist()))  # noqa: B023, E731
             for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
                 a, b = _find(parent, i), _find(parent, j)
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if a == b or small < threshold * large:
+                if a == b:
                     continue
                 common = len(as_set(i) & as_set(j))
-                if common >= threshold * (small + large - common):
+                if common >= threshold * (len(sets[i]) + len(sets[j]) - common):
                     parent[a] = b
-                    out.append((by_id[i], by_id[j]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                    out.append((begin + i, begin + j))
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({c: group.column("node").take(pa.array(ends[:, k])).combine_chunks() for k, c in enumerate("ab")})
 
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 500) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, block: int = 500, block_features: int = 1_000_000) -> DataFrame:
     """``(doc_id, class_id, component_id, kept)`` of every distinct doc_id of ``docs`` (columns doc_id, text).
 
     ``class_id`` is the least doc_id with the same shingle counts, ``component_id`` the least doc_id reachable
     over links of weighted Jaccard similarity of at least ``threshold``, ``kept`` whether it is this one.
     A text that is null or without words links with nothing. Rows that repeat a doc_id are one document,
-    linked by any of its rows; a null doc_id gets no row. An empty table gives an empty result.
+    linked by any of its texts, and equal rows are compared once; a null doc_id gets no row. An empty table
+    gives an empty result. ``doc_id`` is of any orderable type, a struct of fields that are never null included.
+
+    A task compares blocks of about ``block`` texts and ``block_features`` shingles; a longer text is a block
+    of its own.
     """
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     sketch = materialize(sketches(docs))
     some = sketch.where("n_features > 0")
-    same = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
-    first = some.join(same.select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "class_id", "bands")
-    member = materialize(first.select("doc_id", "class_id"))
-    reps = materialize(first.where("doc_id = class_id").select("doc_id", "bands"))
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("band", "hub")
-    star = banded.join(hubs, "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    groups = connected_components(star, "doc_id", "hub")
-    links = _verified(docs, reps, groups, threshold, block)
-    copies = member.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    component = connected_components(links.unionByName(copies), "a", "b")
-    ids = sketch.select("doc_id").distinct()
-    classes = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    joined = ids.join(classes, "doc_id", "left").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return joined.select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
-    )
-
-
-def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Exact links inside the candidate groups, each pair of blocks of a group in one task of bounded size."""
-    groups = materialize(groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp"))
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).select("grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    total = groups.count()
-    tasks = max(1, -(-total // block))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = groups.join(sizes, "grp").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("other", other).select(
-        "doc_id", "grp",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-        F.when(F.col("blocks") > 1, F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.pmod(F.xxhash64("grp"), F.lit(tasks))).alias("task"),
-    )
-    texts = placed.join(reps, "doc_id").join(docs, "doc_id")
-    return materialize(texts.select("doc_id", "grp", "side", "task", "bands", "text").groupBy("task").applyInArrow(_block_links(threshold), "a long, b long"))
+    least = F.min(F.struct("doc_id", "t")).alias("least")
+    classes = some.groupBy("h1", "h2").agg(least, F.first("n_features").alias("n_features"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("h1", "h2", F.col("least.doc_id").alias("node"), F.col("least.t").alias("t"), "n_features", "bands"))
+    member = materialize(some.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", F.col("node").alias("class_id")), ["h1", "h2"]).select("doc_id", "class_id"))
+    links = _links(docs, classes, threshold, block, block_features)
+    several = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("last")).where("b < last").select("doc_id", "b")
+    texts_of_one = member.join(several, "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b").distinct()
+    component = materialize(connected_components(links.unionByName(texts_of_one), "a", "b"))
+    own = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    ids = sketch.select("doc_id").distinct().join(own, "doc_id", "left")
+    found = ids.join(component.withColumnRenamed("node", "class_id"), "class_id", "left")
+    component_id = F.coalesce("component", "class_id", "doc_id")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), component_id.alias("component_id"), (component_id == F.col("doc_id")).alias("kept"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, threshold: float, block: int, block_features: int) -> DataFrame:
+    """A spanning forest ``(a, b)`` of all links between classes that share a band."""
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
+    shared = materialize(banded.join(hubs, "band").select("node", "band", "hub"))
+    wanted = materialize(shared.select("node").distinct().join(classes.select("node", "t", "n_features", "bands"), "node"))
+    keyed = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("t"), "text").groupBy("node", "t").agg(F.min("text").alias("text"))
+    texts = join_sized(keyed, materialize(wanted.select("node", "t").distinct()), ["node", "t"], "left_semi")
+    texts = materialize(texts.join(wanted, ["node", "t"]))
+    size = texts.groupBy("node").agg(F.sum("n_features").alias("n"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_features)).cast("int").alias("blocks")
+    number = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), n).cast("int")
+
+    def compared(placed: DataFrame) -> DataFrame:
+        """Links of ``placed`` (node, known, grp, side, blocks); groups of one block share tasks."""
+        placed = materialize(placed)
+        rows, features_ = placed.join(size, "node").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        tasks = max(1, -(-rows // block), -(-features_ // block_features))
+        task = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(tasks)))
+        given = placed.select("node", "known", "grp", "side", task.alias("task")).join(texts, "node")
+        kind = classes.schema["node"].dataType.simpleString()
+        return materialize(given.select("node", "known", "grp", "side", "task", "bands", "text").groupBy("task").applyInArrow(_exact_links(threshold), f"a {kind}, b {kind}"))
+
+    star = materialize(shared.where("node <> hub").select("node", "hub").distinct())
+    parts = materialize(star.join(size, "node").groupBy("hub").agg(blocks))
+    spoke = star.join(parts, "hub").select("node", "hub", "blocks", number("node", F.col("blocks")).alias("part"), F.lit(2).alias("side"))
+    hub = parts.select(F.col("hub").alias("node"), "hub", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("side"))
+    of_hubs = compared(spoke.unionByName(hub).select("node", F.xxhash64("node").alias("known"), F.xxhash64("hub", "part").alias("grp"), "side", "blocks"))
+
+    proven = materialize(connected_components(of_hubs, "a", "b"))
+    known = F.coalesce("component", "node")
+    labelled = materialize(shared.join(proven, "node", "left").select("node", "band", "hub", known.alias("component")))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("band")
+    rest = materialize(labelled.join(mixed, "band").select("node", "hub", "component").distinct())
+    if rest.isEmpty():
+        return of_hubs
+    group = connected_components(rest.where("node <> hub"), "node", "hub").select("node", F.col("component").alias("g"))
+    group = materialize(group.join(rest.select("node", "component").distinct(), "node"))
+    parts = group.join(size, "node").groupBy("g").agg(blocks)
+    placed = group.join(parts, "g").withColumn("own", number("node", F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    of_groups = compared(placed.select("node", F.xxhash64("component").alias("known"), F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), side.alias("side"), "blocks"))
+    return of_hubs.unionByName(of_groups)
