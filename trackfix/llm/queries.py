@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ URL_RULES = [Rule("org/", "allow"), Rule("example.org/es/", "block"), Rule("exam
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from every participant's perspective."""
-    return rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+    return rotate_perspectives(read_table(spark, sf_dir, "conversations"), offsets=False).drop("part")
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +54,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens of all documents."""
+    import public_tokenizers
+
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
