@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A folder for intermediate tables in the shared checkpoint folder that the session names.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, is a temporary folder made.
-    The folder goes when the application ends.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local, as in tests on one machine, is a
+    temporary folder made; on a cluster that raises. The folder goes when the application ends.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
@@ -26,6 +27,8 @@ def scratch_dir(spark: SparkSession) -> str:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = context.get() if context.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/trackfix-{spark.sparkContext.applicationId}"
