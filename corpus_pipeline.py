@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfix.llm.best_fit_packing import pack_documents
@@ -26,14 +25,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one of the least doc_id.
+    """Keeps one document of each near-duplicate group, the one of the least doc_id; a null one comes last.
 
-    Of rows that repeat a doc_id the one with the first text stays; rows without a doc_id all stay.
+    A document is a doc_id with a text: rows that repeat both leave one, rows of one doc_id with different
+    texts are documents of their own and stay unless they are alike. Texts without words are like nothing.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    named = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast("long")), "__text": F.xxhash64("text")}
+    keyed = docs.withColumns(named)
+    kept = near_duplicates(keyed.select(F.struct(*named).alias("doc_id"), "text")).where("kept").select("doc_id.*")
+    return keyed.dropDuplicates([*named]).join(kept.hint("merge"), [*named], "left_semi").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
