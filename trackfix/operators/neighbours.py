@@ -15,56 +15,67 @@ def squared_distance(a: str = "a", b: str = "b") -> Column:
     return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in AXES), F.lit(0.0))
 
 
+def boxed(points: DataFrame, part: list[str], leaf: int) -> tuple[DataFrame, DataFrame]:
+    """``points`` (part..., k, AXES) with their ``box`` of at most ``leaf`` points, and each box's bounds.
+
+    Slabs of equal counts along x are cut into as many along y, and these along z. So boxes are small where
+    points are dense and wide where they are sparse; an outlier widens one of them.
+    """
+    size = F.count(F.lit(1)).over(Window.partitionBy(*part))
+    placed, by = points.withColumn("cuts", F.ceil(F.cbrt(size / leaf))), list(part)
+    for axis in AXES:
+        own = Window.partitionBy(*by)
+        place = F.row_number().over(own.orderBy(axis, "k")) - 1
+        placed = placed.withColumn("at" + axis, F.floor(place * F.col("cuts") / F.count(F.lit(1)).over(own)))
+        by.append("at" + axis)
+    number = sum((F.col("at" + axis) * F.pow("cuts", F.lit(i)).cast("long") for i, axis in enumerate(AXES)), F.lit(0))
+    placed = materialize(placed.select(*part, "k", *AXES, number.alias("box")))
+    bounds = placed.groupBy(*part, "box").agg(*[f(axis).alias(name + axis) for axis in AXES for f, name in ((F.min, "lo"), (F.max, "hi"))])
+    return placed, bounds
+
+
+def _gap(a: str) -> Column:
+    """Squared distance of a point to a box, 0 inside; never over that to a point of the box, rounding included."""
+    out = [F.greatest(F.col("lo" + c) - F.col(f"{a}.{c}"), F.lit(0.0), F.col(f"{a}.{c}") - F.col("hi" + c)) for c in AXES]
+    return sum((d * d for d in out), F.lit(0.0))
+
+
 def nearest(points: DataFrame, part: list[str], k: int, key: str = "query") -> DataFrame:
     """``(part..., a, b, d2, rank)``: the ``k`` nearest other points of each point, ties by ``key``.
 
-    Points are laid on a grid sized for about ``k`` of them a cell and joined with the 27 cells around; a
-    point is settled when its k-th neighbour is no farther than a cell's side, and the others go on to a grid
-    twice as coarse. So a round joins by cell, never all pairs of a partition. Non-finite points have no
-    neighbours.
+    A point's ``k`` nearest within its own box bound its reach, and only the boxes that the reach touches are
+    searched beyond. Non-finite points have no neighbours.
     """
     xyz = [F.col(c) for c in AXES]
-    pts = points.where(finite(*xyz)).select(*part, F.col(key).alias("k"), *AXES)
-    box = pts.groupBy(*part).agg(*[F.min(c).alias("lo_" + c) for c in AXES], F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("extent"), F.count(F.lit(1)).alias("n"))
-    per_axis = F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("n") / k)))
-    side = F.when(F.col("extent") > 0, F.col("extent") / per_axis).otherwise(F.lit(1.0))
-    placed = materialize(pts.join(box.withColumn("side", side), part))
-    todo, scale, out = placed, 1, None
-    while not todo.isEmpty():
-        h = F.col("side") * scale
-        cell = [F.floor((F.col(c) - F.col("lo_" + c)) / h).alias("c" + c) for c in AXES]
-        right = placed.select(*part, F.struct("k", *AXES).alias("b"), *cell)
-        around = F.expr("transform(sequence(0, 26), i -> named_struct('x', i % 3 - 1, 'y', (i div 3) % 3 - 1, 'z', i div 9 - 1))")
-        left = todo.select(*part, F.struct("k", *AXES).alias("a"), h.alias("h"), "extent", *cell, F.explode(around).alias("o"))
-        left = left.select(*part, "a", "h", "extent", *[(F.col("c" + c) + F.col(f"o.{o}")).alias("c" + c) for c, o in zip(AXES, "xyz", strict=True)])
-        pairs = left.join(right, [*part, *["c" + c for c in AXES]]).where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance())
-        mine = Window.partitionBy(*part, "a.k")
-        ranked = pairs.withColumn("rank", F.row_number().over(mine.orderBy("d2", "b.k"))).where(F.col("rank") <= k)
-        settled = ((F.max("rank").over(mine) >= k) & (F.max("d2").over(mine) <= F.col("h") * F.col("h"))) | (F.col("h") >= F.col("extent"))
-        found = materialize(ranked.withColumn("settled", settled).where("settled").select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2", "rank"))
-        out = found if out is None else out.unionByName(found)
-        rest = todo.where(h < F.col("extent")).join(found.select(*part, F.col("a").alias("k")).distinct(), [*part, "k"], "left_anti")
-        todo, scale = materialize(rest), scale * 2
-    if out is None:
-        empty = placed.select(*part, F.col("k").alias("a"), F.col("k").alias("b"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
-        return empty.where(F.lit(False))
-    return out
+    placed, bounds = boxed(points.where(finite(*xyz)).select(*part, F.col(key).alias("k"), *AXES), part, max(32, 2 * k))
+    at, mine = F.struct("k", *AXES), Window.partitionBy(*part, "a.k")
+    best = lambda pairs: pairs.withColumn("rank", F.row_number().over(mine.orderBy("d2", "b.k"))).where(F.col("rank") <= k)
+    inside = placed.select(*part, "box", at.alias("a")).join(placed.select(*part, "box", at.alias("b")), [*part, "box"])
+    inside = inside.where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance())
+    inside = materialize(best(inside).select(*part, "a", "b", "d2"))
+    reach = inside.groupBy(*part, F.col("a.k").alias("k")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("reach"))
+    seeking = placed.join(reach, [*part, "k"], "left").select(*part, "box", at.alias("a"), F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    touched = seeking.withColumnRenamed("box", "own").join(bounds, part).where((F.col("own") != F.col("box")) & (_gap("a") <= F.col("reach")))
+    beyond = touched.select(*part, "box", "a", "reach").join(placed.select(*part, "box", at.alias("b")), [*part, "box"])
+    beyond = beyond.withColumn("d2", squared_distance()).where(F.col("d2") <= F.col("reach")).select(*part, "a", "b", "d2")
+    return best(inside.unionByName(beyond)).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2", "rank")
 
 
 def radius_pairs(items: DataFrame, part: list[str], key: str, radius: str) -> DataFrame:
-    """``(part..., a, b, d2)`` with ``a < b`` no farther apart than the radius of ``a``; for tables of group size."""
-    cols = [F.col(key).alias("k"), *AXES, F.col(radius).alias("r")]
-    a = items.select(*part, F.struct(*cols).alias("a"))
-    b = items.select(*part, F.struct(*cols).alias("b"))
-    near = a.join(b, part).where((F.col("a.k") < F.col("b.k")) & (squared_distance() <= F.col("a.r") * F.col("a.r")))
-    return near.select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), squared_distance().alias("d2"))
+    """``(part..., a, b, d2)`` with ``a < b`` no farther apart than the radius of ``a``; only boxes in reach are searched.
+
+    Non-finite items and radii pair with nothing.
+    """
+    xyz, reach = [F.col(c) for c in AXES], F.col(radius)
+    some = items.where(finite(*xyz, reach)).select(*part, F.col(key).alias("k"), *AXES, reach.alias("r"))
+    placed, bounds = boxed(some.select(*part, "k", *AXES), part, 64)
+    at = F.struct("k", *AXES)
+    seeking = some.select(*part, at.alias("a"), (F.col("r") * F.col("r")).alias("reach"))
+    touched = seeking.join(bounds, part).where(_gap("a") <= F.col("reach")).select(*part, "box", "a", "reach")
+    pairs = touched.join(placed.select(*part, "box", at.alias("b")), [*part, "box"]).where(F.col("a.k") < F.col("b.k")).withColumn("d2", squared_distance())
+    return pairs.where(F.col("d2") <= F.col("reach")).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2")
 
 
 def nearest_centroid(items: DataFrame, part: list[str], key: str) -> DataFrame:
-    """``(part..., a, b, d2)``: the nearest other item of each, the lowest key on ties; NaN never wins."""
-    cols = [F.col(key).alias("k"), *AXES]
-    a = items.select(*part, F.struct(*cols).alias("a"))
-    b = items.select(*part, F.struct(*cols).alias("b"))
-    pairs = a.join(b, part).where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).where(~F.isnan("d2"))
-    best = pairs.groupBy(*part, F.col("a.k").alias("a")).agg(F.min(F.struct("d2", F.col("b.k").alias("b"))).alias("m"))
-    return best.select(*part, "a", F.col("m.b").alias("b"), F.col("m.d2").alias("d2"))
+    """``(part..., a, b, d2)``: the nearest other item of each, the lowest key on ties; non-finite ones never win."""
+    return nearest(items, part, 1, key).select(*part, "a", "b", "d2")
