@@ -32,13 +32,15 @@ def group_params(anchored: DataFrame, forms: DataFrame, points: DataFrame, obser
     """
     unknown = F.when(F.col("form").isin(*FORMS), F.col("form")).otherwise(F.raise_error(F.concat(F.lit("unsupported correction form: "), F.coalesce("form", F.lit("null")))).cast("string"))
     a = materialize(anchored.join(forms.select(*GROUP, unknown.alias("form")), GROUP))
-    cam = est.camera_scale(a.where(F.col("form").isin(*CAMERA)), cameras)
-    anc = est.anchor_scale(a.where(F.col("form").isin(*ANCHOR)))
-    base = a.select(*GROUP, "form").distinct().join(cam, GROUP, "left").join(anc, GROUP, "left")
+    first = a.where("ord = 0").select(*GROUP, "frame").join(cameras, [SEQ, "frame"], "left").select(*GROUP, *[F.col("c" + x).alias("c0" + x) for x in AXES])
+    about = a.join(est.first_anchors(a), GROUP).join(first, GROUP)
+    alpha = F.when(F.col("form").isin(*CAMERA), est.camera_ratio())
+    s = F.when(F.col("form").isin(*ANCHOR), est.anchor_ratio())
+    centre = ["c0" + x for x in AXES]
+    sums = about.groupBy(*GROUP, "form", *est.FIRST, *centre).agg(est.median_scale(alpha).alias("alpha"), est.median_scale(s).alias("s"), *est.anchor_moments(est.about_first()))
     fallback = F.col("form").isin(*CAMERA) & F.col("alpha").isNull() | (F.col("form") == "full_sim3")
-    base = materialize(base.withColumn("fallback", fallback))
-    fits = est.sim3_fit(a.join(base.where("fallback").select(*GROUP), GROUP, "left_semi"))
-    p = base.join(fits, GROUP, "left")
+    sums = materialize(sums.withColumn("fallback", fallback))
+    p = sums.drop(*[c for c in sums.columns if c.startswith("m_")]).join(est.solve_similarities(sums.where("fallback").drop("form", "alpha", "s", *centre)), GROUP, "left")
     mode = (
         F.when(F.col("alpha").isNotNull(), "camera")
         .when(F.col("s").isNotNull(), "anchor")
@@ -47,7 +49,7 @@ def group_params(anchored: DataFrame, forms: DataFrame, points: DataFrame, obser
         .otherwise("none")
     )
     shifts = F.col("mode").isin("camera", "shift") | ((F.col("mode") == "anchor") & (F.col("form") == "scale_about_anchor_translation"))
-    params = materialize(p.withColumn("mode", mode).withColumn("shifts", shifts))
+    params = p.withColumn("mode", mode).withColumn("shifts", shifts)
     framed = a.where(F.col("form") == CAMERA[0])
     alphas = est.per_frame_scale(framed, points, observations, cameras, cfg.per_frame_scale_min_anchors)
     series = est.smoothed_scale(alphas, cameras, cfg.per_frame_scale_smooth_sigma).withColumnRenamed("alpha", "alpha_t")
@@ -55,13 +57,15 @@ def group_params(anchored: DataFrame, forms: DataFrame, points: DataFrame, obser
 
 
 def scaled(cells: DataFrame, params: DataFrame, series: DataFrame, cameras: DataFrame) -> DataFrame:
-    """``cells`` (keys and raw x, y, z, with group_id) with sx, sy, sz: positions before the translation.
+    """``cells`` (keys and raw x, y, z, with group_id) with mode, shifts and sx, sy, sz: positions before the translation.
+
+    Cells without a group or a group's parameters keep their positions, and have no mode.
 
     The camera form of per-frame scales applies the group's scale first and the frame's scale, estimated on
     raw positions as well, on top of it.
     """
-    own = ["mode", "shifts", "form", "alpha", "c0x", "c0y", "c0z", "s", "a0x", "a0y", "a0z", "t0x", "t0y", "t0z", "scale", "r", "tx", "ty", "tz"]
-    both = cells.join(params.select(*GROUP, *own), GROUP).join(series, [*GROUP, "frame"], "left").join(cameras, [SEQ, "frame"])
+    own = [*(c for c in params.columns if c in ("dx", "dy", "dz")), "mode", "shifts", "form", "alpha", "c0x", "c0y", "c0z", "s", "a0x", "a0y", "a0z", "t0x", "t0y", "t0z", "scale", "r", "tx", "ty", "tz"]
+    both = cells.join(params.select(*GROUP, *own), GROUP, "left").join(series, [*GROUP, "frame"], "left").join(cameras, [SEQ, "frame"], "left")
     whole = {a: F.col("c0" + a) + F.col("alpha") * (F.col(a) - F.col("c0" + a)) for a in AXES}
     frame_scale = F.coalesce(F.when(~F.isnan("alpha_t"), F.col("alpha_t")), F.col("alpha"))
     framed = {a: F.col("c" + a) + frame_scale * (c - F.col("c" + a)) for a, c in whole.items()}
@@ -74,7 +78,7 @@ def scaled(cells: DataFrame, params: DataFrame, series: DataFrame, cameras: Data
         anchor = F.col("t0" + a) + F.col("s") * (F.col(a) - F.col("a0" + a))
         return F.when(F.col("mode") == "camera", camera).when(F.col("mode") == "anchor", anchor).when(F.col("mode") == "sim3", turned(i)).otherwise(F.col(a))
 
-    return both.select(*cells.columns, "shifts", *[position(i, a).alias("s" + a) for i, a in enumerate(AXES)])
+    return both.select(*cells.columns, *[c for c in own if c in ("dx", "dy", "dz", "mode", "shifts")], *[position(i, a).alias("s" + a) for i, a in enumerate(AXES)])
 
 
 def apply_corrections(points: DataFrame, observations: DataFrame, cameras: DataFrame, groups: DataFrame, anchors: DataFrame, forms: DataFrame, cfg: RectifyConfig) -> DataFrame:
@@ -87,13 +91,10 @@ def apply_corrections(points: DataFrame, observations: DataFrame, cameras: DataF
     params, series = group_params(anchored, forms, points, observations, cameras, cfg)
     at = scaled(anchored, params, series, cameras).where("shifts")
     moved = at.select(*GROUP, *[F.col("s" + a).alias(a) for a in AXES], "gx", "gy", "gz")
-    shift = materialize(est.group_translation(moved))
-    member = points.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"])
-    new = scaled(member.select(SEQ, "frame", "query", "group_id", *AXES), params, series, cameras).join(shift, GROUP, "left")
+    shifted = materialize(params.join(est.group_translation(moved), GROUP, "left"))
+    new = scaled(points.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"], "left"), shifted, series, cameras)
     place = {a: F.col("s" + a) + F.when(F.col("shifts"), F.coalesce("d" + a, F.lit(0.0))).otherwise(F.lit(0.0)) for a in AXES}
-    fixed = new.select(SEQ, "frame", "query", *[c.alias("n" + a) for a, c in place.items()])
-    out = points.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"], "left").join(fixed, [SEQ, "frame", "query"], "left")
-    return out.select(SEQ, "frame", "query", "visible", "group_id", *[F.coalesce("n" + a, a).alias(a) for a in AXES], F.col("nx").isNotNull().alias("moved"))
+    return new.select(SEQ, "frame", "query", "visible", "group_id", *[F.coalesce(c, a).alias(a) for a, c in place.items()], F.col("mode").isNotNull().alias("moved"))
 
 
 def apply_form(points: DataFrame, observations: DataFrame, cameras: DataFrame, groups: DataFrame, anchors: DataFrame, form: str, cfg: RectifyConfig | None = None) -> DataFrame:

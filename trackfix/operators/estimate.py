@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from trackfix.functions.scalars import SEQ, above, finite, nan_median, norm3
 
 GROUP = [SEQ, "group_id"]
 AXES = ("x", "y", "z")
-MIN_RATIO, MIN_SCALE = 1e-3, 1e-8
+MIN_RATIO, MIN_SCALE, MIN_SPREAD = 1e-3, 1e-8, 1e-12
 
 
 def anchor_points(anchors: DataFrame, points: DataFrame, observations: DataFrame) -> DataFrame:
@@ -32,18 +33,27 @@ def _offsets(of: tuple[str, ...], origin: tuple[str, ...]) -> list[Column]:
     return [F.col(a) - F.col(b) for a, b in zip(of, origin, strict=True)]
 
 
-def _scale(r: Column) -> Column:
+def median_scale(r: Column) -> Column:
     """Median ratio of a group, null unless every ratio is finite and the median is positive."""
     m = F.median(r)
     return F.when(F.bool_and(finite(F.coalesce(r, F.lit(1.0)))) & finite(m) & (m > MIN_SCALE), m)
 
 
+def camera_ratio() -> Column:
+    """An anchor's ratio of distances from the camera (c0) of its group's first anchor."""
+    centre = ("c0x", "c0y", "c0z")
+    return ratio(_offsets(AXES, centre), _offsets(("gx", "gy", "gz"), centre))
+
+
+def anchor_ratio() -> Column:
+    """An anchor's ratio of distances from its group's first anchor, null for that one."""
+    return F.when(F.col("ord") != 0, ratio(_offsets(AXES, ("a0x", "a0y", "a0z")), _offsets(("gx", "gy", "gz"), ("t0x", "t0y", "t0z"))))
+
+
 def camera_scale(anchored: DataFrame, cameras: DataFrame) -> DataFrame:
     """``(seq_id, group_id, c0x, c0y, c0z, alpha)``: scale about the camera of the first anchor's frame; alpha may be null."""
     first = anchored.where("ord = 0").select(*GROUP, "frame").join(cameras, [SEQ, "frame"]).select(*GROUP, *[F.col("c" + a).alias("c0" + a) for a in AXES])
-    centre = ("c0x", "c0y", "c0z")
-    r = ratio(_offsets(AXES, centre), _offsets(("gx", "gy", "gz"), centre))
-    return anchored.join(first, GROUP).groupBy(*GROUP, *centre).agg(_scale(r).alias("alpha"))
+    return anchored.join(first, GROUP).groupBy(*GROUP, *["c0" + a for a in AXES]).agg(median_scale(camera_ratio()).alias("alpha"))
 
 
 def per_frame_scale(anchored: DataFrame, points: DataFrame, observations: DataFrame, cameras: DataFrame, least: int = 1) -> DataFrame:
@@ -56,7 +66,7 @@ def per_frame_scale(anchored: DataFrame, points: DataFrame, observations: DataFr
     cells = points.where("visible").select(*keys, *AXES).join(queries, [SEQ, "query"]).join(observations, keys).join(cameras, [SEQ, "frame"])
     centre = ("cx", "cy", "cz")
     r = ratio(_offsets(AXES, centre), _offsets(("gx", "gy", "gz"), centre))
-    out = cells.withColumn("r", r).groupBy(*GROUP, "frame").agg(F.count(F.lit(1)).alias("cells"), F.count("r").alias("n"), _scale(F.col("r")).alias("alpha"))
+    out = cells.withColumn("r", r).groupBy(*GROUP, "frame").agg(F.count(F.lit(1)).alias("cells"), F.count("r").alias("n"), median_scale(F.col("r")).alias("alpha"))
     return out.where((F.col("cells") >= least) & (F.col("n") >= least) & F.col("alpha").isNotNull()).select(*GROUP, "frame", "alpha")
 
 
@@ -100,10 +110,7 @@ def smoothed_scale(alphas: DataFrame, frames: DataFrame, sigma: float = 2.0) ->
 
 def anchor_scale(anchored: DataFrame) -> DataFrame:
     """``(seq_id, group_id, a0x.., t0x.., s)``: scale about the first anchor (predicted a0, observed t0); s may be null."""
-    first = anchored.where("ord = 0").select(*GROUP, *[F.col(a).alias("a0" + a) for a in AXES], *[F.col("g" + a).alias("t0" + a) for a in AXES])
-    r = ratio(_offsets(AXES, ("a0x", "a0y", "a0z")), _offsets(("gx", "gy", "gz"), ("t0x", "t0y", "t0z")))
-    r = F.when(F.col("ord") != 0, r)
-    return anchored.join(first, GROUP).groupBy(*GROUP, *["a0" + a for a in AXES], *["t0" + a for a in AXES]).agg(_scale(r).alias("s"))
+    return anchored.join(first_anchors(anchored), GROUP).groupBy(*GROUP, *FIRST).agg(median_scale(anchor_ratio()).alias("s"))
 
 
 def group_translation(anchored: DataFrame) -> DataFrame:
@@ -113,36 +120,77 @@ def group_translation(anchored: DataFrame) -> DataFrame:
     return anchored.groupBy(*GROUP).agg(*[F.when(ok, nan_median(c)).alias("d" + a) for a, c in d.items()])
 
 
-def fit_similarity(src: np.ndarray, dst: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Least-squares scale, rotation and translation of at least three points; None where degenerate.
+def anchor_moments(about_first: list[tuple[Column, Column]]) -> list[Column]:
+    """Sums over a group's pairs of predicted and observed offsets from its first anchor, which are all that a similarity fit needs."""
+    pred, true = zip(*about_first, strict=True)
+    ok = F.bool_and(finite(*pred, *true)).alias("m_ok")
+    means = [F.avg(c).alias(f"m_{name}{i}") for name, cs in (("p", pred), ("q", true)) for i, c in enumerate(cs)]
+    products = [F.avg(q * p).alias(f"m_qp{i}{j}") for i, q in enumerate(true) for j, p in enumerate(pred)]
+    return [F.count(F.lit(1)).alias("m_n"), ok, F.avg(sum((p * p for p in pred), F.lit(0.0))).alias("m_pp"), *means, *products]
+
 
-    A reflection is turned into a rotation, and the scale stays the plain sum of singular values.
+def similarities(count: np.ndarray, mean_pred: np.ndarray, mean_true: np.ndarray, power: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least-squares ``(fits, scale, rotation, translation)`` of many groups from their moments.
+
+    A group fits with three points or more that spread and a positive scale. A best map that mirrors is made a
+    rotation; its scale stays the plain sum of singular values over the spread.
     """
-    if len(src) < 3 or not (np.isfinite(src).all() and np.isfinite(dst).all()):
-        return None
-    mean_src, mean_dst = src.mean(axis=0), dst.mean(axis=0)
-    a, b = src - mean_src, dst - mean_dst
-    spread = (a * a).sum() / len(a)
-    if spread < 1e-12:
-        return None
-    u, d, vt = np.linalg.svd(b.T @ a / len(a))
-    flip = np.array([1.0, 1.0, -1.0 if np.linalg.det(u @ vt) < 0 else 1.0])
-    scale = float(d.sum() / spread)
-    if not np.isfinite(scale) or scale <= MIN_SCALE:
+    spread = power - (mean_pred**2).sum(axis=1)
+    fits = (count >= 3) & (spread >= MIN_SPREAD)
+    cross = np.where(fits[:, None, None], products - mean_true[:, :, None] * mean_pred[:, None, :], 0.0)
+    left, stretch, right = np.linalg.svd(cross)
+    left[np.linalg.det(left) * np.linalg.det(right) < 0, :, 2] *= -1
+    rotation = left @ right
+    scale = stretch.sum(axis=1) / np.where(fits, spread, 1.0)
+    fits &= np.isfinite(scale) & (scale > MIN_SCALE)
+    return fits, scale, rotation, mean_true - scale[:, None] * np.einsum("gij,gj->gi", rotation, mean_pred)
+
+
+def fit_similarity(src: np.ndarray, dst: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Scale, rotation and translation of one set of points; None where there is no fit."""
+    if not len(src) or not (np.isfinite(src).all() and np.isfinite(dst).all()):
         return None
-    rotation = (u * flip) @ vt
-    return scale, rotation, mean_dst - scale * rotation @ mean_src
+    p, q = src - src[0], dst - dst[0]
+    n = np.array([len(p)])
+    fits, scale, rotation, shift = similarities(n, p.mean(axis=0)[None], q.mean(axis=0)[None], (p * p).sum(axis=1).mean(keepdims=True), (q.T @ p / len(p))[None])
+    return (float(scale[0]), rotation[0], shift[0] + dst[0] - scale[0] * rotation[0] @ src[0]) if fits[0] else None
 
 
-def sim3_fit(anchored: DataFrame) -> DataFrame:
-    """``(seq_id, group_id, scale, r array<double> (row by row), tx, ty, tz)`` of groups that have a fit."""
-    kinds = {f.name: f.dataType.simpleString() for f in anchored.schema.fields}
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        column = lambda *names: b[list(names)].to_numpy(float)
+        products = column(*[f"m_qp{i}{j}" for i in range(3) for j in range(3)]).reshape(-1, 3, 3)
+        good = b["m_ok"].to_numpy(bool) & np.isfinite(products).all(axis=(1, 2))
+        clean = lambda x: np.where(good.reshape(-1, *[1] * (x.ndim - 1)), x, 0.0)
+        n = np.where(good, b["m_n"].to_numpy(), 0)
+        fits, scale, rotation, shift = similarities(n, clean(column("m_p0", "m_p1", "m_p2")), clean(column("m_q0", "m_q1", "m_q2")), clean(b["m_pp"].to_numpy(float)), clean(products))
+        shift = shift + column("t0x", "t0y", "t0z") - scale[:, None] * np.einsum("gij,gj->gi", rotation, column("a0x", "a0y", "a0z"))
+        out = pd.DataFrame({SEQ: b[SEQ], "group_id": b["group_id"], "scale": scale, "r": list(rotation.reshape(-1, 9)), "tx": shift[:, 0], "ty": shift[:, 1], "tz": shift[:, 2]})
+        yield out[fits]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        found = fit_similarity(pdf[["x", "y", "z"]].to_numpy(float), pdf[["gx", "gy", "gz"]].to_numpy(float))
-        rows = [] if found is None else [(pdf[SEQ].iloc[0], pdf["group_id"].iloc[0], found[0], found[1].reshape(-1).tolist(), *found[2].tolist())]
-        return pd.DataFrame(rows, columns=[SEQ, "group_id", "scale", "r", "tx", "ty", "tz"])
 
+def solve_similarities(moments: DataFrame) -> DataFrame:
+    """``(seq_id, group_id, scale, r array<double> (row by row), tx, ty, tz)`` of the groups that have a fit.
+
+    ``moments`` has one row a group: its ``anchor_moments`` and first anchor (a0, t0). Many groups are solved at once.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
     schema = f"{SEQ} {kinds[SEQ]}, group_id {kinds['group_id']}, scale double, r array<double>, tx double, ty double, tz double"
-    return anchored.select(*GROUP, "ord", *AXES, "gx", "gy", "gz").groupBy(*GROUP).applyInPandas(fit, schema)
+    return moments.mapInPandas(_solved, schema)
+
+
+def first_anchors(anchored: DataFrame) -> DataFrame:
+    """``(seq_id, group_id, a0x.., t0x..)``: each group's first anchor, predicted and observed."""
+    return anchored.where("ord = 0").select(*GROUP, *[F.col(a).alias("a0" + a) for a in AXES], *[F.col("g" + a).alias("t0" + a) for a in AXES])
+
+
+FIRST = [o + a for o in ("a0", "t0") for a in AXES]
+
+
+def about_first() -> list[tuple[Column, Column]]:
+    return [(F.col(a) - F.col("a0" + a), F.col("g" + a) - F.col("t0" + a)) for a in AXES]
+
+
+def sim3_fit(anchored: DataFrame) -> DataFrame:
+    """Similarity fits of groups: sums over the anchors in Spark, then one decomposition for many groups."""
+    return solve_similarities(anchored.join(first_anchors(anchored), GROUP).groupBy(*GROUP, *FIRST).agg(*anchor_moments(about_first())))
