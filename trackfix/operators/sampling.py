@@ -15,11 +15,15 @@ def _draw(seed: int, *names: str) -> Column:
 
 
 def candidate_cells(points: DataFrame, observations: DataFrame, groups: DataFrame, budget: DataFrame) -> DataFrame:
-    """Observable cells ``(seq_id, group_id, k, query, frame)`` of groups with a budget."""
+    """Observable cells ``(seq_id, group_id, k, query, frame, place)`` of groups with a budget.
+
+    ``place`` is a member's place in its group: the column ``ord`` of ``groups`` where there is one, else the query.
+    """
     keys = [SEQ, "frame", "query"]
     seen = points.where("visible").select(*keys).join(observations.select(*keys).distinct(), keys)
     able = groups.where("group_type <> 'independent_dynamic'").join(budget.where("k > 0"), [SEQ, "group_id"])
-    return seen.join(able.select(SEQ, "group_id", "query", "k"), [SEQ, "query"])
+    place = F.col("ord" if "ord" in groups.columns else "query").alias("place")
+    return seen.join(able.select(SEQ, "group_id", "query", "k", place), [SEQ, "query"])
 
 
 def sample_anchors(cells: DataFrame, seed: int = 0, prefer_common_frame: bool = True) -> DataFrame:
@@ -43,13 +47,13 @@ def sample_anchors(cells: DataFrame, seed: int = 0, prefer_common_frame: bool =
 
 
 def sample_anchors_numpy(cells: DataFrame, seed: int = 0, prefer_common_frame: bool = True) -> DataFrame:
-    """The same draw by one ``numpy`` generator per sequence that goes through its groups in order."""
+    """The same draw by one ``numpy`` generator per sequence, which goes through its groups by id and members by ``place``."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         rng, rows = np.random.default_rng(seed), []
         for group_id, part in pdf.groupby("group_id", sort=True):
             k = int(part["k"].iloc[0])
-            seen = part.drop_duplicates(["query", "frame"]).sort_values(["query", "frame"])
+            seen = part.drop_duplicates(["query", "frame"]).sort_values(["place", "frame"])
             members = seen["query"].unique()
             if len(members) < k:
                 continue

@@ -49,13 +49,11 @@ def validate_inputs(points: DataFrame, observations: DataFrame, cameras: DataFra
     Only counts of affected sequences come to the driver.
     """
     report = validation_report(points, observations, cameras, cfg)
-    grid = points.groupBy(SEQ, "frame", "query").count().where("count > 1").isEmpty()
-    if not grid:
-        raise ValueError("points repeat a (seq_id, frame, query)")
-    ragged = points.groupBy(SEQ, "frame").agg(F.count(F.lit(1)).alias("n")).groupBy(SEQ).agg((F.min("n") < F.max("n")).alias("ragged")).where("ragged").isEmpty()
-    if not ragged:
-        raise ValueError("points are no complete grid of frames and queries")
+    frames = points.groupBy(SEQ, "frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query").alias("distinct"))
+    grid = frames.groupBy(SEQ).agg((F.sum("n") > F.sum("distinct")).alias("repeats"), (F.min("n") < F.max("n")).alias("ragged"))
     checks = {
+        "points repeat a (seq_id, frame, query)": F.col("repeats"),
+        "points are no complete grid of frames and queries": F.col("ragged"),
         "camera centres must be finite": F.coalesce(~F.col("centers_finite"), F.lit(True)),
         "no observation is valid": F.col("n_valid") == 0,
     }
@@ -65,7 +63,7 @@ def validate_inputs(points: DataFrame, observations: DataFrame, cameras: DataFra
         "the camera does not move": F.col("camera_static") & ~F.col("centers_zero"),
         "the anchor budget is over the visible observations": F.col("budget_capped"),
     }
-    row = report.agg(*[F.count_if(c).alias(k) for k, c in {**checks, **hints}.items()]).first().asDict()
+    row = report.join(grid, SEQ).agg(*[F.count_if(c).alias(k) for k, c in {**checks, **hints}.items()]).first().asDict()
     for text in checks:
         if row[text]:
             raise ValueError(f"{text} ({row[text]} sequences)")

@@ -55,7 +55,7 @@ def rectify(
     groups = materialize(validate_groups(groups, points)) if groups is not None else motion_groups(points, cfg)
     stats = materialize(group_motion(points, observations, groups))
     n_queries = points.groupBy(SEQ).agg(F.countDistinct("query").alias("n_queries"))
-    budget = materialize(allocate_budget(stats, n_queries, cfg))
+    budget = allocate_budget(stats, n_queries, cfg)
     parallax = group_parallax(groups, query_parallax(points, cameras))
     sizes = groups.groupBy(SEQ, "group_id").agg(F.count(F.lit(1)).alias("members"))
     forms = materialize(choose_forms(parallax, cfg).join(sizes, [SEQ, "group_id"]).where(~((F.col("form") == "scale_about_anchor") & (F.col("members") < 2))))
