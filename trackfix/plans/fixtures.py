@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from trackfix.session import materialize, read_table
 
-#: Five rigid objects (the first stands still) in five sequences of 16 frames.
+#: Five rigid objects (the first stands still) of 120 points together, over 16 frames; every 120 customers make up a sequence.
 FIXTURE_CTES = {
     "frames": "SELECT * FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) AS f(t)",
     "motion": """SELECT * FROM (VALUES (0,-4e0,0e0,3e0,0e0,0e0,0e0,1e0),(1,-2e0,0e0,35e-1,35e-2,0e0,0e0,75e-2),
   (2,0e0,0e0,4e0,0e0,-3e-1,0e0,12e-1),(3,2e0,0e0,45e-1,-2e-1,2e-1,0e0,9e-1),(4,4e0,0e0,5e0,0e0,0e0,25e-2,11e-1))
   AS m(o,ox,oy,oz,vx,vy,vz,bias)""",
     "cam": "SELECT t, t*1e-1 AS cx, t*125e-4 AS cy, 0e0 AS cz FROM frames",
-    "q": """SELECT CAST(FLOOR(c_nationkey/5) AS INT) AS seq_id, c_nationkey % 5 AS o, c_custkey AS k,
-  CAST(ROW_NUMBER() OVER (PARTITION BY CAST(FLOOR(c_nationkey/5) AS INT) ORDER BY c_custkey) - 1 AS INT) AS query,
+    "q": """SELECT CAST(FLOOR(c_custkey/120) AS INT) AS seq_id, c_nationkey % 5 AS o, c_custkey AS k, CAST(c_custkey % 120 AS INT) AS query,
   (((c_custkey*7919) % 1000)/1000e0 - 5e-1)*6e-1 AS sx, (((c_custkey*104729) % 997)/997e0 - 5e-1)*6e-1 AS sy,
   (((c_custkey*1299709) % 991)/991e0 - 5e-1)*6e-1 AS sz FROM customer""",
     "gt": """SELECT q.seq_id, f.t AS frame, q.query, q.o, m.bias,

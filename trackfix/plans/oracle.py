@@ -160,10 +160,15 @@ PARTS = FIXTURE_CTES | {
     "ed": "SELECT seq_id, group_id, " + ", ".join(f"median(g{c} - (c0{c} + alpha * ({c} - c0{c}))) AS d{c}" for c in "xyz") + " FROM ecells JOIN ea USING (seq_id, group_id) GROUP BY ALL",
 }
 
+#: The same chain of parts from plain observations, as the whole pipeline draws them; its names end in _r.
+_CHAIN = ("cell2", "step2", "stats", "bud", "ccell", "cq", "cf", "pool", "anc", "ap", "c0", "cs", "pf", "pfg", "pfi", "pfs", "a0", "asc0", "sc_cam", "sc_pf", "sc_anc")
+PARTS |= {f"{name}_r": re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"\1_r", PARTS[name].replace("JOIN obs2 USING", "JOIN obs USING")) for name in _CHAIN}
+PARTS["form_r"] = "SELECT seq_id, group_id, group_type = 'world_fixed' OR parallax < radians(2e0) AS anchored FROM gpar"
 
-def _translated(source: str) -> str:
-    return f"""SELECT s.seq_id, s.frame, s.query, {", ".join(f"ROUND(s.{c} + coalesce(d.d{c}, 0), 6) + 0e0 AS {c}" for c in "xyz")} FROM {source} s LEFT JOIN (
-      SELECT t.seq_id, t.group_id, {", ".join(f"median(t.g{c} - t.{c}) AS d{c}" for c in "xyz")} FROM {source} t JOIN anc USING (seq_id, group_id, query, frame) GROUP BY t.seq_id, t.group_id) d USING (seq_id, group_id)"""
+
+def _translated(source: str, anc: str = "anc", more: str = "") -> str:
+    return f"""SELECT s.seq_id, s.frame, s.query, {more}{", ".join(f"ROUND(s.{c} + coalesce(d.d{c}, 0), 6) + 0e0 AS {c}" for c in "xyz")} FROM {source} s LEFT JOIN (
+      SELECT t.seq_id, t.group_id, {", ".join(f"median(t.g{c} - t.{c}) AS d{c}" for c in "xyz")} FROM {source} t JOIN {anc} USING (seq_id, group_id, query, frame) GROUP BY t.seq_id, t.group_id) d USING (seq_id, group_id)"""
 
 
 def compose(select: str) -> str:
@@ -206,7 +211,7 @@ _SELECTS = {
       WHEN group_type = 'world_fixed' THEN 'scale_about_anchor_translation' ELSE 'scale_about_camera_per_frame_translation' END AS form FROM gpar""",
     "direction_edges": f"SELECT seq_id, a, b, {r6('similarity')} FROM edge",
     "direction_edges_all_pairs": """SELECT u.seq_id, u.query AS a, v.query AS b, ROUND(greatest(-1e0, least(1e0, avg(u.dx*v.dx + u.dy*v.dy + u.dz*v.dz))), 6) + 0e0 AS similarity FROM moving u
-      JOIN moving v ON v.seq_id = u.seq_id AND v.frame = u.frame AND u.query < v.query WHERE u.query < 60 AND v.query < 60 GROUP BY u.seq_id, u.query, v.query
+      JOIN moving v ON v.seq_id = u.seq_id AND v.frame = u.frame AND u.query < v.query GROUP BY u.seq_id, u.query, v.query
       HAVING count(*) >= 3 AND avg(u.dx*v.dx + u.dy*v.dy + u.dz*v.dz) >= 9e-1""",
     "knn_edges": f"SELECT seq_id, a, b, rank, {r6('d2')} FROM (" + _nn("pos", "seq_id", 10) + ")",
     "spatial_knn_graph": "SELECT DISTINCT seq_id, group_id, least(a, b) AS a, greatest(a, b) AS b FROM gnn3",
@@ -242,6 +247,8 @@ _SELECTS = {
     "median_epe": f"""SELECT p.seq_id, p.o AS label, count(*) AS cells, ROUND(median({_norm('p.', 'p.g').replace('p.g', 'p.g')}), 6) + 0e0 AS epe_before,
       ROUND(median(sqrt({" + ".join(f"power(c0{c} + alpha * (p.{c} - c0{c}) + d{c} - p.g{c}, 2)" for c in "xyz")})), 6) + 0e0 AS epe_after
       FROM pts p JOIN ea ON ea.seq_id = p.seq_id AND ea.group_id = p.o JOIN ed ON ed.seq_id = p.seq_id AND ed.group_id = p.o GROUP BY p.seq_id, p.o""",
-    "embedding_trajectories": "SELECT label AS seq_id, vec_id AS query, " + ", ".join(f"ROUND(median(embedding[3 * f + {i}]::DOUBLE), 6) + 0e0 AS p{c}" for i, c in enumerate("xyz", 1)) + " FROM embeddings, range(21) r(f) GROUP BY label, vec_id",
+    "rectify_supplied_groups": f"""SELECT * FROM ({_translated("sc_anc_r", "anc_r", "s.group_id, ")}) JOIN (SELECT seq_id, group_id FROM form_r WHERE anchored) USING (seq_id, group_id)
+      UNION ALL SELECT * FROM ({_translated("sc_pf_r", "anc_r", "s.group_id, ")}) JOIN (SELECT seq_id, group_id FROM form_r WHERE NOT anchored) USING (seq_id, group_id)""",
+    "embedding_trajectories": "SELECT label AS seq_id, vec_id AS query, " + ", ".join(f"ROUND(median(embedding[3 * f + {i}]::DOUBLE), 6) + 0e0 AS p{c}" for i, c in enumerate("xyz", 1)) + " FROM embeddings, range(22) r(f) GROUP BY label, vec_id",
 }
 ORACLE: dict[str, str] = {name: compose(select) for name, select in _SELECTS.items()}

@@ -14,7 +14,7 @@ from trackfix.plans.rectify import rectify
 from trackfix.session import materialize, read_table
 from trackfix.sources import tables
 
-CFG = RectifyConfig()
+CFG, MANY = RectifyConfig(), RectifyConfig(target_anchor_frac=0.3)
 QUERIES = {}
 KEYS = ["seq_id", "frame", "query"]
 
@@ -23,7 +23,7 @@ KEYS = ["seq_id", "frame", "query"]
 SETTLED = {
     "direction_edges", "direction_edges_all_pairs", "knn_edges", "spatial_knn_graph", "radius_pairs", "connected_components", "motion_clusters", "spatial_split",
     "merge_fragments", "fragment_scale", "sample_anchors_common_frame", "sample_anchors_distinct", "sample_anchors_numpy", "anchor_points", "camera_scale",
-    "per_frame_scale", "interpolated_scale", "smoothed_scale", "anchor_scale", "group_translation", "sim3_fit", "fragment_absorption", "built_groups",
+    "per_frame_scale", "interpolated_scale", "smoothed_scale", "anchor_scale", "group_translation", "sim3_fit", "fragment_absorption", "split_world_fixed", "built_groups",
     "group_type_counts", "coverage_report",
 }
 
@@ -246,15 +246,15 @@ def anchor_budget_motion(s: Scene) -> DataFrame:
 @query
 def anchor_budget_proportional(s: Scene) -> DataFrame:
     """A large budget by size, with a limit per group."""
-    return _budget(s, RectifyConfig(anchor_allocation_strategy="proportional", target_anchor_frac=0.5, max_anchors_per_group=30))
+    return _budget(s, RectifyConfig(anchor_allocation_strategy="proportional_size", target_anchor_frac=0.5, max_anchors_per_group=30))
 
 
-def _cells(s: Scene) -> DataFrame:
-    return materialize(sampling.candidate_cells(s.points, s.observations, s.groups, _budget(s, CFG)))
+def _cells(s: Scene, cfg: RectifyConfig = CFG) -> DataFrame:
+    return materialize(sampling.candidate_cells(s.points, s.observations, s.groups, _budget(s, cfg)))
 
 
-def _anchors(s: Scene) -> DataFrame:
-    return materialize(sampling.sample_anchors(_cells(s), 7))
+def _anchors(s: Scene, cfg: RectifyConfig = CFG) -> DataFrame:
+    return materialize(sampling.sample_anchors(_cells(s, cfg), 7))
 
 
 @query
@@ -272,8 +272,8 @@ def sample_anchors_numpy(s: Scene) -> DataFrame:
     return sampling.sample_anchors_numpy(_cells(s), 7)
 
 
-def _anchored(s: Scene) -> DataFrame:
-    return materialize(estimate.anchor_points(_anchors(s), s.points, s.observations))
+def _anchored(s: Scene, cfg: RectifyConfig = CFG) -> DataFrame:
+    return materialize(estimate.anchor_points(_anchors(s, cfg), s.points, s.observations))
 
 
 @query
@@ -318,14 +318,15 @@ def group_translation(s: Scene) -> DataFrame:
 
 @query
 def sim3_fit(s: Scene) -> DataFrame:
-    """Similarity fits, of which SQL checks that they map the anchors' centroid onto the observed one."""
-    return estimate.sim3_fit(_anchored(s)).select("seq_id", "group_id", *rounded("scale", "tx", "ty", "tz"))
+    """Similarity fits of each object, from a budget that gives it three anchors or more."""
+    return estimate.sim3_fit(_anchored(s, MANY)).select("seq_id", "group_id", *rounded("scale", "tx", "ty", "tz"))
 
 
 def _corrected(form: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = scene(spark, sf_dir, settle=True)
-        return correct.apply_form(s.points, s.observations, s.cameras, s.groups, _anchors(s), form, CFG).select(*KEYS, *rounded("x", "y", "z"))
+        anchors = _anchors(s, MANY if form == "full_sim3" else CFG)
+        return correct.apply_form(s.points, s.observations, s.cameras, s.groups, anchors, form, CFG).select(*KEYS, *rounded("x", "y", "z"))
 
     run.__doc__ = f"All groups corrected by the form {form}."
     return run
@@ -342,6 +343,12 @@ def fragment_absorption(s: Scene) -> DataFrame:
     return grouping.absorb_fragments(s.groups.withColumn("group_id", size), materialize(motion.median_positions(s.points)), CFG)
 
 
+@query
+def split_world_fixed(s: Scene) -> DataFrame:
+    """The still object cut where its nearest-neighbour graph falls apart, small parts absorbed."""
+    return grouping.split_world_fixed(s.groups, materialize(motion.median_positions(s.points)), RectifyConfig(world_fixed_spatial_knn=1))
+
+
 @query
 def built_groups(s: Scene) -> DataFrame:
     """The library's own groups."""
@@ -398,10 +405,10 @@ def rectify_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unstructured trajectories: each embedding as 21 frames of a point, in one sequence per label."""
+    """Unstructured trajectories: each embedding as 22 frames of a point, in one sequence per label; two coordinates of the last frame are missing."""
     e = read_table(spark, sf_dir, "embeddings")
-    cell = F.posexplode(F.sequence(F.lit(0), F.lit(20)))
-    at = lambda i: F.col("embedding")[3 * F.col("frame") + i].cast("double")
+    cell = F.posexplode(F.sequence(F.lit(0), F.lit(21)))
+    at = lambda i: F.get("embedding", 3 * F.col("frame") + i).cast("double")
     pts = e.select(F.col("label").alias("seq_id"), F.col("vec_id").alias("query"), "embedding", cell.alias("frame", "f"))
     pts = pts.select("seq_id", "query", "frame", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.lit(True).alias("visible"))
     return motion.median_positions(pts).select("seq_id", "query", *rounded("px", "py", "pz"))
