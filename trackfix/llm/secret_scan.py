@@ -3,7 +3,7 @@
 Runs are cut at ``=`` and tested whole and in their parts between ``/``, ``-`` and ``_``. A token's encoding
 (one of ``ALPHABETS``) is inferred from its letters. Under the hypothesis that it is random
 text of that encoding, chi-squared uniformity of its symbols, the runs test and the lag-one serial
-correlation each give a p-value (letters alone also their likeness to prose), joined by Fisher's method. Random tokens have uniform joint p-values, other
+correlation each give a p-value (letters also their likeness to prose), joined by Fisher's method. Random tokens have uniform joint p-values, other
 tokens have small ones; so per encoding and length class the share of random tokens is known from the upper
 half of all p-values in the corpus, and the least threshold is taken above which at most ``fdr`` of the
 tokens are estimated not to be random.
@@ -35,6 +35,7 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base26": "abcdefghijklmnopqrstuvwxyz",
     "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
@@ -43,6 +44,9 @@ ALPHABETS = {
 PROSE = (80, 16, 30, 44, 128, 20, 24, 52, 72, 5, 10, 40, 25, 72, 68, 20, 5, 64, 66, 84, 32, 12, 16, 5, 14, 8)
 SEGMENT, PART = re.compile("[A-Za-z0-9+/_-]+=*"), re.compile("[A-Za-z0-9+]+=*")
 BINS = 100
+#: Symbols that a token has for each of its alphabet's before single ones are counted.
+SHORT = 5
+_KIND = {c: i for i, some in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")) for c in some}
 _LIKE = np.log(np.array(PROSE) * 26 / sum(PROSE))
 
 _HEX, _TOKEN = np.zeros(128, bool), np.zeros(128, bool)
@@ -85,13 +89,19 @@ def infer_encoding(token: str) -> str | None:
         return "base32"
     if re.fullmatch("([a-z0-9]+|[A-Z0-9]+)=*", token):
         return "base36" if has("[A-Za-z]") else None
-    return "base64" if re.fullmatch("[A-Za-z0-9+/_-]+=*", token) and has("[a-z]") and has("[A-Z]") else None
+    if not (re.fullmatch("[A-Za-z0-9+/_-]+=*", token) and has("[a-z]") and has("[A-Z]")):
+        return None
+    return "base64" if has("[+/_-]") else "base62"
 
 
 def random_p(token: str, encoding: str) -> float:
     """Joint p-value of the tests under the hypothesis that the token is random.
 
-    Letters alone get a fourth one, as the others tell long words from random letters only weakly: the
+    The symbols of short tokens are counted by kind (upper case, lower case, digit, other), as there are too
+    few for single ones; runs are of symbols of one kind, or of one half of an alphabet of one kind. Names that
+    are put together from words have too few runs and upper-case letters.
+
+    All but hex get a fourth one, as the others tell long words from random letters only weakly: the
     log-likelihood of the letters in prose, which is too high for words.
     """
     body = token.rstrip("=").translate(str.maketrans("-_", "+/"))
@@ -99,28 +109,28 @@ def random_p(token: str, encoding: str) -> float:
     body = body.lower() if encoding in ("hex", "base36", "base26") else body
     x = np.array([alphabet.index(c) for c in body], float)
     n, k = len(x), len(alphabet)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
-    z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    kinds = np.array([_KIND.get(c, 3) for c in body])
+    shares = np.bincount([_KIND.get(c, 3) for c in alphabet], minlength=4) / k
+    few = n < SHORT * k and (shares > 0).sum() > 1  # too short for its single symbols: kinds of symbols are counted
+    expected = n * (shares[shares > 0] if few else np.full(k, 1 / k))
+    counts = np.bincount(kinds, minlength=4)[shares > 0] if few else np.bincount(x.astype(int), minlength=k)
+    chi, free = float(((counts - expected) ** 2 / expected).sum()), len(expected) - 1
+    z = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
     p_chi = 0.5 * math.erfc(z / math.sqrt(2))
-    high = x >= k / 2
-    n1 = int(high.sum())
-    n0 = n - n1
-    if n0 and n1:
-        mean = 1 + 2 * n0 * n1 / n
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * spread)) if spread > 0 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
+    groups = kinds if (shares > 0).sum() > 1 else (x >= k / 2).astype(int)
+    of = np.bincount(groups).astype(float)
+    two, three = float((of**2).sum()), float((of**3).sum())
+    runs, mean = 1 + int((groups[1:] != groups[:-1]).sum()), n + 1 - two / n
+    spread = (two * (two + n * (n + 1)) - 2 * n * three - n**3) / (n * n * (n - 1))
+    p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * spread)) if spread > 1e-9 else 2.0 ** (1 - n)
     centred = x - x.mean()
     power = float((centred**2).sum())
     r = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     p_serial = math.erfc(abs(r + 1 / n) * math.sqrt(n / 2))
     tests = [p_chi, p_runs, p_serial]
-    if encoding in ("base26", "base52"):
-        like = float(_LIKE[x.astype(int) % 26].sum())
-        tests.append(0.5 * math.erfc((like - n * float(_LIKE.mean())) / float(_LIKE.std()) / math.sqrt(2 * n)))
+    if letters := [ord(c) - ord("a") for c in body.lower() if "a" <= c <= "z"] if encoding != "hex" else []:
+        like = float(_LIKE[letters].sum()) - len(letters) * float(_LIKE.mean())
+        tests.append(0.5 * math.erfc(like / float(_LIKE.std()) / math.sqrt(2 * len(letters))))
     half = -sum(math.log(max(p, 1e-300)) for p in tests)
     return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(tests)))
 
@@ -168,7 +178,7 @@ _SCHEMA = (
 def thresholds(scanned: DataFrame, fdr: float = 0.05, prior: float = 50.0) -> list[tuple[str, int, float]]:
     """``(encoding, length class, least p)`` from the p-values of all tokens of the corpus.
 
-    The histogram has at most 6 encodings, two classes per doubling of length and ``BINS`` bins, whatever the
+    The histogram has at most 7 encodings, two classes per doubling of length and ``BINS`` bins, whatever the
     corpus. ``prior`` random and as many other tokens (of p below 0.01) are added to each class, so that a
     class of few tokens keeps those whose randomness isn't rejected at 1 %.
     """
