@@ -60,7 +60,10 @@ def registered_domain(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFI
 
 
 def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest fitting rule as ``struct<n, rule, verdict>``, or null; a rule both ways blocks."""
+    """The longest fitting rule as ``struct<n, rule, verdict>``, or null; a rule both ways blocks.
+
+    Only as many of a host's last labels are looked at as the deepest rule has.
+    """
     if not rules:
         return F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
     by_host: dict[str, list[Rule]] = {}
@@ -68,7 +71,7 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
         by_host.setdefault(r.parts()[0], []).append(r)
     entry = lambda r: F.struct(F.lit(r.parts()[1]).alias("path"), F.lit(len(r.text)).alias("n"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"))
     table = F.map_from_arrays(F.array(*[F.lit(h) for h in by_host]), F.array(*[F.array(*[entry(r) for r in rs]) for rs in by_host.values()]))
-    labels = F.size(F.split(host, r"\."))
+    labels = F.least(F.lit(max(h.count(".") + 1 for h in by_host)), F.size(F.split(host, r"\.")))
     names = F.transform(F.sequence(F.lit(1), labels), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
     found = F.flatten(F.filter(F.transform(names, lambda n: F.try_element_at(table, n)), lambda x: x.isNotNull()))
     fits = F.filter(found, lambda r: F.startswith(path, r["path"]))
