@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.operators.components import connected_components
-from trackfix.session import materialize
+from trackfix.session import join_sized, materialize
 
 DIMS, BOX_DIMS, LEAF = 4, 24, 512
 
@@ -200,8 +200,8 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.9, block: int = 8192
     nothing, as do vectors of different length with each other. Rows that repeat a vec_id are one node of
     the graph, each with its own n_links. An empty table gives an empty result.
 
-    At most ``(2 / eps + 4) ** DIMS`` cell counts come to the driver and go out again as the broadcast plan of
-    intervals. A vector goes to as many tasks as there are intervals near its own, in dense spaces all:
+    At most ``(2 / eps + 4) ** DIMS`` cell counts come to the driver, and as many rows go out again to tell each
+    cell's interval; the pairs of intervals that meet are broadcast only where they are few. A vector goes to as many tasks as there are intervals near its own, in dense spaces all:
     the rows dealt out grow with the square of the input over ``block``.
     """
     spark = vectors.sparkSession
@@ -220,14 +220,11 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.9, block: int = 8192
     celled = materialize(classes.select("rep", "h1", "copies", "embedding").mapInArrow(cells_of, f"rep long, h1 long, copies long, embedding {kind}, cell long"))
     counts = [(r.cell, r["count"]) for r in celled.groupBy("cell").count().collect()]
     cells, parts, near = _intervals(counts, side, min(DIMS, width), block)
-    partners: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i, j in near:
-        partners.setdefault(i, []).append((i, j, parts[j], 0 if i == j else 1))
-        if i != j:
-            partners.setdefault(j, []).append((i, j, parts[i], 2))
-    plan = spark.createDataFrame([(c, parts[g], partners[g]) for c, g in cells], "cell long, parts int, partners array<struct<i:int,j:int,other:int,side:int>>")
-    placed = celled.join(F.broadcast(plan), "cell").withColumn("s", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
-    placed = placed.select("rep", "h1", "copies", "embedding", "s", F.explode("partners").alias("p"))
+    intervals = spark.createDataFrame([(c, g, parts[g]) for c, g in cells], "cell long, interval int, parts int")
+    both = [(i, i, j, parts[j], 0 if i == j else 1) for i, j in near] + [(j, i, j, parts[i], 2) for i, j in near if i != j]
+    partners = materialize(spark.createDataFrame(both, "interval int, i int, j int, other int, side int"))
+    placed = celled.join(F.broadcast(intervals), "cell").withColumn("s", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
+    placed = join_sized(placed, partners, ["interval"]).select("rep", "h1", "copies", "embedding", "s", F.struct("i", "j", "other", "side").alias("p"))
     placed = placed.select("rep", "h1", "copies", "embedding", "s", "p", F.explode(F.sequence(F.lit(0), F.col("p.other") - 1)).alias("t"))
     own = F.col("p.side") == 0
     turned = (own & (F.col("s") > F.col("t"))) | (F.col("p.side") == 2)
