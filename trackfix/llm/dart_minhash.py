@@ -213,7 +213,7 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, block: int, bl
 
     star = materialize(shared.where("node <> hub").select("node", "hub").distinct())
     parts = materialize(star.join(size, "node").groupBy("hub").agg(blocks))
-    spoke = star.join(parts, "hub").select("node", "hub", "blocks", number("node", F.col("blocks")).alias("part"), F.lit(2).alias("side"))
+    spoke = join_sized(star, parts, ["hub"]).select("node", "hub", "blocks", number("node", F.col("blocks")).alias("part"), F.lit(2).alias("side"))
     hub = parts.select(F.col("hub").alias("node"), "hub", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("side"))
     of_hubs = compared(spoke.unionByName(hub).select("node", F.xxhash64("node").alias("known"), F.xxhash64("hub", "part").alias("grp"), "side", "blocks"))
 
@@ -226,8 +226,8 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, block: int, bl
         return of_hubs
     group = connected_components(rest.where("node <> hub"), "node", "hub").select("node", F.col("component").alias("g"))
     group = materialize(group.join(rest.select("node", "component").distinct(), "node"))
-    parts = group.join(size, "node").groupBy("g").agg(blocks)
-    placed = group.join(parts, "g").withColumn("own", number("node", F.col("blocks")))
+    parts = materialize(group.join(size, "node").groupBy("g").agg(blocks))
+    placed = join_sized(group, parts, ["g"]).withColumn("own", number("node", F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     of_groups = compared(placed.select("node", F.xxhash64("component").alias("known"), F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), side.alias("side"), "blocks"))
