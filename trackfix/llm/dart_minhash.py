@@ -202,20 +202,20 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, block: int, bl
     number = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), n).cast("int")
 
     def compared(placed: DataFrame) -> DataFrame:
-        """Links of ``placed`` (node, known, grp, side, blocks); groups of one block share tasks."""
+        """Links of ``placed`` (node, n, known, grp, side, blocks); groups of one block share tasks."""
         placed = materialize(placed)
-        rows, features_ = placed.join(size, "node").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        rows, features_ = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         tasks = max(1, -(-rows // block), -(-features_ // block_features))
         task = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(tasks)))
         given = placed.select("node", "known", "grp", "side", task.alias("task")).join(texts, "node")
         kind = classes.schema["node"].dataType.simpleString()
         return materialize(given.select("node", "known", "grp", "side", "task", "bands", "text").groupBy("task").applyInArrow(_exact_links(threshold), f"a {kind}, b {kind}"))
 
-    star = materialize(shared.where("node <> hub").select("node", "hub").distinct())
-    parts = materialize(star.join(size, "node").groupBy("hub").agg(blocks))
-    spoke = join_sized(star, parts, ["hub"]).select("node", "hub", "blocks", number("node", F.col("blocks")).alias("part"), F.lit(2).alias("side"))
-    hub = parts.select(F.col("hub").alias("node"), "hub", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("side"))
-    of_hubs = compared(spoke.unionByName(hub).select("node", F.xxhash64("node").alias("known"), F.xxhash64("hub", "part").alias("grp"), "side", "blocks"))
+    star = materialize(shared.where("node <> hub").select("node", "hub").distinct().join(size, "node"))
+    parts = materialize(star.groupBy("hub").agg(blocks))
+    spoke = join_sized(star, parts, ["hub"]).select("node", "n", "hub", "blocks", number("node", F.col("blocks")).alias("part"), F.lit(2).alias("side"))
+    hub = parts.select(F.col("hub").alias("node"), F.lit(0).cast("long").alias("n"), "hub", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("side"))
+    of_hubs = compared(spoke.unionByName(hub).select("node", "n", F.xxhash64("node").alias("known"), F.xxhash64("hub", "part").alias("grp"), "side", "blocks"))
 
     proven = materialize(connected_components(of_hubs, "a", "b"))
     known = F.coalesce("component", "node")
@@ -225,10 +225,10 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, block: int, bl
     if rest.isEmpty():
         return of_hubs
     group = connected_components(rest.where("node <> hub"), "node", "hub").select("node", F.col("component").alias("g"))
-    group = materialize(group.join(rest.select("node", "component").distinct(), "node"))
-    parts = materialize(group.join(size, "node").groupBy("g").agg(blocks))
+    group = materialize(group.join(rest.select("node", "component").distinct(), "node").join(size, "node"))
+    parts = materialize(group.groupBy("g").agg(blocks))
     placed = join_sized(group, parts, ["g"]).withColumn("own", number("node", F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    of_groups = compared(placed.select("node", F.xxhash64("component").alias("known"), F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), side.alias("side"), "blocks"))
+    of_groups = compared(placed.select("node", "n", F.xxhash64("component").alias("known"), F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), side.alias("side"), "blocks"))
     return of_hubs.unionByName(of_groups)
