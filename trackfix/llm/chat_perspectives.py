@@ -28,8 +28,10 @@ def _head(role: Column) -> Column:
     return F.when(role == SYSTEM_ROLE, f"{SYSTEM}\n").otherwise(F.concat(F.lit(USER), name, F.lit("\n")))
 
 
-def _dealt(known: DataFrame, most: int) -> DataFrame:
-    """``known`` with ``part`` and ``times``, so that no (conv_id, piece, part) holds many more than ``most`` turns.
+def _dealt(known: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
+    """``known`` with ``part`` and ``times``, and the keys by which no group holds many more than ``most`` turns.
+
+    Where no piece needs parts, ``part`` is no key, so that one shuffle of the texts serves grouping and join.
 
     A piece of more rows, whose turns share numbers or have none, is parted by number, and a number of more
     rows by a hash of role and text. Equal rows are counted first and dealt out ``most`` at a time.
@@ -37,26 +39,25 @@ def _dealt(known: DataFrame, most: int) -> DataFrame:
     plain = known.withColumns({"part": F.lit(0).cast("long"), "times": F.lit(1).cast("long")})
     full = materialize(known.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most).select("conv_id", "piece"))
     if full.isEmpty():
-        return plain
+        return plain, ["conv_id", "piece"]
     heavy = join_sized(known, full, ["conv_id", "piece"], "left_semi").groupBy("conv_id", "piece", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     heavy = heavy.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))))
     heavy = heavy.withColumn("times", F.least(F.lit(most).cast("long"), F.col("n") - F.col("chunk") * most)).drop("n")
     numbers = materialize(heavy.groupBy("conv_id", "piece", "turn").agg(F.ceil(F.sum("times") / most).cast("long").alias("parts")))
     own = F.pmod(F.xxhash64("role", "text", "chunk"), F.col("parts"))
     heavy = join_sized(heavy, numbers, ["conv_id", "piece", "turn"]).withColumn("part", F.pmod("turn", F.lit(most)) * F.lit(1 << 32) + own)
-    return join_sized(plain, full, ["conv_id", "piece"], "left_anti").unionByName(heavy.select(plain.columns))
+    return join_sized(plain, full, ["conv_id", "piece"], "left_anti").unionByName(heavy.select(plain.columns)), ["conv_id", "piece", "part"]
 
 
-def _starts(dealt: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``pieces`` (conv_id, piece, part, perspective) with the place of each in its dialogue's whole text."""
-    keys = ["conv_id", "piece", "part"]
+def _starts(dealt: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """``pieces`` (``keys``, perspective) with the place of each in its dialogue's whole text."""
     own = F.length(_plain(F.col("text"))) + len(END) + 1
     size = dealt.groupBy(*keys, F.coalesce("role", F.lit(UNKNOWN_ROLE)).alias("role")).agg(F.sum(F.col("times") * own).alias("body"), F.sum("times").alias("n"))
     size = materialize(size.withColumn("head", F.length(_head(F.col("role")))))
     others = size.groupBy(*keys).agg(F.sum(F.col("body") + F.col("n") * F.col("head")).alias("length"))
     mine = size.select(*keys, F.col("role").alias("perspective"), (F.col("n") * (len(ASSISTANT) + 1 - F.col("head"))).alias("more"))
     length = F.col("length") + F.coalesce("more", F.lit(0))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("piece", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id", "perspective").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
     sized = pieces.join(others, keys).join(mine, [*keys, "perspective"], "left").withColumn("length", length)
     return sized.select(*keys, "perspective", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")).alias("start"))
 
@@ -85,12 +86,11 @@ def rotate_perspectives(turns: DataFrame, turns_per_piece: int = 512, offsets: b
         "role",
         "text",
     )
-    dealt = _dealt(known, turns_per_piece)
-    keys = ["conv_id", "piece", "part"]
+    dealt, keys = _dealt(known, turns_per_piece)
     speakers = known.where(F.col("role").isNotNull() & (F.col("role") != SYSTEM_ROLE)).select("conv_id", F.col("role").alias("perspective")).distinct()
     pieces = dealt.select(*keys).distinct().join(speakers, "conv_id")
     if offsets:
-        pieces = _starts(dealt, materialize(pieces))
+        pieces = _starts(dealt, materialize(pieces), keys)
     entry = F.struct("turn", F.coalesce("role", F.lit(UNKNOWN_ROLE)).alias("role"), _plain(F.col("text")).alias("text"), F.col("times").cast("int").alias("times"))
     gathered = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("turns"))
     joined = gathered.join(pieces, keys).withColumn("turns", F.flatten(F.transform("turns", lambda t: F.array_repeat(t, t["times"]))))
@@ -112,4 +112,5 @@ def rotate_perspectives(turns: DataFrame, turns_per_piece: int = 512, offsets: b
     masked = segments.withColumn("m", F.aggregate("s", nothing, step))
     text = F.array_join(F.transform("s", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")
     start = ["start"] if offsets else []
-    return masked.select("conv_id", "perspective", "piece", "part", *start, F.size("s").cast("long").alias("n_turns"), text.alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").cast("long").alias("n_trained"))
+    part = F.col("part") if "part" in keys else F.lit(0).cast("long")
+    return masked.select("conv_id", "perspective", "piece", part.alias("part"), *start, F.size("s").cast("long").alias("n_turns"), text.alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").cast("long").alias("n_trained"))
