@@ -5,8 +5,9 @@ principal axes and laid on a grid of cells of side eps over the first ``DIMS`` o
 in [-1, 1] there is a fixed number of cells at most, however many vectors there are. The sequence in grid
 order is cut into intervals of about ``block`` vectors; two intervals whose cells are farther apart than eps
 never meet. An interval pair is one task, which halves its intervals recursively, skips parts whose bounding
-boxes on more axes are farther apart than eps, and compares the rest. A task returns each vector's number of
-links and a spanning forest of them, never the links themselves.
+boxes on more axes, and on the length that is left to the others, are farther apart than eps, and compares
+the rest. A task returns each vector's number of links and a spanning forest of them, never the links
+themselves.
 """
 
 from __future__ import annotations
@@ -140,6 +141,8 @@ def _join(axes, eps: float, cosine: float):
         size = column.value_lengths().to_numpy(zero_copy_only=False)
         unit = _unit(_matrix(column, len(rotation)))
         x = unit @ rotation[:, :BOX_DIMS]
+        rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))  # lengths of what other axes hold differ by no more than the vectors
+        x = np.column_stack((x, rest))
         grid = np.floor(x[:, :DIMS] / eps)
         side = group.column("side").to_numpy()
         order = np.lexsort((*[x[:, k] for k in reversed(range(DIMS, x.shape[1]))][-8:], *[grid[:, k] for k in reversed(range(grid.shape[1]))], side))
