@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, together: list[st
     loops, repeated and reversed edges are harmless; an empty table gives an empty result.
 
     First each task turns its edges into stars; ``together`` names columns by which edges are dealt out for
-    that, where they bound a component (a sequence, say). Then each round every node points to the least node of its closed neighbourhood and the graph contracts
+    that, where they bound a component (a sequence, say), and mostly nothing is left to do. Then each round every node points to the least node of its closed neighbourhood and the graph contracts
     along the pointers, so that only edges between different groups remain. Even rounds order nodes by
     themselves (a star around its least node ends in one round), odd rounds by a hash of the round, under
     which long chains lose a constant share of their nodes. Rounds are written to the shared folder; no
@@ -71,6 +71,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, together: list[st
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (a != b))
     )
     level = materialize(level.mapInArrow(_stars, level.schema))
+    if together:
+        ends = level.select(a.alias("node"), F.lit(0).alias("leaf")).union(level.select(b, F.lit(1)))
+        crossed = ends.groupBy("node").agg(F.sum("leaf").alias("stars"), F.min("leaf").alias("leaf")).where("stars > 1 OR (stars = 1 AND leaf = 0)")
+        if crossed.isEmpty():  # every node is in one star
+            return level.select(b.alias("node"), a.alias("component")).union(level.select(a, a).distinct())
     pointers: list[DataFrame] = []
     while not level.isEmpty():
         both = level.union(level.select(b, a))
