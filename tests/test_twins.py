@@ -250,11 +250,20 @@ def cube(df, x, seq):
     return out
 
 
-def test_built_groups(spark, sequences):
-    from trackfix.plans.queries import QUERIES
+def test_whole_pipeline_with_built_groups(spark, sequences):
+    """What the queries built_groups, rectify_full and rectify_diagnostics return."""
+    from trackfix.plans.fixtures import scene
+    from trackfix.plans.rectify import rectify
 
-    want = {(s, q): (g, kind) for s, x in sequences.items() for g, (kind, m) in enumerate(built(x)) for q in m}
-    assert as_rows(QUERIES["built_groups"](spark, SF)) == want
+    s = scene(spark, SF)
+    result = rectify(s.points, s.observations, s.cameras, CFG, seed=7)
+    groups = {seq: built(x) for seq, x in sequences.items()}
+    assert as_rows(result.groups) == {(seq, q): (g, kind) for seq, own in groups.items() for g, (kind, m) in enumerate(own) for q in m}
+    found = {r.seq_id: (r.n_groups_total, r.n_groups_solved, r.n_anchors_used) for r in result.diagnostics.collect()}
+    for seq, x in sequences.items():
+        want, used, solved = corrected(seq, x, groups[seq])
+        assert np.abs(cube(result.corrected, x, seq) - want).max() < 1e-9
+        assert found[seq] == (sum(kind != "independent_dynamic" for kind, _ in groups[seq]), solved, used)
 
 
 def test_absorption_and_world_fixed_split(spark, sequences):
@@ -294,29 +303,6 @@ def test_similarity_fits(spark, sequences):
     got.unpersist()
 
 
-@pytest.mark.parametrize("name", ["rectify_full", "rectify_supplied_groups"])
-def test_whole_pipeline(spark, sequences, name):
-    from trackfix.plans.queries import QUERIES
-
-    got = QUERIES[name](spark, SF).cache()
-    for seq, x in sequences.items():
-        groups = built(x) if name == "rectify_full" else x["g"]
-        want = corrected(seq, x, groups)[0]
-        assert np.abs(cube(got, x, seq) - want).max() < 2e-6
-        assert {r.query: r.group_id for r in got.where(f"seq_id = {seq} AND frame = 0").collect() if r.group_id is not None} == {q: g for g, (_, m) in enumerate(groups) for q in m}
-    got.unpersist()
-
-
-def test_diagnostics(spark, sequences):
-    from trackfix.plans.queries import QUERIES
-
-    got = {r.seq_id: (r.n_groups_total, r.n_groups_solved, r.n_anchors_used) for r in QUERIES["rectify_diagnostics"](spark, SF).collect()}
-    for seq, x in sequences.items():
-        groups = built(x)
-        _, used, solved = corrected(seq, x, groups)
-        assert got[seq] == (sum(kind != "independent_dynamic" for kind, _ in groups), solved, used)
-
-
 def test_numpy_sampler_draws_in_the_order_of_members(spark):
     from trackfix.operators.sampling import candidate_cells, sample_anchors_numpy
 
