@@ -147,7 +147,9 @@ class CrossParser:
             keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & (len(self.keys) - 1)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+        slot = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        slot >>= np.uint64(self.shift)
+        return slot.view(np.int64)
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """The state that each ``state * width + letter`` leads to, -1 for none."""
@@ -155,7 +157,7 @@ class CrossParser:
         slot = self._slot(flat)
         there = self.keys[slot]
         hit = there == flat
-        out = np.where(hit, self.values[slot], -1)
+        out = np.where(hit, self.values[slot], np.int64(-1))
         on = np.flatnonzero(~hit & (there >= 0))
         slot = slot[on]
         while len(on):
@@ -167,10 +169,14 @@ class CrossParser:
             on, slot = on[more], slot[more]
         return out.reshape(key.shape)
 
-    def _step(self, state: np.ndarray, letter: np.ndarray, root: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _step(self, state: np.ndarray, letter: np.ndarray, root: np.ndarray, first: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States after a letter, and where it begins a phrase: after a whole one, and where the match ends."""
         to = self._find(state * self.width + letter)
-        return np.where(to < 0, first, to), (to < 0) | (state == root)
+        ended = to < 0
+        at = np.nonzero(ended)
+        to[at] = first[np.broadcast_to(lang, to.shape)[at], np.broadcast_to(letter, to.shape)[at]]
+        ended |= state == root[lang]
+        return to, ended
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text against each language, and the letters of each text."""
@@ -191,6 +197,7 @@ class CrossParser:
         before is then led on to the first place where both begin a phrase, from where they are one.
         """
         root, first = self.root[languages], self.first[languages]
+        every = np.arange(len(root))[:, None]
         blocks = -(-n // BLOCK)
         owner = np.repeat(np.arange(len(n)), blocks)
         stop = np.cumsum(n)[owner]
@@ -204,7 +211,7 @@ class CrossParser:
         for step in range(int(size[0])):
             at = begin[order[: active[step]]] + step
             letter = flat[at]
-            state[:, : len(at)], starts[:, at] = self._step(state[:, : len(at)], letter, root[:, None], first[:, letter])
+            state[:, : len(at)], starts[:, at] = self._step(state[:, : len(at)], letter, root, first, every)
         count = np.add.reduceat(starts, begin, axis=1, dtype=np.int64)
         own = np.empty_like(order)
         own[order] = np.arange(len(order))
@@ -214,7 +221,7 @@ class CrossParser:
         at, now = end[block], state[lang, own[block]]
         while len(at):
             letter = flat[at]
-            now, begins = self._step(now, letter, root[lang], first[lang, letter])
+            now, begins = self._step(now, letter, root, first, lang)
             met = begins & starts[lang, at]
             meet[lang[met], block[met]] = at[met]
             more[lang, block] += begins & ~met
