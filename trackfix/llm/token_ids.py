@@ -73,11 +73,11 @@ class TokenTable:
     """Ids of texts as ``tokenizers`` gives them with ``add_special_tokens=False``.
 
     Texts that hold the string of an added token go through the tokenizer as a whole. Other texts are put
-    together from pre-tokens; the table of known ones is emptied when it holds ``limit`` of them. The class of
-    a character is asked of the tokenizer's own pre-tokenizer, once.
+    together from pre-tokens; when the table of known ones holds over ``limit`` of them, the half used most
+    stays. The class of a character is asked of the tokenizer's own pre-tokenizer, once.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -94,9 +94,27 @@ class TokenTable:
 
     def _forget(self) -> None:
         self.index, self.n = _Index(), 0
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.begin, self.size, self.uses = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.key = np.zeros(1 << 16, np.uint64)  # 0 for a pre-token that isn't in the index
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _forget_rare(self) -> None:
+        """Keep the most used half of ``limit`` pre-tokens, of those used more than once."""
+        uses, half = self.uses[: self.n], self.limit // 2
+        least = max(2, int(np.partition(uses, -half)[-half])) if half < self.n else 2
+        keep = np.flatnonzero((uses >= least) & (self.key[: self.n] > 0))[:half]
+        size, key, uses = self.size[keep], self.key[keep], uses[keep] // 2
+        ids = self._gathered(keep, size)
+        self._forget()
+        self._append(ids, size, key)
+        self.uses[: self.n] = uses
+        self.index.add(key, np.arange(self.n, dtype=np.int32))
+
+    def _gathered(self, number: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of some pre-tokens in order."""
+        stop = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[number] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+
     def _kinds(self, flat: np.ndarray) -> np.ndarray:
         kind = self.kind[flat]
         if not kind.all():
@@ -151,23 +169,25 @@ class TokenTable:
             keys, at, back = np.unique(key[new], return_index=True, return_inverse=True)
             place = np.concatenate((new[at], long))
             words = [text[s:e] for s, e in zip(start[place].tolist(), stop[place].tolist(), strict=True)]
-            self._append(*self._word_ids(words))
+            self._append(*self._word_ids(words), np.append(keys, np.zeros(len(long), np.uint64)))
             numbers = np.arange(self.n - len(words), self.n, dtype=np.int32)
             self.index.add(keys, numbers[: len(keys)])
             number[new], number[long] = numbers[back], numbers[len(keys) :]
+        self.uses[: self.n] += np.bincount(number, minlength=self.n).astype(np.int32)
         return number
 
-    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _append(self, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
         grown = lambda a, least: np.concatenate((a, np.zeros(max(least - len(a), len(a)), a.dtype))) if least > len(a) else a
-        self.ids, self.begin, self.size = grown(self.ids, self.used + len(ids)), grown(self.begin, self.n + len(sizes)), grown(self.size, self.n + len(sizes))
+        self.ids = grown(self.ids, self.used + len(ids))
+        self.begin, self.size, self.uses, self.key = (grown(a, self.n + len(sizes)) for a in (self.begin, self.size, self.uses, self.key))
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(sizes)] = sizes
+        self.size[self.n : self.n + len(sizes)], self.key[self.n : self.n + len(sizes)] = sizes, keys
         self.used, self.n = self.used + len(ids), self.n + len(sizes)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.n > self.limit or self.used > 4 * self.limit:
-            self._forget()
+            self._forget_rare()
         length = np.array([len(t) for t in texts])
         text = "".join(texts)
         flat = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -176,8 +196,7 @@ class TokenTable:
         number = self._numbers(text, flat, start, np.append(start[1:], len(flat)))
         size = self.size[number]
         total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.begin[number] - total[:-1], size) + np.arange(total[-1])]
-        return np.split(ids, total[np.searchsorted(start, text_start[1:])])
+        return np.split(self._gathered(number, size), total[np.searchsorted(start, text_start[1:])])
 
     def _windows(self, text: str) -> list[str]:
         """Parts of about ``WINDOW`` characters, cut where white space follows something else."""
