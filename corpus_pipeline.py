@@ -16,7 +16,7 @@ from trackfix.llm.cross_parsing import identify_languages
 from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.secret_scan import redact
 from trackfix.llm.source_mixing import mixed_rows
-from trackfix.session import read_table, scratch_dir
+from trackfix.session import join_sized, materialize, read_table, scratch_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast("long")), "__text": F.xxhash64("text")}
     keyed = docs.withColumns(named)
     kept = near_duplicates(keyed.select(F.struct(*named).alias("doc_id"), "text")).where("kept").select("doc_id.*")
-    return keyed.dropDuplicates([*named]).join(kept.hint("merge"), [*named], "left_semi").select(*docs.columns)
+    repeats = materialize(keyed.groupBy(*named).count().where("count > 1").select(*named))
+    if not repeats.isEmpty():
+        once = join_sized(keyed, repeats, [*named], "left_semi").dropDuplicates([*named])
+        keyed = join_sized(keyed, repeats, [*named], "left_anti").unionByName(once)
+    return keyed.join(kept.hint("merge"), [*named], "left_semi").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
