@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.llm.hashing import batches as slices
+from trackfix.llm.hashing import give_back
 from trackfix.llm.token_ids import TokenTable
 from trackfix.session import materialize
 
@@ -43,6 +44,7 @@ def _tokenize(tokenizer: str, capacity: int, end_id: int):
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return run
 

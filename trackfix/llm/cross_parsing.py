@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from trackfix.llm.hashing import batches as slices
+from trackfix.llm.hashing import give_back
 
 #: Texts are parsed from so many places at once, which is put right where a phrase crosses one of them.
 BLOCK = 512
@@ -282,6 +283,7 @@ def _predict(parser, keep: bool):
                 langs += lang
                 scores += score.tolist()
             yield pa.RecordBatch.from_arrays([row if keep else row.field("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row" if keep else "doc_id", "lang_pred", "score"])
+        give_back()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackfix.llm.hashing import batches, mix, salted
+from trackfix.llm.hashing import batches, give_back, mix, salted
 from trackfix.llm.shingles import features
 from trackfix.operators.components import connected_components
 from trackfix.session import join_sized, materialize
@@ -91,6 +91,7 @@ def _sketch(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "t")), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(band[some].reshape(-1)))],
                 names=["doc_id", "t", "h1", "h2", "n_features", "bands"],
             )
+    give_back()
 
 
 def sketches(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -57,6 +58,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Return the memory that Arrow keeps for later; called at a task's end, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def batches(texts: list[str | None], size: int = 1_000_000):
     """Slices of consecutive texts of about ``size`` characters in all; a longer text comes alone."""
     begin, total = 0, 0

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.llm.hashing import batches as slices
+from trackfix.llm.hashing import give_back
 from trackfix.session import materialize
 
 #: The base patterns, with the least length of what they find.
@@ -164,6 +165,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((sum(k == 0 for _, k, _ in base), sum(k == 1 for _, k, _ in base), sum(k == 2 for _, k, _ in base), hashlib.sha256(names.encode()).hexdigest(), [{"start": s, "kind": k, "end": e} for s, k, e in base], tokens))
         columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([docs, *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens"])
+    give_back()
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
