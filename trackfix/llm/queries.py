@@ -11,6 +11,7 @@ from trackfix.llm.chunk_fingerprint import fingerprint_neighbours
 from trackfix.llm.cross_parsing import identify_languages
 from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.epsilon_grid import cosine_components
+from trackfix.llm.filter_audit import audit_filters
 from trackfix.llm.license_scan import scan_licenses
 from trackfix.llm.secret_scan import scan_secrets
 from trackfix.llm.source_mixing import mix_documents
@@ -74,6 +75,11 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters removes of each language's documents."""
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_url_reputation": op2_url_reputation,
@@ -85,4 +91,5 @@ QUERIES = {
     "op8_cross_parsing": op8_cross_parsing,
     "op9_secret_scan": op9_secret_scan,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_filter_audit": op11_filter_audit,
 }
