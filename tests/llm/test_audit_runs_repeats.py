@@ -79,3 +79,101 @@ def test_shapley_map_is_the_mean_over_all_orders(n):
             want[i] += worth[at | 1 << i] - worth[at]
             at |= 1 << i
     assert [sum(m * w for m, w in zip(row, worth, strict=True)) for row in shapley_map(n)] == want
+
+
+def runs_by_definition(w, least):
+    """All maximal stretches of smallest period q with at least ``least`` and 2q words."""
+    n, found = len(w), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= 2 * q and j > i:
+                found.setdefault((i, j + q), q)  # the smallest period comes first
+            i = max(j, i + 1)
+    return sorted((a, b - a, q) for (a, b), q in found.items() if b - a >= max(least, 2 * q))
+
+
+@pytest.mark.parametrize("least", [2, 3, 12])
+def test_runs_match_their_definition(least):
+    import numpy as np
+
+    from trackfix.llm.hashing import mix
+    from trackfix.llm.periodic_runs import runs_of, stretches
+
+    rng = random.Random(least)
+    for _ in range(400):
+        letters = rng.choice([1, 2, 2, 3, 5])
+        w = [rng.randrange(letters) for _ in range(rng.randrange(60))]
+        if rng.random() < 0.5:
+            u = [rng.randrange(4) for _ in range(rng.randrange(1, 25))]
+            w = [*w[: len(w) // 2], *(u * 5)[: rng.randrange(2, 80)], *w[len(w) // 2 :]]
+        want = runs_by_definition(w, least)
+        assert runs_of(w, least) == want, w
+        got = []
+        for a, b in stretches(mix(np.array(w, np.uint64)), np.zeros(len(w), np.int64), least):
+            got += [(a + s, n, p) for s, n, p in runs_of(w[a:b], least)]
+        assert sorted(got) == want, w
+
+
+def test_long_repetitive_texts_take_time_in_proportion():
+    import time
+
+    from trackfix.llm.periodic_runs import runs_of
+
+    began = time.perf_counter()
+    assert runs_of([0] * 100_000) == [(0, 100_000, 1)]
+    assert runs_of(list(range(700)) * 100) == [(0, 70_000, 700)]
+    fib = [[0], [0, 1]]
+    while len(fib[-1]) < 50_000:
+        fib.append(fib[-1] + fib[-2])
+    assert len(runs_of(fib[-1])) > 1000
+    assert time.perf_counter() - began < 30
+
+
+def looped(doc, text):
+    w = (text or "").encode("utf-8").split()
+    h = zlib.crc32(str(doc).encode()) if doc is not None else 1
+    g, n = h // 10, len(w)
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def run_row(doc, text):
+    w = looped(doc, text)
+    runs = runs_by_definition(w, 12)
+    gone = {j for s, n, q in runs for j in range(s + q, s + n)}
+    s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in runs).encode()
+    left = b" ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc, len(runs), s, n, q, 1000 * n // q if runs else None, hashlib.sha256(lines).hexdigest(), hashlib.sha256(left).hexdigest())
+
+
+def test_periodic_runs_of_a_table_match_their_definition(spark):
+    from trackfix.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    names = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    got = values(QUERIES["op12_periodic_runs"](spark, SF), names)
+    short = [r for r in docs if len((r.text or "").split()) < 1500]
+    want = collections.Counter(run_row(r.doc_id, r.text) for r in short)
+    assert len(short) > 150 and sum(w[1] > 0 for w in want) > 10
+    assert sum(got.values()) == len(docs) and not want - got
+
+
+def test_periodic_runs_of_odd_rows(spark):
+    from trackfix.llm.periodic_runs import looped_documents, periodic_runs, run_digests
+
+    names = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    odd = odd_documents(spark).withColumnRenamed("row", "runs").withColumnRenamed("score", "w")
+    more = spark.createDataFrame([(60, "\x0b\x0ca b " * 20), (61, "é " * 11), (62, "é " * 12), (-7, "x y z " * 9), (63, "é\n" * 400)], "doc_id long, text string")
+    got = values(run_digests(periodic_runs(looped_documents(odd))), names)
+    assert sum(got.values()) == 9 and next(r for r in got if r[0] == 6)[1:5] == (1, 0, 60_000, 3)
+    assert values(run_digests(periodic_runs(looped_documents(more))), names) == collections.Counter(run_row(r.doc_id, r.text) for r in more.collect())
+    assert all(r in got for r in [run_row(1, None), run_row(2, ""), run_row(None, "no id at all")])
+    assert periodic_runs(odd.limit(0)).count() == 0

@@ -13,6 +13,7 @@ from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.epsilon_grid import cosine_components
 from trackfix.llm.filter_audit import audit_filters
 from trackfix.llm.license_scan import scan_licenses
+from trackfix.llm.periodic_runs import looped_documents, periodic_runs, run_digests
 from trackfix.llm.secret_scan import scan_secrets
 from trackfix.llm.source_mixing import mix_documents
 from trackfix.llm.url_reputation import Rule, filter_urls
@@ -80,6 +81,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, a tenth of which is made periodic first."""
+    return run_digests(periodic_runs(looped_documents(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_url_reputation": op2_url_reputation,
@@ -92,4 +98,5 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_dart_minhash": op10_dart_minhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
 }
