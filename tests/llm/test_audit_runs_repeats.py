@@ -177,3 +177,72 @@ def test_periodic_runs_of_odd_rows(spark):
     assert values(run_digests(periodic_runs(looped_documents(more))), names) == collections.Counter(run_row(r.doc_id, r.text) for r in more.collect())
     assert all(r in got for r in [run_row(1, None), run_row(2, ""), run_row(None, "no id at all")])
     assert periodic_runs(odd.limit(0)).count() == 0
+
+
+def kept(rows, length):
+    """Per (doc_id, text) in order: what the definition leaves, with a set of all strings seen."""
+    seen, out = set(), []
+    for doc, text in rows:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            s = data[i : i + length]
+            if s in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(s)
+        left = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        spans = len([1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])])
+        out.append((doc, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return collections.Counter(out)
+
+
+CUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_removed_repeats_of_a_table_match_a_set_of_strings(spark, sf):
+    from trackfix.llm.queries import QUERIES
+
+    folder = SF.replace("sf0.001", sf)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
+    want = kept([(r.doc_id, r.text) for r in docs], 100)
+    assert values(QUERIES["op13_suffix_dedup"](spark, folder), CUT) == want and sum(w[2] > 0 for w in want) > 10
+
+
+def test_removed_repeats_of_random_and_periodic_texts(spark):
+    from pyspark.sql import functions as F
+
+    from trackfix.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(5)
+    draw = lambda n, letters="ab": "".join(rng.choice(letters) for _ in range(n))
+    some = [draw(rng.randrange(90, 260), "abcdé ") for _ in range(12)]
+    texts = ["", None, "a" * 99, "a" * 100, "a" * 350, "ab" * 300, draw(700), draw(400) * 2, "日" * 500, some[0] * 4]
+    for _ in range(150):
+        parts = [rng.choice(some) for _ in range(rng.randrange(1, 5))]
+        texts.append("".join(p[rng.randrange(60) : len(p) - rng.randrange(60)] + draw(rng.randrange(3), "xyz") for p in parts))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(len(texts), texts[7]), (len(texts) + 1, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = remove_repeats(df).withColumn("n_spans", F.size("spans"))
+    assert values(got, CUT) == kept(rows, 100)
+    assert all(s.end - s.start >= 100 for r in got.collect() for s in r.spans)
+
+
+def test_removed_repeats_of_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from trackfix.llm.suffix_dedup import remove_repeats
+
+    odd = odd_documents(spark).withColumnRenamed("row", "o").withColumnRenamed("score", "k")
+    got = values(remove_repeats(odd).withColumn("n_spans", F.size("spans")), CUT)
+    rows = sorted([(r.doc_id, r.text) for r in odd.collect()], key=lambda r: (r[0] is None, r[0] or 0))
+    short = [r for r in rows if r[0] != 6]
+    assert sum(got.values()) == 9 and not kept(short, 100) - got
+    long = next(r for r in got if r[0] == 6)
+    period = len("lorem ipsum é日本 ".encode())
+    assert long[1] == 20_000 * period and long[2] == 20_000 * period - period and long[3] == 1
+    clash = spark.createDataFrame([(1, "x" * 30 + draw, "x") for draw in ("p" * 100, "q" * 100, "p" * 100)] + [(None, "p" * 120, "y"), (None, None, "y")], "doc_id long, text string, tie string")
+    out = remove_repeats(clash).collect()
+    assert sorted(r.n_removed for r in out)[:2] == [0, 0] and sum(r.n_removed == 130 for r in out) == 1 and len(out) == 5
+    assert remove_repeats(odd.limit(0)).count() == 0

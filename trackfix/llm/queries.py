@@ -16,6 +16,7 @@ from trackfix.llm.license_scan import scan_licenses
 from trackfix.llm.periodic_runs import looped_documents, periodic_runs, run_digests
 from trackfix.llm.secret_scan import scan_secrets
 from trackfix.llm.source_mixing import mix_documents
+from trackfix.llm.suffix_dedup import remove_repeats
 from trackfix.llm.url_reputation import Rule, filter_urls
 from trackfix.session import read_table
 
@@ -86,6 +87,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(looped_documents(read_table(spark, sf_dir, "documents"))))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that came before."""
+    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_url_reputation": op2_url_reputation,
@@ -99,4 +105,5 @@ QUERIES = {
     "op10_dart_minhash": op10_dart_minhash,
     "op11_filter_audit": op11_filter_audit,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
