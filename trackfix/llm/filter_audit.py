@@ -15,7 +15,7 @@ import json
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,26 +61,31 @@ def shapley_map(n: int) -> list[list[int]]:
     return [[int(v) for v in r] for r in out]
 
 
-def failures(docs: DataFrame, filters: dict[str, Column], duplicates: str, keep: list[Column]) -> DataFrame:
-    """``(keep..., mask, n)``: rows of ``docs`` (doc_id, text) by the bit set of filters that they fail.
+def failures(docs: DataFrame, filters: dict[str, Column], keep: list[str]) -> DataFrame:
+    """``(doc_id, keep..., digest, own)``: the bit set of the filters that each text fails, and a digest of the text.
 
-    Bits follow ``filters`` in order and then ``duplicates``: a text that any smaller doc_id has as well. Rows
-    are counted by a digest of their text and their doc_id first, so that a text with very many copies is a few
-    rows where its least doc_id is looked up. A null doc_id is smaller than none and has no smaller one.
+    What follows works on these narrow rows; no text is shuffled.
     """
     text = F.coalesce("text", F.lit(""))
     mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(filters.values())), F.lit(0))
-    names = [f"kept{i}" for i in range(len(keep))]
-    judged = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), mask.alias("own"), *[c.alias(n) for c, n in zip(keep, names, strict=True)])
-    by_id = judged.groupBy("digest", "own", *names, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("doc_id", *keep, F.unhex(F.sha2(text, 256)).alias("digest"), mask.alias("own"))
+
+
+def counted(rows: DataFrame, bit: int, keep: list[str]) -> DataFrame:
+    """``(keep..., mask, n)``: rows (doc_id, digest, own, keep...) by bit set, with ``bit`` for a text that a smaller doc_id has.
+
+    Rows are counted by digest and doc_id first, so that a text with very many copies is a few rows where its
+    least doc_id is looked up. A null doc_id is smaller than none and has no smaller one.
+    """
+    by_id = rows.groupBy("digest", "own", *keep, "doc_id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n")))
-    by_text = by_id.groupBy("digest", "own", *names).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("unnamed"), first.alias("first"))
-    least = by_text.groupBy("digest").agg(F.min("first.doc_id").alias("least"))
-    first_of_all = F.when(F.col("first.doc_id") == F.col("least"), F.col("first.n"))
-    fresh = F.coalesce(first_of_all, F.lit(0)) + F.coalesce("unnamed", F.lit(0))
-    split = F.explode(F.array(F.struct(F.lit(0).alias("bit"), fresh.alias("n")), F.struct(F.lit(1 << len(filters)).alias("bit"), (F.col("n") - fresh).alias("n"))))
-    cells = by_text.join(least, "digest").select(*names, "own", split.alias("s")).where("s.n > 0")
-    return cells.groupBy(*names, (F.col("own") + F.col("s.bit")).alias("mask")).agg(F.sum("s.n").alias("n"))
+    unnamed = F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0))
+    by_text = by_id.groupBy("digest", "own", *keep).agg(F.sum("n").alias("n"), unnamed.alias("unnamed"), first.alias("first"))
+    least = F.min("first.doc_id").over(Window.partitionBy("digest"))
+    fresh = F.col("unnamed") + F.when(F.col("first.doc_id") == F.col("least"), F.col("first.n")).otherwise(F.lit(0))
+    split = F.explode(F.array(F.struct(F.lit(0).alias("bit"), F.col("fresh").alias("n")), F.struct(F.lit(bit).alias("bit"), (F.col("n") - F.col("fresh")).alias("n"))))
+    cells = by_text.withColumn("least", least).withColumn("fresh", fresh).select(*keep, "own", split.alias("s")).where("s.n > 0")
+    return cells.groupBy(*keep, (F.col("own") + F.col("s.bit")).alias("mask")).agg(F.sum("s.n").alias("n"))
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column] | None = None, duplicates: str = "E") -> DataFrame:
@@ -101,10 +106,11 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column]
     names = [*filters, duplicates]
     n, whole = len(names), (1 << len(names)) - 1
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1)).alias("toxic"))
-    labelled = docs.select("doc_id", "text", "lang").join(known, "doc_id", "left")
-    cells = failures(labelled, filters, duplicates, [F.coalesce("lang", F.lit("")), F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0))])
+    judged = failures(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part")), filters, ["part"])
+    rows = judged.join(known, "doc_id", "left").fillna(0, ["good", "toxic"])
+    cells = counted(rows, 1 << len(filters), ["part", "good", "toxic"])
     count = lambda c: F.sum(c).cast("long")
-    masks = cells.withColumnRenamed("kept0", "part").groupBy("part", "mask").agg(count(F.col("n")).alias("n"), count(F.col("n") * F.col("kept1")).alias("good"), count(F.col("n") * F.col("kept2")).alias("toxic"))
+    masks = cells.groupBy("part", "mask").agg(count(F.col("n")).alias("n"), count(F.col("n") * F.col("good")).alias("good"), count(F.col("n") * F.col("toxic")).alias("toxic"))
     packed = masks.groupBy("part").agg(F.sum("n").alias("total"), F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("masks"))  # at most one of each coalition
 
     def removals(name: str) -> Column:
@@ -120,10 +126,10 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column]
             steps.append({"filter_order": "".join(names[j] for j in order), "step": step, "i": i, "bit": 1 << i, "before": before, "after": before | 1 << i})
             before |= 1 << i
     plan = F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order:string,step:int,i:int,bit:int,before:int,after:int>>")
-    rows = tabled.withColumn("shapley", F.array(*worth)).withColumn("s", F.explode(plan)).select("*", "s.*")
+    planned = tabled.withColumn("shapley", F.array(*worth)).withColumn("s", F.explode(plan)).select("*", "s.*")
     at = lambda name, c: F.get(F.col(name), F.col(c) if isinstance(c, str) else c)
     lost = lambda name: at(name, "after") - at(name, "before")
-    return rows.select(
+    return planned.select(
         "part", "filter_order", "step", (F.col("total") - at("n", "after")).alias("kept"), lost("n").alias("removed"), (at("n", "bit") - lost("n")).alias("redundant"),
         (at("n", F.lit(whole)) - at("n", F.lit(whole) - F.col("bit"))).alias("unique_fails"), lost("good").alias("good_lost"), lost("toxic").alias("toxic_lost"), at("shapley", "i").alias("shapley"),
     )

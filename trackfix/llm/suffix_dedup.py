@@ -181,20 +181,23 @@ def ranked(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("k").orderBy("c", "o", "tie", "place")
     group = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.shiftright("place", BITS).bitwiseAND(OWN) == OWN
-    judged = rows.select("*", (F.coalesce(F.lag("c").over(by) == F.col("c"), F.lit(False)) | own).alias("again"), (F.first("c").over(group) != F.last("c").over(group)).alias("several"))
+    before = F.lag(F.struct("c", F.struct("o", "tie", "place").alias("at"))).over(by)
+    follows = (before["c"] == F.col("c")) & (before["at"] != F.struct("o", "tie", "place"))  # rows that repeat are one position
+    judged = rows.select("*", (F.coalesce(follows, F.lit(False)) | own).alias("again"), (F.first("c").over(group) != F.last("c").over(group)).alias("several"))
     return judged.where("again OR several").select("k", "o", "tie", "place", "again")
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = LENGTH, sample: int = SAMPLE, block: int = BLOCK, copies: bool = False) -> DataFrame:
     """``(o, tie, at, n)``: rows of windows (starts ``at`` to ``at + n - 1``) of ``length`` bytes that also start earlier.
 
-    ``texts`` has (o, tie, text); earlier means a smaller (o, tie), or the same and a smaller start.
+    ``texts`` has (o, tie, text); earlier means a smaller (o, tie), or the same and a smaller start. ``copies``:
+    rows of ``texts`` may repeat; they are one text then.
     """
     assert 1 < sample < length and length - sample + 1 < OWN and length > 3
     first = materialize(ranked(texts.select("o", "tie", "text").mapInArrow(_sample(length, sample), RUNS)))
     goes_on = first.where("NOT again").groupBy("o", "tie").agg(F.collect_list(F.struct("k", "place")).alias("runs"))  # bounded by its text
     spans = texts.join(goes_on, ["o", "tie"]).select("o", "tie", "text", "runs").mapInArrow(_spans(length), "k long, o long, tie long, place long, span binary")
-    spans = materialize(spans.dropDuplicates(["o", "tie", "place"]) if "copies" in texts.columns else spans)
+    spans = materialize(spans.dropDuplicates(["o", "tie", "place"]) if copies else spans)
     second = materialize(ranked(spans.mapInArrow(_blocks(length, block), RUNS)))
     start = F.shiftright("place", 3 * BITS)
     inner = second.where("NOT again").select("o", "tie", "place", (start - F.col("place").bitwiseAND(OWN)).alias("at"))
@@ -250,8 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = not counts.isEmpty()
     texts = _ordered(docs, several)
-    judged = texts.withColumn("copies", F.lit(1)) if several else texts
-    found = repeated_windows(judged, length).groupBy("o", "tie").agg(F.collect_list("at").alias("starts"), F.collect_list("n").alias("counts"))  # bounded by its text
+    found = repeated_windows(texts, length, copies=several).groupBy("o", "tie").agg(F.collect_list("at").alias("starts"), F.collect_list("n").alias("counts"))  # bounded by its text
     cut = texts.join(found, ["o", "tie"], "left").select("doc_id", "text", "starts", "counts", "o", "tie").mapInArrow(
         _cut(length), "doc_id long, o long, tie long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
     )
