@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from test_operators import DOCS, components, documents, odd_documents, shingle_counts
 
 SF = "/root/testdata/sf0.001"
@@ -311,3 +312,49 @@ def test_false_discoveries_among_names_and_paths(spark):
     got = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     false, true = sum(got[i] != "" for i in range(len(NAMES))), sum(got[1000 + i] != "" for i in range(40))
     assert true >= 37 and false <= 0.05 * (true + false)
+
+
+PARTS = "user account information package project data file config server handler request response manager factory builder parser stream buffer network protocol store cache index table column schema query engine worker thread process queue event message service client".split()
+
+
+def test_thresholds_of_classes_of_all_sizes():
+    """Classes of random tokens alone lose at most 3 % of them; among names, at most 5 % of what passes is false."""
+    from trackfix.llm.secret_scan import BINS, candidates, infer_encoding, least_p, random_p
+
+    rng, draw = np.random.default_rng(17), random.Random(17)
+    least = lambda p: least_p(np.histogram(p, BINS, (0, 1))[0].astype(float), 0.05, 50.0)
+    for n in (1, 2, 3, 5, 10, 30, 100, 300, 1000):
+        lost = np.mean([(p < least(p)).mean() for p in rng.random((400, n))])
+        assert lost <= 0.03, (n, lost)
+    names = []
+    while len(names) < 600:
+        parts = [draw.choice(PARTS) for _ in range(draw.randrange(2, 6))]
+        name = draw.choice(["".join(w.title() for w in parts), "_".join(parts), "/".join(parts) + str(draw.randrange(100)), parts[0] + "".join(w.title() for w in parts[1:]) + str(draw.randrange(1000))])
+        names += [random_p(name[s:e], kind) for s, e in candidates(name, 0, len(name)) if (kind := infer_encoding(name[s:e]))]
+    for n, others in ((3, 3), (10, 20), (30, 60), (100, 400), (1000, 2000)):
+        passed = false = 0
+        for _ in range(200):
+            tokens, wrong = rng.random(n), rng.choice(names, others)
+            limit = least(np.concatenate((tokens, wrong)))
+            passed += (tokens >= limit).sum() + (wrong >= limit).sum()
+            false += (wrong >= limit).sum()
+        assert false <= 0.05 * passed, (n, others, false / passed)
+    spread = np.concatenate((rng.random(1000), rng.random(2000) * 0.05))  # names that look random far more often
+    assert least(spread) >= 0.04
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_url_reputation_matches_its_sql_on_larger_tables(spark, sf):
+    import duckdb
+
+    from trackfix.llm.oracle import ORACLE
+    from trackfix.llm.queries import QUERIES
+
+    db, folder = duckdb.connect(), f"/root/testdata/{sf}"
+    for t in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = db.execute(ORACLE["op2_url_reputation"])
+    names = [c[0] for c in want.description]
+    rows = collections.Counter(want.fetchall())
+    got = collections.Counter(tuple(r[n] for n in names) for r in QUERIES["op2_url_reputation"](spark, folder).collect())
+    assert got == rows and len({r[names.index("bad_lower")] for r in rows}) > 20

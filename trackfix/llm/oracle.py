@@ -22,22 +22,36 @@ hosts AS (
   FROM p JOIN named USING (host) LEFT JOIN l ON l.doc_id = p.page_id GROUP BY p.host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-levels AS (SELECT 'h' AS lv, n, bad FROM hosts WHERE n > 0 UNION ALL SELECT 'd', n, bad FROM domains WHERE n > 0 UNION ALL SELECT 's', n, bad FROM suffixes WHERE n > 0),
-sums AS (SELECT lv, count(*)::DOUBLE AS g, sum(n) AS n, sum(bad) AS bad, sum(1 / n) AS inv, sum(n * (bad / n) * (bad / n)) AS sq FROM levels GROUP BY lv),
-moments AS (SELECT lv, g, bad / n AS m, g * (sq - n * (bad / n) * (bad / n)) / ((g - 1) * n) AS spread, inv FROM sums),
-fit AS (SELECT lv, m, CASE WHEN g < 2 THEN 10000 WHEN spread - m * (1 - m) / g * inv > 0
-    THEN least(10000, greatest(1, (m * (1 - m) - spread) / (spread - m * (1 - m) / g * inv))) ELSE 10000 END AS k FROM moments),
-ms AS (SELECT coalesce(max(m) FILTER (lv = 's'), 0) AS m, coalesce(max(k) FILTER (lv = 's'), 1) AS ks, coalesce(max(k) FILTER (lv = 'd'), 1) AS kd, coalesce(max(k) FILTER (lv = 'h'), 1) AS kh FROM fit),
-s2 AS (SELECT suffix, (ks * m + bad) / (ks + n) AS rate FROM suffixes, ms),
-d2 AS (SELECT d.domain, (kd * s2.rate + bad) / (kd + n) AS rate FROM domains d JOIN s2 USING (suffix), ms),
-h2 AS (SELECT h.host, (kh * d2.rate + bad) / (kh + n) AS rate, kh + n AS total FROM hosts h JOIN d2 USING (domain), ms),
-h3 AS (SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) AS lower FROM h2),
+strengths AS (SELECT unnest([2e0, 8e0, 32e0, 128e0, 512e0, 2048e0]) AS m),
+overall AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS mean FROM suffixes),
+sp AS (SELECT suffix, n, bad, least(greatest(mean, 1e-9), 1 - 1e-9) AS pr FROM suffixes, overall),
+s_e AS (SELECT suffix, pr, n, bad, m, lgamma(m * pr + bad) - lgamma(m * pr) + lgamma(m * (1 - pr) + n - bad) - lgamma(m * (1 - pr)) - lgamma(m + n) + lgamma(m) AS ev FROM sp, strengths),
+s_t AS (SELECT m, coalesce(sum(ev) FILTER (n > 0), 0) AS t FROM s_e GROUP BY m),
+s_l AS (SELECT m, exp(t - max(t) OVER ()) AS v FROM s_t),
+s_w AS (SELECT m, ln(0.9 * v / sum(v) OVER () + 0.1 / 6) AS lw FROM s_l),
+s_o AS (SELECT *, exp(ev + lw - max(ev + lw) OVER (PARTITION BY suffix)) AS share, (m * pr + bad) / (m + n) AS q FROM s_e JOIN s_w USING (m)),
+s_r AS (SELECT suffix, sum(share * q) / sum(share) AS rate, sum(share * (q * q + q * (1 - q) / (m + n + 1))) / sum(share) AS square FROM s_o GROUP BY suffix),
+dp AS (SELECT domain, n, bad, least(greatest(rate, 1e-9), 1 - 1e-9) AS pr FROM domains JOIN s_r USING (suffix)),
+d_e AS (SELECT domain, pr, n, bad, m, lgamma(m * pr + bad) - lgamma(m * pr) + lgamma(m * (1 - pr) + n - bad) - lgamma(m * (1 - pr)) - lgamma(m + n) + lgamma(m) AS ev FROM dp, strengths),
+d_t AS (SELECT m, coalesce(sum(ev) FILTER (n > 0), 0) AS t FROM d_e GROUP BY m),
+d_l AS (SELECT m, exp(t - max(t) OVER ()) AS v FROM d_t),
+d_w AS (SELECT m, ln(0.9 * v / sum(v) OVER () + 0.1 / 6) AS lw FROM d_l),
+d_o AS (SELECT *, exp(ev + lw - max(ev + lw) OVER (PARTITION BY domain)) AS share, (m * pr + bad) / (m + n) AS q FROM d_e JOIN d_w USING (m)),
+d_r AS (SELECT domain, sum(share * q) / sum(share) AS rate, sum(share * (q * q + q * (1 - q) / (m + n + 1))) / sum(share) AS square FROM d_o GROUP BY domain),
+hp AS (SELECT host, hosts.n, hosts.bad, least(greatest(rate, 1e-9), 1 - 1e-9) AS pr FROM hosts JOIN d_r USING (domain)),
+h_e AS (SELECT host, pr, n, bad, m, lgamma(m * pr + bad) - lgamma(m * pr) + lgamma(m * (1 - pr) + n - bad) - lgamma(m * (1 - pr)) - lgamma(m + n) + lgamma(m) AS ev FROM hp, strengths),
+h_t AS (SELECT m, coalesce(sum(ev) FILTER (n > 0), 0) AS t FROM h_e GROUP BY m),
+h_l AS (SELECT m, exp(t - max(t) OVER ()) AS v FROM h_t),
+h_w AS (SELECT m, ln(0.9 * v / sum(v) OVER () + 0.1 / 6) AS lw FROM h_l),
+h_o AS (SELECT *, exp(ev + lw - max(ev + lw) OVER (PARTITION BY host)) AS share, (m * pr + bad) / (m + n) AS q FROM h_e JOIN h_w USING (m)),
+h_r AS (SELECT host, sum(share * q) / sum(share) AS rate, sum(share * (q * q + q * (1 - q) / (m + n + 1))) / sum(share) AS square FROM h_o GROUP BY host),
+h3 AS (SELECT host, rate - 1.645 * sqrt(greatest(square - rate * rate, 0)) AS lower FROM h_r),
 rules AS (SELECT * FROM (VALUES ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'), ('example.org', '/en/1', 'example.org/en/1', 'block'),
     ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')) r(rhost, rpath, rule, verdict)),
 hit AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
-SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.verdict, CASE WHEN h3.lower > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND hit.host = p.host AND hit.path = p.path JOIN h3 ON h3.host = p.host
+SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.verdict, CASE WHEN h3.lower > greatest(0.25, mean + 0.1 * (1 - mean)) THEN 'block' ELSE 'allow' END) AS verdict, round(h3.lower, 6) + 0e0 AS bad_lower
+FROM overall, p LEFT JOIN hit ON hit.page_id = p.page_id AND hit.host = p.host AND hit.path = p.path JOIN h3 ON h3.host = p.host
 """
 
 ORACLE["op6_source_mixing"] = r"""

@@ -32,7 +32,7 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict; a page is bad where its label is of low quality or toxic."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("is_bad"))
-    return filter_urls(read_table(spark, sf_dir, "pages"), labels, URL_RULES).drop("bad_lower")
+    return filter_urls(read_table(spark, sf_dir, "pages"), labels, URL_RULES).withColumn("bad_lower", F.round("bad_lower", 6) + F.lit(0.0))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

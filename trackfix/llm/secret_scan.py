@@ -4,9 +4,9 @@ Runs are cut at ``=`` and tested whole and in their parts between ``/``, ``-`` a
 (one of ``ALPHABETS``) is inferred from its letters. Under the hypothesis that it is random
 text of that encoding, chi-squared uniformity of its symbols, the runs test and the lag-one serial
 correlation each give a p-value (letters also their likeness to prose), joined by Fisher's method. Random tokens have uniform joint p-values, other
-tokens have small ones; so per encoding and length class the share of random tokens is known from the upper
-half of all p-values in the corpus, and the least threshold is taken above which at most ``fdr`` of the
-tokens are estimated not to be random.
+tokens have small ones; so per encoding and length class the corpus's own p-values bound the number of random
+tokens, and the least threshold is taken above which at most ``fdr`` of the tokens are estimated not to be
+random.
 """
 
 from __future__ import annotations
@@ -190,15 +190,24 @@ def thresholds(scanned: DataFrame, fdr: float = 0.05, prior: float = 50.0) -> li
     seen: dict[tuple[str, int], np.ndarray] = {}
     for r in bins.collect():
         seen.setdefault((r.encoding, r.length), np.zeros(BINS))[r.bin] = r["count"]
-    out = []
-    for (encoding, length), counts in sorted(seen.items()):
-        counts = counts + prior / BINS
-        counts[0] += prior
-        above = np.cumsum(counts[::-1])[::-1]
-        random = min(above[0], 2 * above[BINS // 2])
-        false = np.maximum(0, above - random * (1 - np.arange(BINS) / BINS)) / above
-        out.append((encoding, length, int(np.argmax(false <= fdr)) / BINS if (false <= fdr).any() else 1.1))
-    return out
+    return [(encoding, length, least_p(counts, fdr, prior)) for (encoding, length), counts in sorted(seen.items())]
+
+
+def least_p(counts: np.ndarray, fdr: float, prior: float, doubt: float = 2.0) -> float:
+    """The least p-value, a multiple of 1 / BINS, from which at most ``fdr`` of a class's tokens are taken to be not random.
+
+    Every count from some p-value on bounds the number of random tokens, of which the rest of the unit interval
+    holds its share. The counts vary by chance, so each bound is ``doubt`` deviations wider, and the tightest one
+    holds: a lack of random tokens that is within the noise of a small class never raises the threshold.
+    """
+    start = np.arange(BINS) / BINS
+    own = np.cumsum(counts[::-1])[::-1]
+    added = prior * (1 - start) + prior * (start == 0)
+    bound = (own + doubt * np.sqrt(own) + doubt**2 / 2 + added) / (1 - start)
+    random = min(bound[: BINS * 4 // 5])
+    above = own + added
+    false = np.maximum(0, above - random * (1 - start)) / above
+    return int(np.argmax(false <= fdr)) / BINS if (false <= fdr).any() else 1.1
 
 
 def scan_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:

@@ -81,7 +81,7 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 def _lgamma(x: Column) -> Column:
     """Logarithm of the gamma function of a positive number, by Stirling's series eight further on."""
     y = x + F.lit(8.0)
-    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (y * y)) / (y * y)) / (y * y)) / y
     for pair in range(0, 8, 2):
         series = series - F.log((x + F.lit(float(pair))) * (x + F.lit(pair + 1.0)))
     return series
