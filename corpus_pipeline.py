@@ -15,7 +15,7 @@ from trackfix.llm.best_fit_packing import pack_documents
 from trackfix.llm.cross_parsing import identify_languages
 from trackfix.llm.dart_minhash import near_duplicates
 from trackfix.llm.secret_scan import redact
-from trackfix.llm.source_mixing import mixed_rows
+from trackfix.llm.source_mixing import mixed_rows, whole_row
 from trackfix.session import join_sized, materialize, read_table, scratch_dir
 
 
@@ -30,14 +30,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document is a doc_id with a text: rows that repeat both leave one, rows of one doc_id with different
     texts are documents of their own and stay unless they are alike. Texts without words are like nothing.
     """
-    named = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast("long")), "__text": F.xxhash64("text")}
-    keyed = docs.withColumns(named)
-    kept = near_duplicates(keyed.select(F.struct(*named).alias("doc_id"), "text")).where("kept").select("doc_id.*")
+    named = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long")), "digest": F.xxhash64("text")}
+    keyed = docs.select(whole_row(docs), *[c.alias(n) for n, c in named.items()])
+    kept = near_duplicates(keyed.select(F.struct(*named).alias("doc_id"), F.col("row.text").alias("text"))).where("kept").select("doc_id.*")
     repeats = materialize(keyed.groupBy(*named).count().where("count > 1").select(*named))
     if not repeats.isEmpty():
         once = join_sized(keyed, repeats, [*named], "left_semi").dropDuplicates([*named])
         keyed = join_sized(keyed, repeats, [*named], "left_anti").unionByName(once)
-    return keyed.join(kept.hint("merge"), [*named], "left_semi").select(*docs.columns)
+    return keyed.join(kept.hint("merge"), [*named], "left_semi").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

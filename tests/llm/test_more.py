@@ -202,6 +202,21 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
     assert packed.count() >= odd.count() and dict(p.STAGES)["packing"](spark, odd.limit(0), SF).count() == 0
 
 
+def test_stages_keep_the_values_of_clashing_columns(spark):
+    import corpus_pipeline as p
+
+    names = ["__text", "__hash", "__epochs", "__id", "row", "skey", "hash", "epochs", "left", "copy", "digest", "none", "a.b"]
+    words = [f"Alpha beta gamma delta {i} epsilon zeta eta theta iota kappa {i * 7}" for i in range(30)]
+    rows = [(i, w, "en", "st"[i % 2], len(w), *[f"{n}-{i}" for n in names[:-1]], {"deep": i}) for i, w in enumerate(words)]
+    kind = DOCS + ", " + ", ".join(f"`{n}` string" for n in names[:-1]) + ", `a.b` struct<deep:int>"
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == (*[f"{n}-{r.doc_id}" for n in names[:-1]], (r.doc_id,)) for r in got), name
+
+
 def test_embedding_links_of_repeated_ids_and_clashing_columns(spark):
     from trackfix.llm.epsilon_grid import cosine_components
 

@@ -204,7 +204,9 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.9, block: int = 8192
     the graph, each with its own n_links. An empty table gives an empty result.
 
     At most ``(2 / eps + 4) ** DIMS`` cell counts come to the driver, and as many rows go out again to tell each
-    cell's interval; the pairs of intervals that meet are broadcast only where they are few. A vector goes to as many tasks as there are intervals near its own, in dense spaces all:
+    cell's interval. Of intervals there are at most as many as cells and as the input has blocks; their pairs
+    are listed on the driver, at cosine 0.9 at most 0.84 million (1,296 cells that unit vectors reach), and
+    grow with the square of the cells as the cosine nears 1. They are broadcast only where they are few. A vector goes to as many tasks as there are intervals near its own, in dense spaces all:
     the rows dealt out grow with the square of the input over ``block``.
     """
     spark = vectors.sparkSession

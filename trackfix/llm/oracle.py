@@ -79,7 +79,8 @@ s AS (SELECT conv_id, piece, turn, role, text, perspective, role = perspective A
   FROM t JOIN p USING (conv_id)),
 w AS (SELECT *, length(head) AS lh, length(body) AS lb, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
     - length(body) - 1 AS b0, row_number() OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text) AS rn FROM s)
-SELECT conv_id, perspective, piece, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
+SELECT conv_id, perspective, piece, 0::BIGINT AS part, (sum(sum(lh + lb + 1)) OVER (PARTITION BY conv_id, perspective ORDER BY piece) - sum(lh + lb + 1))::BIGINT AS start,
+  count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
   coalesce(string_agg(b0::BIGINT::VARCHAR || ':' || (b0 + lb)::BIGINT::VARCHAR, ',' ORDER BY rn) FILTER (mine), '') AS mask,
   coalesce(sum(lb) FILTER (mine), 0)::BIGINT AS n_trained
 FROM w GROUP BY conv_id, perspective, piece

@@ -106,17 +106,22 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_e
     return join_sized(slim, sources, ["skey"]).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).alias("taken"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``row``, so that no name of theirs meets one that a step adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+    """The rows of ``docs`` as often as the mix takes them, with all their columns as they are.
 
     Documents are taken whole: the one at the threshold where at least half of it fits. A null text is
     taken with its source's epochs.
     """
     _, sources = plan_mix(docs, weights, max_epochs)
-    keyed = docs.withColumns({"__skey": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "__hash": row_hash(F.col("doc_id"))})
-    plan = sources.select(F.col("skey").alias("__skey"), F.col("epochs").alias("__epochs"), F.col("path").alias("__path"), F.col("left").alias("__left"), F.col("bucket_size").alias("__bucket"), F.col("bits").alias("__bits"))
-    place = _place("__hash", "__bits", "__path")
-    extra = F.when(place < 0, 1).when((place == 0) & (2 * F.col("__left") >= F.col("__bucket")), 1).otherwise(0)
-    times = (F.col("__epochs") + extra).cast("int")
-    joined = join_sized(keyed, plan, ["__skey"]).where(times > 0)
-    return joined.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times)).alias("__copy")).drop("__copy")
+    keyed = docs.select(whole_row(docs), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"), row_hash(F.col("doc_id")).alias("hash"))
+    plan = sources.select("skey", "epochs", "path", "left", "bucket_size", "bits")
+    place = _place()
+    extra = F.when(place < 0, 1).when((place == 0) & (2 * F.col("left") >= F.col("bucket_size")), 1).otherwise(0)
+    times = (F.col("epochs") + extra).cast("int")
+    joined = join_sized(keyed, plan, ["skey"]).where(times > 0)
+    return joined.select("row", F.explode(F.array_repeat(F.lit(True), times)).alias("copy")).select("row.*")
