@@ -181,8 +181,9 @@ def ranked(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("k").orderBy("c", "o", "tie", "place")
     group = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.shiftright("place", BITS).bitwiseAND(OWN) == OWN
-    before = F.lag(F.struct("c", F.struct("o", "tie", "place").alias("at"))).over(by)
-    follows = (before["c"] == F.col("c")) & (before["at"] != F.struct("o", "tie", "place"))  # rows that repeat are one position
+    before = lambda name: F.lag(name).over(by)
+    moved = (before("o") != F.col("o")) | (before("tie") != F.col("tie")) | (before("place") != F.col("place"))  # rows that repeat are one position
+    follows = (before("c") == F.col("c")) & moved
     judged = rows.select("*", (F.coalesce(follows, F.lit(False)) | own).alias("again"), (F.first("c").over(group) != F.last("c").over(group)).alias("several"))
     return judged.where("again OR several").select("k", "o", "tie", "place", "again")
 
