@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -332,3 +333,35 @@ def test_outliers_and_clusters_do_not_widen_boxes(spark):
         assert [b for _, b in sorted(got[i])] == [j for j in sorted(range(len(xyz)), key=lambda j: (d2[i, j], j)) if j != i][:5]
     near = {(r.a, r.b) for r in radius_pairs(points, ["seq_id"], "query", "r").collect()}
     assert near == {(i, j) for i in range(len(xyz)) for j in range(i + 1, len(xyz)) if d2[i, j] <= rows[i][5] * rows[i][5]}
+
+
+@pytest.mark.parametrize("n", [300, 3_000, 100_000])
+def test_nearest_compares_few_pairs(spark, n):
+    from trackfix.operators.neighbours import compared, nearest
+
+    k, xyz = 50, np.random.default_rng(n).uniform(0, 1, (n, 3))
+    points = spark.createDataFrame(pd.DataFrame({"seq_id": 0, "query": np.arange(n), "px": xyz[:, 0], "py": xyz[:, 1], "pz": xyz[:, 2]}))
+    first, beyond = compared(points, ["seq_id"], k, "query")
+    assert first.count() + beyond.count() < 10 * n * k
+    if n > 3_000:
+        return
+    got = nearest(points, ["seq_id"], k).toPandas()
+    d2 = sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in range(3))
+    np.fill_diagonal(d2, np.inf)
+    want = np.sort(np.argpartition(d2, k, axis=1)[:, :k], axis=1)
+    assert len(got) == n * k and (np.sort(got.sort_values(["a", "rank"])["b"].to_numpy().reshape(n, k), axis=1) == want).all()
+
+
+def test_radius_join_touches_boxes_in_proportion(spark):
+    from trackfix.operators.neighbours import radius_pairs, touched_boxes
+
+    rows = []
+    for n in (2_000, 16_000):
+        side = (n / 2_000) ** (1 / 3)  # as dense
+        xyz = np.random.default_rng(n).uniform(0, side, (n, 3))
+        items = spark.createDataFrame(pd.DataFrame({"seq_id": 0, "query": np.arange(n), "px": xyz[:, 0], "py": xyz[:, 1], "pz": xyz[:, 2], "r": 0.06}))
+        rows.append(touched_boxes(items, ["seq_id"], "query", "r")[1].count())
+        if n == 2_000:
+            d2 = sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in range(3))
+            assert {(r.a, r.b) for r in radius_pairs(items, ["seq_id"], "query", "r").collect()} == {(i, j) for i, j in zip(*np.nonzero(d2 <= 0.06 * 0.06), strict=True) if i < j}
+    assert rows[1] < 1.6 * 8 * rows[0] and rows[1] < 10 * 16_000

@@ -1,4 +1,10 @@
-"""Nearest-neighbour and radius joins inside a partition key (a sequence, or a group of one)."""
+"""Nearest-neighbour and radius joins inside a partition key (a sequence, or a group of one).
+
+Points lie in a tree of boxes: slabs of equal counts, and above them boxes of eight. Pairs of boxes are
+followed from the root down, and dropped as soon as their gap is over the reach of the first box. For nearest
+neighbours a box's reach is the distance within which its neighbour boxes, by their counts, must hold enough
+points; for radius joins it is its largest radius.
+"""
 
 from __future__ import annotations
 
@@ -9,29 +15,45 @@ from trackfix.functions.scalars import finite
 from trackfix.session import materialize
 
 AXES = ("px", "py", "pz")
+CELLS = tuple("at" + axis for axis in AXES)
+#: Bits of a box's number for each axis.
+BOX_BITS = 20
+LOW, HIGH = tuple("lo" + axis for axis in AXES), tuple("hi" + axis for axis in AXES)
 
 
 def squared_distance(a: str = "a", b: str = "b") -> Column:
     return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in AXES), F.lit(0.0))
 
 
+def _box(shift: int) -> Column:
+    """The number of the box that holds ``2 ** shift`` slabs along each axis."""
+    return sum((F.shiftleft(F.shiftright(F.col(c).cast("long"), shift), i * BOX_BITS) for i, c in enumerate(CELLS)), F.lit(0).cast("long"))
+
+
+def _slabs(points: DataFrame, part: list[str], cuts: Column) -> DataFrame:
+    """``points`` (part..., k, AXES, more...) with their place in slabs of equal counts: ``cuts`` (of ``size``) of x, of y in each, of z in these."""
+    size = F.count(F.lit(1)).over(Window.partitionBy(*part))
+    placed, by = points.withColumn("size", size).withColumn("cuts", cuts), list(part)
+    for axis, cell in zip(AXES, CELLS, strict=True):
+        own = Window.partitionBy(*by)
+        place = F.row_number().over(own.orderBy(axis, "k")) - 1
+        placed = placed.withColumn(cell, F.floor(place * F.col("cuts") / F.count(F.lit(1)).over(own)).cast("int"))
+        by.append(cell)
+    return materialize(placed.drop("size").withColumn("box", _box(0)))
+
+
+def _bounds(placed: DataFrame, part: list[str], box: Column, *more: Column) -> DataFrame:
+    return placed.groupBy(*part, box.alias("box")).agg(*[F.min(c).alias("lo" + c) for c in AXES], *[F.max(c).alias("hi" + c) for c in AXES], F.count(F.lit(1)).alias("n"), *more)
+
+
 def boxed(points: DataFrame, part: list[str], leaf: int) -> tuple[DataFrame, DataFrame]:
     """``points`` (part..., k, AXES) with their ``box`` of at most ``leaf`` points, and each box's bounds.
 
     Slabs of equal counts along x are cut into as many along y, and these along z. So boxes are small where
     points are dense and wide where they are sparse; an outlier widens one of them.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    placed, by = points.withColumn("cuts", F.ceil(F.cbrt(size / leaf))), list(part)
-    for axis in AXES:
-        own = Window.partitionBy(*by)
-        place = F.row_number().over(own.orderBy(axis, "k")) - 1
-        placed = placed.withColumn("at" + axis, F.floor(place * F.col("cuts") / F.count(F.lit(1)).over(own)))
-        by.append("at" + axis)
-    number = sum((F.col("at" + axis) * F.pow("cuts", F.lit(i)).cast("long") for i, axis in enumerate(AXES)), F.lit(0))
-    placed = materialize(placed.select(*part, "k", *AXES, number.alias("box")))
-    bounds = placed.groupBy(*part, "box").agg(*[f(axis).alias(name + axis) for axis in AXES for f, name in ((F.min, "lo"), (F.max, "hi"))])
-    return placed, bounds
+    placed = _slabs(points.select(*part, "k", *AXES), part, F.ceil(F.cbrt(F.col("size") / leaf)))
+    return placed, _bounds(placed, part, F.col("box"))
 
 
 def _gap(a: str) -> Column:
@@ -40,39 +62,128 @@ def _gap(a: str) -> Column:
     return sum((d * d for d in out), F.lit(0.0))
 
 
+def _apart(a: str, b: str) -> Column:
+    """Squared distance of two boxes, 0 where they meet; never over that of a point of each."""
+    out = [F.greatest(F.col(f"{b}.lo{c}") - F.col(f"{a}.hi{c}"), F.lit(0.0), F.col(f"{a}.lo{c}") - F.col(f"{b}.hi{c}")) for c in AXES]
+    return sum((d * d for d in out), F.lit(0.0))
+
+
+def _across(a: str, b: str) -> Column:
+    """Squared distance that no point of the one box and point of the other exceed."""
+    out = [F.greatest(F.col(f"{b}.hi{c}") - F.col(f"{a}.lo{c}"), F.col(f"{a}.hi{c}") - F.col(f"{b}.lo{c}")) for c in AXES]
+    return sum((d * d for d in out), F.lit(0.0))
+
+
+def meeting_boxes(placed: DataFrame, part: list[str], k: int | None = None) -> DataFrame:
+    """``(part..., a, b, reach, core)``: the boxes ``b`` (structs of box, bounds and count) within the squared reach of ``a``.
+
+    With ``k``, the reach is one within which every point of ``a`` has ``k`` others, and ``core`` tells the
+    nearest boxes that suffice for that; else it is the largest ``r2`` of the box's points. Both sides of a pair
+    are replaced by their parts in turn, so that a level makes pairs in proportion to its boxes.
+    """
+    more = [] if k else [F.max("r2").alias("r2")]
+    deepest = placed.agg(F.max("cuts")).first()[0]
+    depth = max(0, (int(deepest) - 1).bit_length()) if deepest else 0
+    fields = ["box", *LOW, *HIGH, "n", *["r2" for _ in more]]
+    pairs = None
+    for shift in range(depth, -1, -1):
+        level = _bounds(placed, part, _box(shift), *more)
+        up = sum((F.shiftleft(F.shiftright(F.shiftright(F.col("box"), i * BOX_BITS).bitwiseAND((1 << BOX_BITS) - 1), 1), i * BOX_BITS) for i in range(3)), F.lit(0).cast("long"))
+        level = materialize(level.withColumn("up", up)) if depth else level.withColumn("up", up)
+        side = lambda name, level=level: level.select(*part, F.col("up").alias("up" + name), F.struct(*fields).alias(name))
+        if pairs is None:
+            both = side("a").join(side("b").drop("upb"), part).drop("upa")
+        else:
+            half = pairs.select(*part, F.col("a.box").alias("upa"), "b", "reach").join(side("a"), [*part, "upa"]).where(_apart("a", "b") <= F.col("reach"))
+            both = half.select(*part, "a", F.col("b.box").alias("upb"), "reach").join(side("b"), [*part, "upb"]).where(_apart("a", "b") <= F.col("reach"))
+        if k:
+            near = Window.partitionBy(*part, "a.box").orderBy("across", "b.box")
+            both = both.withColumn("across", _across("a", "b")).withColumn("upto", F.sum("b.n").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            reach = F.min(F.when(F.col("upto") > k, F.col("across"))).over(Window.partitionBy(*part, "a.box"))
+            both = both.withColumn("reach", F.coalesce(reach, F.lit(float("inf")))).withColumn("core", F.col("upto") - F.col("b.n") <= k)
+        else:
+            both = both.withColumn("reach", F.col("a.r2")).withColumn("core", F.lit(True))
+        pairs = both.where(_apart("a", "b") <= F.col("reach")).select(*part, "a", "b", "reach", "core")
+        pairs = materialize(pairs) if depth else pairs
+    return pairs
+
+
+def _searched(points: DataFrame, part: list[str], k: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """Points ``(part..., k, AXES, box)`` in boxes of about a sixth of ``k``, and the boxes that meet.
+
+    Parts of fewer than eight times ``k`` points are one box: all their pairs are fewer than the rest would be.
+    """
+    some = points.where(finite(*[F.col(c) for c in AXES])).select(*part, F.col(key).alias("k"), *AXES)
+    size = F.col("size")
+    cuts = F.when(size < 8 * (k + 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cbrt(size / max(4, k // 6))))).cast("int")
+    placed = _slabs(some, part, cuts)
+    return placed, meeting_boxes(placed, part, k)
+
+
+def _owned(placed: DataFrame, part: list[str], name: str) -> DataFrame:
+    return placed.select(*part, F.col("box").alias("box" + name), F.struct("k", *AXES).alias(name))
+
+
+def _in_core(placed: DataFrame, boxes: DataFrame, part: list[str]) -> DataFrame:
+    """All pairs of a point and another of its box's core boxes."""
+    core = boxes.where("core").select(*part, F.col("a.box").alias("boxa"), F.col("b.box").alias("boxb"))
+    pairs = core.join(_owned(placed, part, "a"), [*part, "boxa"]).join(_owned(placed, part, "b"), [*part, "boxb"])
+    return pairs.where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).select(*part, "a", "b", "d2", "boxa")
+
+
+def _beyond(placed: DataFrame, boxes: DataFrame, part: list[str], first: DataFrame, k: int) -> DataFrame:
+    """Pairs of a point and those of other boxes within the distance of the ``k``-th of its ``first`` neighbours."""
+    reach = first.groupBy(*part, "boxa", "a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("reach"))
+    seeking = _owned(placed, part, "a").join(reach, [*part, "boxa", "a"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    widest = seeking.groupBy(*part, "boxa").agg(F.max("reach").alias("widest"))
+    rest = boxes.where("NOT core").select(*part, F.col("a.box").alias("boxa"), "a", "b").join(widest, [*part, "boxa"]).where(_apart("a", "b") <= F.col("widest"))
+    rest = rest.select(*part, "boxa", F.col("b.box").alias("boxb"), *[F.col("b." + c) for c in (*LOW, *HIGH)])
+    touched = rest.join(seeking, [*part, "boxa"]).where(_gap("a") <= F.col("reach")).select(*part, "boxb", "a", "reach")
+    return touched.join(_owned(placed, part, "b"), [*part, "boxb"]).where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).select(*part, "a", "b", "d2", "reach")
+
+
+def compared(points: DataFrame, part: list[str], k: int, key: str = "query") -> tuple[DataFrame, DataFrame]:
+    """The two tables of pairs whose distances :func:`nearest` takes, for judging how many these are."""
+    placed, boxes = _searched(points, part, k, key)
+    first = _in_core(placed, boxes, part)
+    return first, _beyond(placed, boxes, part, _best(first, part, k), k)
+
+
+def _best(pairs: DataFrame, part: list[str], k: int) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*part, "a.k").orderBy("d2", "b.k"))).where(F.col("rank") <= k)
+
+
 def nearest(points: DataFrame, part: list[str], k: int, key: str = "query") -> DataFrame:
     """``(part..., a, b, d2, rank)``: the ``k`` nearest other points of each point, ties by ``key``.
 
-    A point's ``k`` nearest within its own box bound its reach, and only the boxes that the reach touches are
-    searched beyond. Non-finite points have no neighbours.
+    Points are compared with those of the nearest boxes that must hold ``k`` others, and then only with boxes
+    within the distance of the k-th of these. Non-finite points have no neighbours.
     """
-    xyz = [F.col(c) for c in AXES]
-    placed, bounds = boxed(points.where(finite(*xyz)).select(*part, F.col(key).alias("k"), *AXES), part, max(32, 2 * k))
-    at, mine = F.struct("k", *AXES), Window.partitionBy(*part, "a.k")
-    best = lambda pairs: pairs.withColumn("rank", F.row_number().over(mine.orderBy("d2", "b.k"))).where(F.col("rank") <= k)
-    inside = placed.select(*part, "box", at.alias("a")).join(placed.select(*part, "box", at.alias("b")), [*part, "box"])
-    inside = inside.where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance())
-    inside = materialize(best(inside).select(*part, "a", "b", "d2"))
-    reach = inside.groupBy(*part, F.col("a.k").alias("k")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("reach"))
-    seeking = placed.join(reach, [*part, "k"], "left").select(*part, "box", at.alias("a"), F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-    touched = seeking.withColumnRenamed("box", "own").join(bounds, part).where((F.col("own") != F.col("box")) & (_gap("a") <= F.col("reach")))
-    beyond = touched.select(*part, "box", "a", "reach").join(placed.select(*part, "box", at.alias("b")), [*part, "box"])
-    beyond = beyond.withColumn("d2", squared_distance()).where(F.col("d2") <= F.col("reach")).select(*part, "a", "b", "d2")
-    return best(inside.unionByName(beyond)).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2", "rank")
+    placed, boxes = _searched(points, part, k, key)
+    first = materialize(_best(_in_core(placed, boxes, part), part, k))
+    beyond = _beyond(placed, boxes, part, first, k)
+    inside = first.select(*part, "a", "b", "d2").unionByName(beyond.where(F.col("d2") <= F.col("reach")).select(*part, "a", "b", "d2"))
+    return _best(inside, part, k).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2", "rank")
+
+
+def touched_boxes(items: DataFrame, part: list[str], key: str, radius: str, leaf: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Items in boxes of about ``leaf``, and ``(part..., box, a, reach)``: each box that an item's radius touches."""
+    xyz, reach = [F.col(c) for c in AXES], F.col(radius)
+    some = items.where(finite(*xyz, reach)).select(*part, F.col(key).alias("k"), *AXES, F.when(reach >= 0, reach * reach).otherwise(F.lit(-1.0)).alias("r2"))
+    placed = _slabs(some, part, F.greatest(F.lit(1), F.floor(F.cbrt(F.col("size") / leaf))).cast("int"))
+    boxes = meeting_boxes(placed, part)
+    boxes = boxes.select(*part, F.col("a.box").alias("boxa"), F.col("b.box").alias("box"), *[F.col("b." + c) for c in (*LOW, *HIGH)])
+    seeking = placed.select(*part, F.col("box").alias("boxa"), F.struct("k", *AXES).alias("a"), F.col("r2").alias("reach"))
+    return placed, boxes.join(seeking, [*part, "boxa"]).where(_gap("a") <= F.col("reach")).select(*part, "box", "a", "reach")
 
 
 def radius_pairs(items: DataFrame, part: list[str], key: str, radius: str) -> DataFrame:
     """``(part..., a, b, d2)`` with ``a < b`` no farther apart than the radius of ``a``; only boxes in reach are searched.
 
-    Non-finite items and radii pair with nothing.
+    Non-finite items and radii pair with nothing, nor do negative radii.
     """
-    xyz, reach = [F.col(c) for c in AXES], F.col(radius)
-    some = items.where(finite(*xyz, reach)).select(*part, F.col(key).alias("k"), *AXES, reach.alias("r"))
-    placed, bounds = boxed(some.select(*part, "k", *AXES), part, 64)
-    at = F.struct("k", *AXES)
-    seeking = some.select(*part, at.alias("a"), (F.col("r") * F.col("r")).alias("reach"))
-    touched = seeking.join(bounds, part).where(_gap("a") <= F.col("reach")).select(*part, "box", "a", "reach")
-    pairs = touched.join(placed.select(*part, "box", at.alias("b")), [*part, "box"]).where(F.col("a.k") < F.col("b.k")).withColumn("d2", squared_distance())
+    placed, touched = touched_boxes(items, part, key, radius)
+    pairs = touched.join(placed.select(*part, "box", F.struct("k", *AXES).alias("b")), [*part, "box"]).where(F.col("a.k") < F.col("b.k")).withColumn("d2", squared_distance())
     return pairs.where(F.col("d2") <= F.col("reach")).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2")
 
 
