@@ -7,7 +7,8 @@ stood for by equal strings at equal places. Windows in a row that one string sta
 
 1. Sampled positions are sorted by the pair of ranks of their two halves, then by their run's bytes: a string
    of its own ends all its windows; a run whose bytes came before is a repeat; strings with different runs go on.
-2. Of these, only the first run of each kind is cut into blocks of ``BLOCK`` windows, which are sorted likewise.
+2. Of these, only the first run of each kind is cut into blocks of ``BLOCK`` windows, which are sorted likewise: by
+   the string that all windows of the block share, ``length - BLOCK + 1`` bytes, then by the block's bytes.
 3. Windows of blocks that still differ are sorted by the pair of ranks of their two halves, at offset length / 2:
    all but the first of each pair are repeats.
 
@@ -149,7 +150,8 @@ def _blocks(length: int, block: int):
             row, j, number = row[head], j[head], number[head]
             after = d[row] - j
             c = ranks.of(begin[row] + j, m - 1 + length, m << BITS | after)
-            name = salted(k[row].view(np.uint64) + number.astype(np.uint64), 5)
+            shared = ranks.of(begin[row] + d[row] - block * number, length - block + 1, number)  # inside every window of the block
+            name = salted(k[row].view(np.uint64) + shared, 5)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), c.view(np.int64), o[row], tie[row], _pack(at[row] + j, m, after, j))], names=["k", "c", "o", "tie", "place"])
         give_back()
 
