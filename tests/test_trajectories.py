@@ -365,3 +365,152 @@ def test_radius_join_touches_boxes_in_proportion(spark):
             d2 = sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in range(3))
             assert {(r.a, r.b) for r in radius_pairs(items, ["seq_id"], "query", "r").collect()} == {(i, j) for i, j in zip(*np.nonzero(d2 <= 0.06 * 0.06), strict=True) if i < j}
     assert rows[1] < 1.6 * 8 * rows[0] and rows[1] < 10 * 16_000
+
+
+def test_the_neighbour_limit_acts_in_large_sequences(spark):
+    from trackfix.plans.oracle import ORACLE
+    from trackfix.plans.queries import QUERIES
+
+    folder = SF.replace("sf0.001", "sf0.01")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+    got = {}
+    for name in ("direction_edges_large", "direction_edges_all_pairs_large", "knn_edges_large"):
+        got[name] = {tuple(r)[:3] for r in QUERIES[name](spark, folder).collect()}
+        assert got[name] == {r[:3] for r in db.execute(ORACLE[name]).fetchall()}, name
+    limited, every = got["direction_edges_large"], got["direction_edges_all_pairs_large"]
+    assert limited < every and len(every) > 2 * len(limited) and max(b for _, _, b in every) > 1400
+
+
+MEDIAN_ROWS = st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.0, 1.0, 2.5, float("nan"), float("inf"), float("-inf")]), st.floats(allow_nan=False))), min_size=1, max_size=60)
+
+
+@given(MEDIAN_ROWS, st.integers(0, 8))
+@settings(max_examples=3, deadline=None)
+def test_selected_medians_match_the_builtin(spark, rows, large):
+    from pyspark.sql import functions as F
+
+    from trackfix.operators.medians import exact_medians
+
+    df = spark.createDataFrame([(g, v, None if v is None else -v, "x") for g, v in rows], "g int, v double, w double, below string").repartition(3)
+    want = {r.g: (r.v, r.w) for r in df.groupBy("g").agg(F.median("v").alias("v"), F.median("w").alias("w")).collect()}
+    got = {r.g: (r.v, r.w) for r in exact_medians(df, ["g"], ["v", "w"], large=large).collect()}
+    plain = lambda x: None if x is None else "nan" if x != x else x + 0.0
+    assert {g: tuple(map(plain, v)) for g, v in got.items()} == {g: tuple(map(plain, v)) for g, v in want.items()}
+
+
+def test_medians_of_a_large_group_need_few_rounds_and_equal_the_plain_ones(spark):
+    from pyspark.sql import functions as F
+
+    from trackfix.operators.medians import exact_medians, grouped_medians
+
+    wide = spark.range(200_000).select((F.col("id") % 7 == 0).cast("int").alias("g"), (F.exp(F.randn(1) * 40) * F.signum(F.randn(2))).alias("v"), F.when(F.col("id") % 50_000 == 7, float("nan")).otherwise(F.col("id") % 10).alias("w"))
+    rows = lambda df: {tuple(map(str, r)) for r in df.collect()}
+    assert rows(exact_medians(wide, ["g"], ["v", "w"], large=1000)) == rows(wide.groupBy("g").agg(F.median("v"), F.median("w")))
+    n = [F.count(F.lit(1)).alias("n")]
+    assert rows(grouped_medians(wide, ["g"], ["v", "w"], n, nan=True, large=1000)) == rows(grouped_medians(wide, ["g"], ["v", "w"], n, nan=True))
+    assert exact_medians(wide.limit(0), ["g"], ["v"]).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=80), st.sampled_from(["int", "string", "struct"]))
+@settings(max_examples=60, deadline=None)
+def test_stars_connect_what_edges_connect(edges, kind):
+    import pyarrow as pa
+
+    from trackfix.operators.components import _stars
+
+    node = {"int": lambda v: v - 20, "string": lambda v: f"n{v:03}", "struct": lambda v: {"p": None if v < 3 else v % 4, "k": v}}[kind]
+    typ = {"int": pa.int64(), "string": pa.string(), "struct": pa.struct([("p", pa.int32()), ("k", pa.int64())])}[kind]
+    key = lambda v: tuple((x is not None, x) for x in v.values()) if kind == "struct" else v
+    batches = [pa.RecordBatch.from_arrays([pa.array([node(e[i]) for e in part], typ) for i in (0, 1)], names=["a", "b"]) for part in (edges[:30], edges[30:])]
+    got = [(r["a"], r["b"]) for b in _stars(iter(batches)) for r in b.to_pylist()]
+    least = {key(node(v)): key(node(v)) for e in edges for v in e}
+    for _ in least:
+        for a, b in edges:
+            a, b = key(node(a)), key(node(b))
+            least[a] = least[b] = min(least[a], least[b])
+    assert {(key(a), key(b)) for a, b in got} == {(c, v) for v, c in least.items() if c != v} and len(got) == len({key(b) for _, b in got})
+
+
+def test_absorption_of_many_parts_into_large_ones(spark):
+    """Parts that middle values stand for, against whole members, and 50,000 parts of one sequence in a minute or two."""
+    import time
+
+    from trackfix.operators.grouping import _absorb, absorb_fragments
+
+    rng = np.random.default_rng(2)
+    sizes = [400, 300, 7, 6, *rng.integers(1, 5, 150)]
+    centres = rng.uniform(0, 12, (len(sizes), 3))
+    xyz = np.concatenate([c + rng.normal(0, 0.5, (n, 3)) for c, n in zip(centres, sizes, strict=True)])
+    xyz[5] = xyz[0]
+    label = np.repeat(np.arange(len(sizes)), sizes)
+    groups = spark.createDataFrame(pd.DataFrame({"seq_id": 0, "group_id": label.astype("int32"), "group_type": "co_moving", "query": np.arange(len(label), dtype="int32")}))
+    positions = spark.createDataFrame(pd.DataFrame({"seq_id": 0, "query": np.arange(len(label), dtype="int32"), "px": xyz[:, 0], "py": xyz[:, 1], "pz": xyz[:, 2]}))
+    alone, alive = _absorb([np.flatnonzero(label == i) for i in range(len(sizes))], xyz, 5, 5.0)
+    want = sorted(sorted(map(int, p)) for p in [*[p for _, p in alone], *alive.values()])
+    got = collections.defaultdict(list)
+    for r in absorb_fragments(groups, positions, RectifyConfig()).collect():
+        got[r.group_id].append(r.query)
+    assert sorted(map(sorted, got.values())) == want and len(want) < len(sizes) - 20
+    n = 50_000
+    xyz = rng.uniform(0, 200, (n, 3))
+    began = time.perf_counter()
+    alone, alive = _absorb([np.array([i]) for i in range(n)], xyz, 5, 5.0)
+    assert time.perf_counter() - began < 180 and sum(map(len, alive.values())) + sum(len(p) for _, p in alone) == n
+
+
+@pytest.mark.parametrize("kind", ["sphere", "circle", "path", "equal"])
+def test_parallax_compares_few_rays(spark, kind):
+    from pyspark.sql import functions as F
+
+    from trackfix.operators.geometry import query_parallax, ray_cells, rays, wide_pairs
+
+    n, rng = 2000, np.random.default_rng(1)
+    at = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    p = {"sphere": rng.normal(size=(n, 3)), "circle": np.stack([np.cos(at), np.sin(at), np.full(n, 0.4)], 1), "path": np.stack([at / 9, np.sin(at) / 5, np.full(n, 2.0)], 1), "equal": np.full((n, 3), 0.5)}[kind]
+    frames = np.arange(n, dtype="int32")
+    points = spark.createDataFrame(pd.DataFrame({"seq_id": 0, "query": 0, "frame": frames, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "visible": True}))
+    cameras = spark.createDataFrame(pd.DataFrame({"seq_id": 0, "frame": frames, "cx": 0.0, "cy": 0.0, "cz": 0.0}))
+    unit = p / np.sqrt((p * p).sum(axis=1))[:, None]
+    assert abs(query_parallax(points, cameras).first().parallax - np.arccos(np.clip((unit @ unit.T).min(), -1, 1))) < 1e-7
+    cells = ray_cells(rays(points, cameras)).withColumn("pairs", wide_pairs(F.col("cells")))
+    work = cells.select(F.size("cells"), F.aggregate("pairs", F.lit(0), lambda s, q: s + F.size(q["a"]) * F.size(q["b"]))).first()
+    assert kind == "equal" or work[0] ** 2 + work[1] < n * n / 10
+
+
+def test_validation_expands_no_rows(spark):
+    from trackfix.operators.validate import validation_report
+    from trackfix.plans.fixtures import scene
+
+    s = scene(spark, SF)
+    report = validation_report(s.points, s.observations, s.cameras, RectifyConfig())
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
+    wide = s.points.where("seq_id = 0").withColumns({"frame": s.points.frame * 40_000, "query": s.points.query * 1000 - 50_000})
+    row = validation_report(wide, s.observations, s.cameras, RectifyConfig()).first()
+    assert (row.n_frames, row.n_queries) == (16, s.points.where("seq_id = 0").select("query").distinct().count())
+
+
+def test_npz_format_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from trackfix.sources.npz_format import register_npz
+
+    register_npz(spark)
+    cells = spark.range(3 * 150 * 7).select(F.floor(F.col("id") / 1050).alias("s"), F.floor(F.col("id") / 7 % 150).cast("int").alias("frame"), (F.col("id") % 7).cast("int").alias("query"))
+    at = lambda k: (F.col("frame") * k + F.col("query") + F.col("s") * 0.5).cast("double")
+    rows = cells.select(
+        F.format_string("seq-%d", "s").alias("path"), "frame", "query", *[at(i).alias(c) for i, c in enumerate("xyz")], (F.col("query") % 2 == 0).alias("visible"),
+        *[F.when(F.col("query") < 3, at(i + 3)).otherwise(float("nan")).alias("g" + c) for i, c in enumerate("xyz")], (F.col("query") < 3).alias("measured"), *[(F.col("frame") * 1.5 + i).alias("c" + c) for i, c in enumerate("xyz")],
+    )
+    target = f"file://{tmp_path}/out"
+    rows.repartition("path").write.format("npz").mode("append").save(target)
+    assert sorted(os.listdir(tmp_path)) == ["out"] and sorted(os.listdir(tmp_path / "out")) == ["seq-0.npz", "seq-1.npz", "seq-2.npz"]
+    back = spark.read.format("npz").load(target)
+    assert back.rdd.getNumPartitions() == 9 and back.count() == 3150
+    plain = lambda df: {(os.path.basename(r[0]).removesuffix(".npz"), *map(str, r[1:])) for r in df.collect()}
+    assert plain(back) == plain(rows)
+    with pytest.raises(Exception, match="complete grid"):
+        rows.where("NOT (path = 'seq-2' AND frame = 3 AND query = 1)").repartition("path").write.format("npz").mode("append").save(f"file://{tmp_path}/bad")
+    with pytest.raises(Exception, match="several tasks"):
+        rows.repartitionByRange(4, "path", "frame").where("path <> 'seq-1' OR frame < 200").sortWithinPartitions("path").write.format("npz").mode("append").save(f"file://{tmp_path}/split")
+    assert os.listdir(tmp_path) == ["out"]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,43 +14,59 @@ from trackfix.session import materialize
 
 #: Parts of a large component in the last join.
 SALTS = 16
-#: Nodes that a task's forest holds before it starts another.
+#: Nodes that a task's stars hold before it starts others.
 FOREST_NODES = 500_000
 
 
+def _codes(column: pa.Array) -> np.ndarray:
+    """Each value's rank among the distinct ones; null comes first. Structs rank by their fields in order."""
+    if not pa.types.is_struct(column.type):
+        some = pc.unique(column)
+        rank = np.empty(len(some), np.int64)
+        rank[pc.sort_indices(some, null_placement="at_start").to_numpy()] = np.arange(len(some))
+        return rank[pc.index_in(column, some).to_numpy(zero_copy_only=False)]
+    code = np.zeros(len(column), np.int64)
+    for field in column.flatten():
+        own = _codes(field)
+        code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    return code
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component: roots hook onto the least root they meet, then all pointers jump to roots."""
+    parent = np.arange(n)
+    while len(a):
+        a, b = parent[a], parent[b]
+        live = a != b
+        a, b = a[live], b[live]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    return parent
+
+
+def _as_stars(edges: pa.Table) -> pa.Table:
+    ends = pa.concat_arrays([c.combine_chunks() for c in edges.columns])
+    _, first, code = np.unique(_codes(ends), return_index=True, return_inverse=True)
+    parent = _roots(code[: len(edges)], code[len(edges) :], len(first))
+    child = np.flatnonzero(parent != np.arange(len(first)))
+    return pa.table([ends.take(pa.array(first[parent[child]])), ends.take(pa.array(first[child]))], schema=edges.schema)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as stars around the least nodes of what they connect, in bounded memory."""
-    parent: dict = {}
-    schema = None
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def stars() -> pa.RecordBatch:
-        pairs = [(find(x), x) for x in parent]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        back = (lambda v: dict(zip(names, v, strict=True))) if names else (lambda v: v)
-        return pa.RecordBatch.from_arrays([pa.array([back(p[k]) for p in pairs], schema.field(k).type) for k in (0, 1)], schema=schema)
-
-    names = None
+    """The edges of a partition as stars around the least nodes of what they connect, in bounded memory.
+
+    Nodes are numbered in their order and joined by arrays; stars stand in for their edges when more come.
+    """
+    held: list[pa.Table] = []
     for batch in batches:
-        if schema is None:
-            schema = batch.schema
-            names = [f.name for f in schema.field(0).type] if pa.types.is_struct(schema.field(0).type) else None
-        columns = [zip(*[c.field(n).to_pylist() for n in names], strict=True) if names else c.to_pylist() for c in batch.columns]
-        for a, b in zip(*columns, strict=True):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-        if len(parent) > FOREST_NODES:
-            yield stars()
-            parent.clear()
-    if parent:
-        yield stars()
+        held.append(pa.Table.from_batches([batch]))
+        if sum(len(t) for t in held) > 2 * FOREST_NODES:
+            held = [_as_stars(pa.concat_tables(held))]
+            if len(held[0]) > FOREST_NODES:
+                yield from held.pop().to_batches()
+    if held:
+        yield from _as_stars(pa.concat_tables(held)).to_batches()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, together: list[str] | None = None) -> DataFrame:
@@ -58,7 +76,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, together: list[st
     loops, repeated and reversed edges are harmless; an empty table gives an empty result.
 
     First each task turns its edges into stars; ``together`` names columns by which edges are dealt out for
-    that, where they bound a component (a sequence, say), and mostly nothing is left to do. Then each round every node points to the least node of its closed neighbourhood and the graph contracts
+    that, where they mostly bound a component (a sequence and a range of its nodes, say), and mostly nothing is
+    left to do. Then each round every node points to the least node of its closed neighbourhood and the graph contracts
     along the pointers, so that only edges between different groups remain. Even rounds order nodes by
     themselves (a star around its least node ends in one round), odd rounds by a hash of the round, under
     which long chains lose a constant share of their nodes. Rounds are written to the shared folder; no

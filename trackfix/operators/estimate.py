@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackfix.functions.scalars import SEQ, above, finite, nan_median, norm3
+from trackfix.operators.medians import grouped_medians
 
 GROUP = [SEQ, "group_id"]
 AXES = ("x", "y", "z")
@@ -35,8 +36,16 @@ def _offsets(of: tuple[str, ...], origin: tuple[str, ...]) -> list[Column]:
 
 def median_scale(r: Column) -> Column:
     """Median ratio of a group, null unless every ratio is finite and the median is positive."""
-    m = F.median(r)
-    return F.when(F.bool_and(finite(F.coalesce(r, F.lit(1.0)))) & finite(m) & (m > MIN_SCALE), m)
+    return usable_scale(F.median(r), F.bool_and(all_finite(r)))
+
+
+def all_finite(r: Column) -> Column:
+    """A ratio is finite, or null and so doesn't count."""
+    return finite(F.coalesce(r, F.lit(1.0)))
+
+
+def usable_scale(median: Column, ok: Column) -> Column:
+    return F.when(ok & finite(median) & (median > MIN_SCALE), median)
 
 
 def camera_ratio() -> Column:
@@ -53,7 +62,10 @@ def anchor_ratio() -> Column:
 def camera_scale(anchored: DataFrame, cameras: DataFrame) -> DataFrame:
     """``(seq_id, group_id, c0x, c0y, c0z, alpha)``: scale about the camera of the first anchor's frame; alpha may be null."""
     first = anchored.where("ord = 0").select(*GROUP, "frame").join(cameras, [SEQ, "frame"]).select(*GROUP, *[F.col("c" + a).alias("c0" + a) for a in AXES])
-    return anchored.join(first, GROUP).groupBy(*GROUP, *["c0" + a for a in AXES]).agg(median_scale(camera_ratio()).alias("alpha"))
+    keys = [*GROUP, *["c0" + a for a in AXES]]
+    rows = anchored.join(first, GROUP).select(*keys, camera_ratio().alias("alpha"))
+    judged = grouped_medians(rows, keys, ["alpha"], [F.bool_and(all_finite(F.col("alpha"))).alias("ok")], total=anchored.count())
+    return judged.select(*keys, usable_scale(F.col("alpha"), F.col("ok")).alias("alpha"))
 
 
 def per_frame_scale(anchored: DataFrame, points: DataFrame, observations: DataFrame, cameras: DataFrame, least: int = 1) -> DataFrame:
@@ -115,9 +127,10 @@ def anchor_scale(anchored: DataFrame) -> DataFrame:
 
 def group_translation(anchored: DataFrame) -> DataFrame:
     """``(seq_id, group_id, dx, dy, dz)``: median residual per axis; null where any residual isn't finite."""
-    d = {a: F.col("g" + a) - F.col(a) for a in AXES}
-    ok = F.bool_and(finite(*d.values()))
-    return anchored.groupBy(*GROUP).agg(*[F.when(ok, nan_median(c)).alias("d" + a) for a, c in d.items()])
+    rows = anchored.select(*GROUP, *[(F.col("g" + a) - F.col(a)).alias("d" + a) for a in AXES])
+    names = ["d" + a for a in AXES]
+    judged = grouped_medians(rows, GROUP, names, [F.bool_and(finite(*[F.col(n) for n in names])).alias("ok")], total=anchored.count())
+    return judged.select(*GROUP, *[F.when(F.col("ok"), F.col(n)).alias(n) for n in names])
 
 
 def anchor_moments(about_first: list[tuple[Column, Column]]) -> list[Column]:

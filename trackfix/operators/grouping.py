@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 
 import numpy as np
@@ -10,19 +12,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackfix.config import RectifyConfig
-from trackfix.functions.scalars import SEQ, finite, nan_median
+from trackfix.functions.scalars import SEQ, finite
 from trackfix.operators.components import connected_components
+from trackfix.operators.medians import grouped_medians
 from trackfix.operators.motion import direction_descriptors, direction_similarity, group_descriptors, median_positions, world_fixed_points
 from trackfix.operators.neighbours import AXES, nearest, radius_pairs
-from trackfix.session import materialize
+from trackfix.session import at_once, materialize
 
+#: Queries of one sequence whose edges one task takes, as a power of two.
+RANGE_BITS = 17
 GROUP = "seq_id long, group_id int, group_type string, query int"
 
 
 def keyed_components(edges: DataFrame, part: list[str]) -> DataFrame:
-    """``(part..., query, component)`` of edges ``(part..., a, b)``; the component is its least member."""
+    """``(part..., query, component)`` of edges ``(part..., a, b)``; the component is its least member.
+
+    Edges are dealt out by part and range of ``a``, so that a large sequence is several tasks' work.
+    """
     node = lambda c: F.struct(*part, F.col(c).alias("k"))
-    found = connected_components(edges.select(*part, node("a").alias("na"), node("b").alias("nb")), "na", "nb", part)
+    dealt = edges.select(*part, node("a").alias("na"), node("b").alias("nb"), F.shiftright(F.col("a"), RANGE_BITS).alias("range"))
+    found = connected_components(dealt, "na", "nb", [*part, "range"])
     return found.select(*[F.col(f"node.{p}").alias(p) for p in part], F.col("node.k").alias("query"), F.col("component.k").alias("component"))
 
 
@@ -103,9 +112,8 @@ def spatial_split(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig, k
 
 def group_centroids(groups: DataFrame, positions: DataFrame) -> DataFrame:
     """Median position per axis and size of each group."""
-    return groups.join(positions, [SEQ, "query"]).groupBy(SEQ, "group_id", "group_type").agg(
-        *[nan_median(F.col(c)).alias(c) for c in AXES], F.count(F.lit(1)).alias("size")
-    )
+    member = groups.join(positions, [SEQ, "query"])
+    return grouped_medians(member, [SEQ, "group_id", "group_type"], list(AXES), [F.count(F.lit(1)).alias("size")], nan=True, total=groups.count())
 
 
 def fragment_scale(groups: DataFrame, positions: DataFrame) -> DataFrame:
@@ -155,28 +163,83 @@ def merge_fragments(groups: DataFrame, points: DataFrame, positions: DataFrame,
     return renumber(new, ["first", "second"])
 
 
-def _absorb(parts: list[np.ndarray], xyz: np.ndarray, least: int, factor: float) -> tuple[list[int], dict[int, list[int]]]:
+class _Middle:
+    """What a part's median needs: its size, and per axis the sorted values around the middle and how many lie outside.
+
+    As long as no more values come than the middle reaches to each side, medians are exact.
+    """
+
+    def __init__(self, n: int, below: list[int], values: list[list[float]]) -> None:
+        self.n, self.below, self.values = n, below, values
+        self.above = [n - b - len(v) for b, v in zip(below, values, strict=True)]
+        self.nan = any(v != v for axis in values for v in axis)
+
+    def add(self, xyz: np.ndarray) -> None:
+        self.n += len(xyz)
+        self.nan |= bool(np.isnan(xyz).any())
+        if self.nan:
+            return
+        for axis, values in enumerate(self.values):
+            for v in xyz[:, axis].tolist():
+                if self.below[axis] and v <= values[0]:
+                    self.below[axis] += 1
+                elif self.above[axis] and v >= values[-1]:
+                    self.above[axis] += 1
+                else:
+                    bisect.insort(values, v)
+
+    def median(self) -> list[float]:
+        if self.nan:
+            return [math.nan] * 3
+        return [(v[(self.n - 1) // 2 - b] + v[self.n // 2 - b]) / 2 for b, v in zip(self.below, self.values, strict=True)]
+
+
+def _whole(xyz: np.ndarray) -> _Middle:
+    return _Middle(len(xyz), [0, 0, 0], [sorted(xyz[:, i].tolist()) for i in range(3)])
+
+
+def _merge_small(small: dict[int, np.ndarray], middles: list[_Middle], least: int, factor: float) -> tuple[list[int], dict[int, list[int]]]:
     """Greedy absorption of parts below ``least`` members, smallest first, into the nearest part in reach.
 
-    Returns the parts that stay alone in the order they gave up, and the members of the survivors by number.
-    Each step depends on the medians that the last one left, so it runs on one sequence at a time.
+    ``small`` has the members' positions of these parts, ``middles`` all parts. Returns the parts that stay alone
+    in the order they gave up, and the parts of each survivor. Each step depends on the medians that the last
+    one left, so a sequence's parts are one task's work; a heap, whose entries are void once a part has grown,
+    gives the smallest, and one array the distances of all centroids.
     """
-    alive = {i: p for i, p in enumerate(parts)}
-    centre = {i: np.median(xyz[p], axis=0) for i, p in alive.items()}
-    alone: list[tuple[int, np.ndarray]] = []
-    while small := [i for i in alive if len(alive[i]) < least]:
-        i = min(small, key=lambda j: (len(alive[j]), j))
-        mine = alive.pop(i)
-        reach = factor * max(_scale(xyz[mine]), 1e-6)
-        gaps = {j: float(np.linalg.norm(centre[i] - centre[j])) for j in alive}
-        gaps = {j: d for j, d in gaps.items() if d < np.inf}
-        target = min(gaps, key=lambda j: (gaps[j], j), default=None)
-        if target is not None and gaps[target] < reach:
-            alive[target] = np.concatenate((alive[target], mine))
-            centre[target] = np.median(xyz[alive[target]], axis=0)
+    small, alone = dict(small), []
+    centre = np.array([m.median() for m in middles]).reshape(-1, 3)
+    alive, into = np.ones(len(middles), bool), {i: [i] for i in range(len(middles))}
+    heap = [(middles[i].n, i) for i in small]
+    heapq.heapify(heap)
+    while heap:
+        size, i = heapq.heappop(heap)
+        if not alive[i] or middles[i].n != size:
+            continue
+        alive[i], mine, own = False, small.pop(i), into.pop(i)
+        gap = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
+        gap[~alive | np.isnan(gap)] = np.inf
+        j = int(np.argmin(gap))
+        if gap[j] < factor * max(_scale(mine), 1e-6):
+            into[j] += own
+            middles[j].add(mine)
+            centre[j] = middles[j].median()
+            if j in small:
+                small[j] = np.concatenate((small[j], mine))
+                if middles[j].n < least:
+                    heapq.heappush(heap, (middles[j].n, j))
+                else:
+                    del small[j]
         else:
-            alone.append((i, mine))
-    return alone, alive
+            alone.append(i)
+            into[i] = own
+    return alone, into
+
+
+def _absorb(parts: list[np.ndarray], xyz: np.ndarray, least: int, factor: float) -> tuple[list[tuple[int, np.ndarray]], dict[int, np.ndarray]]:
+    """:func:`_merge_small` of parts given by their rows of ``xyz``; returns those alone, and the survivors, with their members."""
+    alone, into = _merge_small({i: xyz[p] for i, p in enumerate(parts) if len(p) < least}, [_whole(xyz[p]) for p in parts], least, factor)
+    members = {i: np.concatenate([parts[j] for j in own]) for i, own in into.items()}
+    return [(i, members[i]) for i in alone], {i: m for i, m in members.items() if i not in set(alone)}
 
 
 def _scale(xyz: np.ndarray) -> float:
@@ -190,11 +253,34 @@ def _scale(xyz: np.ndarray) -> float:
     return float(np.median(near)) if len(near) else 1.0
 
 
+def _parts(member: DataFrame) -> DataFrame:
+    """One row per part of ``member`` (group columns, small, positions): size, small parts' ``members``, others' middle values per axis.
+
+    A median moves by at most one rank for each value that joins, and no more than the small parts' members do.
+    """
+    key = [SEQ, "group_id"]
+    size = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    spare = F.sum("small").over(Window.partitionBy(SEQ))
+    sized = member.select(*key, "group_type", "small", *AXES).withColumns({"size": size, "spare": spare})
+    few = sized.where("small = 1").groupBy(*key, "group_type").agg(F.max("size").alias("size"), F.flatten(F.collect_list(F.array(*AXES))).alias("members"))
+    rank = F.row_number().over(Window.partitionBy(*key, "axis").orderBy("v")) - 1
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in AXES]))
+    ranked = sized.where("small = 0").select(*key, "group_type", "size", "spare", each.alias("e")).select("*", "e.*").withColumn("rank", rank)
+    near = (F.col("rank") >= F.floor((F.col("size") - 1) / 2) - F.col("spare") - 1) & (F.col("rank") <= F.floor(F.col("size") / 2) + F.col("spare") + 1)
+    middle = ranked.where(near | F.isnan("v") & (F.col("rank") == F.col("size") - 1))
+    own = lambda c, column: F.when(F.col("axis") == c, F.col(column))
+    columns = [x for c in AXES for x in (F.min(own(c, "rank")).cast("int").alias("below" + c), F.sort_array(F.collect_list(own(c, "v"))).alias("mid" + c))]
+    many = middle.groupBy(*key, "group_type").agg(F.max("size").alias("size"), *columns)
+    return few.unionByName(many, allowMissingColumns=True)
+
+
 def absorb_fragments(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig, world_fixed: bool = False) -> DataFrame:
     """Absorbs small groups of each sequence; lone ones become independent (world-fixed ones stay so).
 
     ``world_fixed`` treats the world-fixed groups, else all others. Groups that stayed alone come before the
-    survivors; the world-fixed ones before the rest. Only sequences with a small group go through Python.
+    survivors; the world-fixed ones before the rest. Only sequences with a small group go through Python, as one
+    row per part: the members' positions of small parts, and of others the size and, per axis, the values around
+    the middle that medians can reach however many small parts join. Members follow their part by a join.
     """
     if not world_fixed and cfg.min_fitting_size <= 1:
         return groups
@@ -204,22 +290,27 @@ def absorb_fragments(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig
     least, factor = cfg.min_fitting_size, cfg.fragment_merge_distance_factor
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group_id", "query"]).reset_index(drop=True)
-        ids = sorted(pdf["group_id"].unique())
-        parts = [np.flatnonzero(pdf["group_id"] == g) for g in ids]
-        types = [pdf["group_type"].iloc[p[0]] for p in parts]
-        alone, alive = _absorb(parts, pdf[list(AXES)].to_numpy(), least, factor)
-        order, kind = np.zeros(len(pdf), np.int32), np.empty(len(pdf), object)
-        for at, (i, rows) in enumerate(alone):
-            order[rows], kind[rows] = at, types[i] if world_fixed else "independent_dynamic"
-        for at, (i, rows) in enumerate(sorted(alive.items()), len(alone)):
-            order[rows], kind[rows] = at, "co_moving" if not world_fixed and len(rows) > len(parts[i]) else types[i]
-        return pd.DataFrame({SEQ: pdf[SEQ], "group_id": order, "group_type": kind, "query": pdf["query"]})
-
-    small = member.where("any_small = 1").join(positions, [SEQ, "query"]).select(SEQ, "group_id", "group_type", "query", *AXES)
+        pdf = pdf.sort_values("group_id").reset_index(drop=True)
+        positions_of = lambda i: np.array(pdf["members"][i], float).reshape(-1, 3)
+        small = {i: positions_of(i) for i, n in enumerate(pdf["size"]) if n < least}
+        middles = [_whole(small[i]) if i in small else _Middle(n, [int(pdf["below" + c][i]) for c in AXES], [list(pdf["mid" + c][i]) for c in AXES]) for i, n in enumerate(pdf["size"])]
+        alone, into = _merge_small(small, middles, least, factor)
+        order, kind, types = np.zeros(len(pdf), np.int32), np.empty(len(pdf), object), pdf["group_type"]
+        for at, i in enumerate([*alone, *sorted(into.keys() - set(alone))]):
+            order[into[i]] = at
+            if world_fixed:
+                kind[into[i]] = types[i]
+            elif at < len(alone):
+                kind[into[i]] = "independent_dynamic"
+            else:
+                kind[into[i]] = "co_moving" if len(into[i]) > 1 else types[i]
+        return pd.DataFrame({SEQ: pdf[SEQ], "old": pdf["group_id"], "group_id": order, "group_type": kind})
+
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (SEQ, "group_id", "group_type", "query"))
-    absorbed = small.groupBy(SEQ).applyInPandas(run, schema)
+    parts = _parts(member.where("any_small = 1").join(positions, [SEQ, "query"]))
+    moved = parts.groupBy(SEQ).applyInPandas(run, f"{SEQ} {kinds[SEQ]}, old {kinds['group_id']}, group_id {kinds['group_id']}, group_type string")
+    old = member.where("any_small = 1").select(SEQ, F.col("group_id").alias("old"), "query")
+    absorbed = old.join(moved, [SEQ, "old"]).select(SEQ, "group_id", "group_type", "query")
     same = member.where("any_small = 0").select(SEQ, "group_id", "group_type", "query")
     changed = same.unionByName(absorbed).withColumn("part", F.lit(0 if world_fixed else 1))
     other = groups.where(~mine).select(SEQ, "group_id", "group_type", "query").withColumn("part", F.lit(1 if world_fixed else 0))
@@ -250,9 +341,12 @@ def motion_groups(points: DataFrame, cfg: RectifyConfig) -> DataFrame:
     Points that do neither are in no group. Group ids follow the order of the steps: world-fixed parts, then
     lone fragments, then the rest.
     """
-    positions = materialize(median_positions(points))
-    fixed = materialize(world_fixed_points(points, cfg).select(SEQ, "query"))
-    moving = materialize(direction_descriptors(points, cfg).join(fixed, [SEQ, "query"], "left_anti"))
+    positions, fixed, directed = at_once(
+        lambda: materialize(median_positions(points)),
+        lambda: materialize(world_fixed_points(points, cfg).select(SEQ, "query")),
+        lambda: materialize(direction_descriptors(points, cfg)),
+    )
+    moving = materialize(directed.join(fixed, [SEQ, "query"], "left_anti"))
     groups = materialize(motion_clusters(fixed, moving, direction_edges(moving, positions, cfg), cfg))
     groups = materialize(spatial_split(groups, positions, cfg))
     groups = materialize(merge_fragments(groups, points, positions, cfg))

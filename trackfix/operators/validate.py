@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.config import GROUP_TYPES, RectifyConfig
@@ -15,18 +15,33 @@ class InputWarning(UserWarning):
     """Input that can be corrected but is likely a mistake."""
 
 
+def tallied(rows: DataFrame, distinct: list[str], counts: dict[str, Column]) -> DataFrame:
+    """Per sequence the number of distinct values of whole-number columns (``n_<name>``), and ``counts``.
+
+    One pass over the rows makes bitmaps for each combination of the columns' blocks of 32,768 values, which are
+    few; their union counts the values, so that no row is expanded for a column.
+    """
+    bucket = lambda c: F.bitmap_bucket_number(F.col(c)).alias("block_" + c)
+    bits = [F.bitmap_construct_agg(F.bitmap_bit_position(F.col(c))).alias("bits_" + c) for c in distinct]
+    blocks = rows.groupBy(SEQ, *[bucket(c) for c in distinct]).agg(*bits, *[v.alias(n) for n, v in counts.items()])
+    out = blocks.groupBy(SEQ).agg(*[F.sum(n).alias(n) for n in counts])
+    for c in distinct:
+        one = blocks.where(F.col("block_" + c).isNotNull()).groupBy(SEQ, "block_" + c).agg(F.bitmap_count(F.bitmap_or_agg("bits_" + c)).alias("n"))
+        out = out.join(one.groupBy(SEQ).agg(F.sum("n").alias("n_" + c)), SEQ, "left")
+    return out.select(SEQ, *[F.coalesce("n_" + c, F.lit(0).cast("long")).alias("n_" + c) for c in distinct], *counts)
+
+
 def validation_report(points: DataFrame, observations: DataFrame, cameras: DataFrame, cfg: RectifyConfig) -> DataFrame:
     """One row per sequence: counts, and the problems that :func:`validate_inputs` raises or warns of."""
     keys = [SEQ, "frame", "query"]
     marked = observations.select(*keys, F.lit(True).alias("m")).distinct()
-    cells = points.join(marked, keys, "left").groupBy(SEQ).agg(
-        F.countDistinct("frame").alias("n_frames"),
-        F.countDistinct("query").alias("n_queries"),
-        F.count_if("visible").alias("n_visible"),
-        F.count_if("m").alias("n_valid"),
-        F.count_if(F.col("visible") & F.col("m")).alias("n_candidates"),
-        F.count_if(F.col("visible") & ~finite(F.col("x"), F.col("y"), F.col("z"))).alias("n_visible_nan"),
-    )
+    counts = {
+        "n_visible": F.count_if("visible"),
+        "n_valid": F.count_if("m"),
+        "n_candidates": F.count_if(F.col("visible") & F.col("m")),
+        "n_visible_nan": F.count_if(F.col("visible") & ~finite(F.col("x"), F.col("y"), F.col("z"))),
+    }
+    cells = tallied(points.join(marked, keys, "left"), ["frame", "query"], counts).withColumnsRenamed({"n_frame": "n_frames", "n_query": "n_queries"})
     c = ("cx", "cy", "cz")
     first = cameras.groupBy(SEQ).agg(*[F.min_by(n, "frame").alias(n + "0") for n in c])
     zero = F.lit(True)

@@ -26,6 +26,15 @@ FIXTURE_CTES = {
     "pts": """SELECT g.*, c.cx+g.bias*(g.gx-c.cx) AS x, c.cy+g.bias*(g.gy-c.cy) AS y, c.cz+g.bias*(g.gz-c.cz) AS z,
   c.cx, c.cy, c.cz FROM gt g JOIN cam c ON c.t=g.frame""",
 }
+#: Points of a sequence of the scene of large sequences.
+LARGE_POINTS = 3000
+
+
+def resized(sql: str, points: int) -> str:
+    """The fixture's SQL with ``points`` customers a sequence."""
+    return sql.replace("c_custkey/120)", f"c_custkey/{points})").replace("c_custkey % 120 ", f"c_custkey % {points} ")
+
+
 FIXTURE_SQL = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in FIXTURE_CTES.items()) + "\nSELECT * FROM pts"
 
 
@@ -40,9 +49,9 @@ class Scene:
     truth: DataFrame
 
 
-def scene(spark: SparkSession, sf_dir: str, settle: bool = False) -> Scene:
-    """The fixture's tables; ``settle`` writes it first, for queries of many steps."""
-    pts = spark.sql(FIXTURE_SQL.replace("FROM customer", "FROM {customer}"), customer=read_table(spark, sf_dir, "customer"))
+def scene(spark: SparkSession, sf_dir: str, settle: bool = False, points: int = 120) -> Scene:
+    """The fixture's tables with sequences of ``points`` points; ``settle`` writes it first, for queries of many steps."""
+    pts = spark.sql(resized(FIXTURE_SQL, points).replace("FROM customer", "FROM {customer}"), customer=read_table(spark, sf_dir, "customer"))
     pts = materialize(pts) if settle else pts
     kind = F.when(F.col("o") == 0, "world_fixed").otherwise("co_moving")
     return Scene(

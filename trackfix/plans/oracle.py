@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from trackfix.plans.fixtures import FIXTURE_CTES
+from trackfix.plans.fixtures import FIXTURE_CTES, LARGE_POINTS, resized
 
 _W = "PARTITION BY seq_id, query ORDER BY frame"
 _KERNEL = [math.exp(-0.5 * (j / 2.0) ** 2) for j in range(-8, 9)]
@@ -252,3 +252,4 @@ _SELECTS = {
     "embedding_trajectories": "SELECT label AS seq_id, vec_id AS query, " + ", ".join(f"ROUND(median(embedding[3 * f + {i}]::DOUBLE), 6) + 0e0 AS p{c}" for i, c in enumerate("xyz", 1)) + " FROM embeddings, range(22) r(f) GROUP BY label, vec_id",
 }
 ORACLE: dict[str, str] = {name: compose(select) for name, select in _SELECTS.items()}
+ORACLE |= {f"{name}_large": resized(ORACLE[name], LARGE_POINTS) for name in ("direction_edges", "direction_edges_all_pairs", "knn_edges")}

@@ -9,7 +9,7 @@ from trackfix.config import RectifyConfig
 from trackfix.functions.scalars import rounded
 from trackfix.operators import correct, estimate, geometry, grouping, metrics, motion, neighbours, sampling, validate
 from trackfix.operators.budget import allocate_budget
-from trackfix.plans.fixtures import Scene, fragments, scene
+from trackfix.plans.fixtures import LARGE_POINTS, Scene, fragments, scene
 from trackfix.plans.rectify import rectify
 from trackfix.session import materialize, read_table
 from trackfix.sources import tables
@@ -152,12 +152,20 @@ def direction_edges(s: Scene) -> DataFrame:
 @query
 def direction_edges_all_pairs(s: Scene) -> DataFrame:
     """The direction graph of whole sequences without a neighbour limit."""
+    return _unlimited(s)
+
+
+def _unlimited(s: Scene) -> DataFrame:
     return grouping.direction_edges(_moving(s), motion.median_positions(s.points), RectifyConfig(direction_knn=None)).select("seq_id", "a", "b", *rounded("similarity"))
 
 
 @query
 def knn_edges(s: Scene) -> DataFrame:
     """The ten nearest points of every point of a sequence."""
+    return _nearest_ten(s)
+
+
+def _nearest_ten(s: Scene) -> DataFrame:
     return neighbours.nearest(motion.median_positions(s.points), ["seq_id"], 10).select("seq_id", "a", "b", "rank", *rounded("d2"))
 
 
@@ -414,4 +422,15 @@ def embedding_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.median_positions(pts).select("seq_id", "query", *rounded("px", "py", "pz"))
 
 
+def _of_large_sequences(name: str):
+    """The registered query ``name`` over sequences of 3,000 points, where limits of neighbours act."""
+    by_scene = {"direction_edges": lambda s: _edges(s).select("seq_id", "a", "b", *rounded("similarity")), "direction_edges_all_pairs": _unlimited, "knn_edges": _nearest_ten}[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return by_scene(scene(spark, sf_dir, settle=True, points=LARGE_POINTS))
+
+    return run
+
+
+QUERIES |= {f"{name}_large": _of_large_sequences(name) for name in ("direction_edges", "direction_edges_all_pairs", "knn_edges")}
 QUERIES |= {f.__name__: f for f in (rectify_supplied_groups, rectify_full, rectify_diagnostics, embedding_trajectories)}

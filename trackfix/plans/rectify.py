@@ -17,7 +17,7 @@ from trackfix.operators.metrics import changed_groups
 from trackfix.operators.motion import group_motion
 from trackfix.operators.sampling import candidate_cells, sample_anchors, sample_anchors_numpy
 from trackfix.operators.validate import validate_groups, validate_inputs
-from trackfix.session import materialize
+from trackfix.session import at_once, materialize
 
 
 @dataclass(frozen=True)
@@ -49,16 +49,22 @@ def rectify(
     independent and processed together.
     """
     cfg = cfg or RectifyConfig()
-    points, observations = materialize(points), materialize(observations)
+    points, observations, cameras = at_once(*[lambda t=t: materialize(t) for t in (points, observations, cameras)])
     if validate:
         validate_inputs(points, observations, cameras, cfg)
-    groups = materialize(validate_groups(groups, points)) if groups is not None else motion_groups(points, cfg)
-    stats = materialize(group_motion(points, observations, groups))
+    supplied = groups
+    groups, per_query = at_once(
+        lambda: motion_groups(points, cfg) if supplied is None else materialize(validate_groups(supplied, points)),
+        lambda: materialize(query_parallax(points, cameras)),
+    )
     n_queries = points.groupBy(SEQ).agg(F.countDistinct("query").alias("n_queries"))
-    budget = allocate_budget(stats, n_queries, cfg)
-    parallax = group_parallax(groups, query_parallax(points, cameras))
     sizes = groups.groupBy(SEQ, "group_id").agg(F.count(F.lit(1)).alias("members"))
-    forms = materialize(choose_forms(parallax, cfg).join(sizes, [SEQ, "group_id"]).where(~((F.col("form") == "scale_about_anchor") & (F.col("members") < 2))))
+    able = ~((F.col("form") == "scale_about_anchor") & (F.col("members") < 2))
+    stats, forms = at_once(
+        lambda: materialize(group_motion(points, observations, groups)),
+        lambda: materialize(choose_forms(group_parallax(groups, per_query), cfg).join(sizes, [SEQ, "group_id"]).where(able)),
+    )
+    budget = allocate_budget(stats, n_queries, cfg)
     if anchors is None:
         cells = candidate_cells(points, observations, groups, budget).join(forms.select(SEQ, "group_id"), [SEQ, "group_id"], "left_semi")
         anchors = {"hash": sample_anchors, "numpy": sample_anchors_numpy}[sampler](materialize(cells), seed)

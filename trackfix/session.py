@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_once(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Tables that don't depend on each other, their jobs submitted side by side; the first failure is raised.
+
+    Many small jobs wait for the driver rather than for executors; the scheduler shares these among the jobs.
+    """
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makers]]
+
+
 def join_sized(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = 50_000, row_bytes: int = 200
 ) -> DataFrame:
