@@ -18,6 +18,8 @@ AXES = ("px", "py", "pz")
 CELLS = tuple("at" + axis for axis in AXES)
 #: Bits of a box's number for each axis.
 BOX_BITS = 20
+#: Parts of up to so many points are one box, all pairs of which are compared.
+WHOLE = 512
 LOW, HIGH = tuple("lo" + axis for axis in AXES), tuple("hi" + axis for axis in AXES)
 
 
@@ -108,14 +110,17 @@ def meeting_boxes(placed: DataFrame, part: list[str], k: int | None = None) -> D
     return pairs
 
 
-def _searched(points: DataFrame, part: list[str], k: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Points ``(part..., k, AXES, box)`` in boxes of about a sixth of ``k``, and the boxes that meet.
+def _searched(points: DataFrame, part: list[str], k: int, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Points ``(part..., k, AXES, box)`` in boxes of about a sixth of ``k``, and the boxes that meet (None where parts are one box each).
 
     Parts of fewer than eight times ``k`` points are one box: all their pairs are fewer than the rest would be.
     """
     some = points.where(finite(*[F.col(c) for c in AXES])).select(*part, F.col(key).alias("k"), *AXES)
     size = F.col("size")
-    cuts = F.when(size < 8 * (k + 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cbrt(size / max(4, k // 6))))).cast("int")
+    cuts = F.when(size < max(WHOLE, 8 * (k + 1)), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cbrt(size / max(4, k // 6))))).cast("int")
+    largest = some.groupBy(*part).count().agg(F.max("count")).first()[0]
+    if (largest or 0) < max(WHOLE, 8 * (k + 1)):
+        return some.withColumn("box", F.lit(0).cast("long")), None
     placed = _slabs(some, part, cuts)
     return placed, meeting_boxes(placed, part, k)
 
@@ -124,10 +129,14 @@ def _owned(placed: DataFrame, part: list[str], name: str) -> DataFrame:
     return placed.select(*part, F.col("box").alias("box" + name), F.struct("k", *AXES).alias(name))
 
 
-def _in_core(placed: DataFrame, boxes: DataFrame, part: list[str]) -> DataFrame:
+def _in_core(placed: DataFrame, boxes: DataFrame | None, part: list[str]) -> DataFrame:
     """All pairs of a point and another of its box's core boxes."""
-    core = boxes.where("core").select(*part, F.col("a.box").alias("boxa"), F.col("b.box").alias("boxb"))
-    pairs = core.join(_owned(placed, part, "a"), [*part, "boxa"]).join(_owned(placed, part, "b"), [*part, "boxb"])
+    a, b = _owned(placed, part, "a"), _owned(placed, part, "b")
+    if boxes is None:
+        pairs = a.join(b, part)
+    else:
+        core = boxes.where("core").select(*part, F.col("a.box").alias("boxa"), F.col("b.box").alias("boxb"))
+        pairs = core.join(a, [*part, "boxa"]).join(b, [*part, "boxb"])
     return pairs.where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).select(*part, "a", "b", "d2", "boxa")
 
 
@@ -146,7 +155,7 @@ def compared(points: DataFrame, part: list[str], k: int, key: str = "query") ->
     """The two tables of pairs whose distances :func:`nearest` takes, for judging how many these are."""
     placed, boxes = _searched(points, part, k, key)
     first = _in_core(placed, boxes, part)
-    return first, _beyond(placed, boxes, part, _best(first, part, k), k)
+    return first, first.limit(0) if boxes is None else _beyond(placed, boxes, part, _best(first, part, k), k)
 
 
 def _best(pairs: DataFrame, part: list[str], k: int) -> DataFrame:
@@ -160,6 +169,8 @@ def nearest(points: DataFrame, part: list[str], k: int, key: str = "query") -> D
     within the distance of the k-th of these. Non-finite points have no neighbours.
     """
     placed, boxes = _searched(points, part, k, key)
+    if boxes is None:
+        return _best(_in_core(placed, None, part), part, k).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2", "rank")
     first = materialize(_best(_in_core(placed, boxes, part), part, k))
     beyond = _beyond(placed, boxes, part, first, k)
     inside = first.select(*part, "a", "b", "d2").unionByName(beyond.where(F.col("d2") <= F.col("reach")).select(*part, "a", "b", "d2"))

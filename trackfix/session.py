@@ -56,8 +56,10 @@ def at_once(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
 
     Many small jobs wait for the driver rather than for executors; the scheduler shares these among the jobs.
     """
+    spark = SparkSession.getActiveSession()
+    inherit = inheritable_thread_target(spark) if spark is not None else lambda f: f
     with ThreadPoolExecutor(len(makers)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makers]]
+        return [f.result() for f in [pool.submit(inherit(m)) for m in makers]]
 
 
 def join_sized(
