@@ -514,3 +514,28 @@ def test_npz_format_round_trip(spark, tmp_path):
     with pytest.raises(Exception, match="several tasks"):
         rows.repartitionByRange(4, "path", "frame").where("path <> 'seq-1' OR frame < 200").sortWithinPartitions("path").write.format("npz").mode("append").save(f"file://{tmp_path}/split")
     assert os.listdir(tmp_path) == ["out"]
+
+
+def test_stream_holds_a_sequence_until_it_is_complete(spark, tmp_path):
+    from trackfix.plans.rectify import rectify
+    from trackfix.streaming.sequences import rectify_stream
+
+    points, observations, cameras = to_tables(spark, *scene_a(1)[:4])[:3]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    last = points.agg({"frame": "max"}).first()[0]
+    parts = [points.where(f"frame <= {last // 3}"), points.where(f"frame > {last // 3} AND frame < {last - 1}"), points.where(f"frame >= {last - 1}"), points.where("frame = 0")]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{source}/{i}")
+    reader = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    stream = rectify_stream(reader, observations, cameras, out, str(tmp_path / "mark"), RectifyConfig(), seed=7)
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    keys = ["seq_id", "frame", "query"]
+    rows = lambda df: {(*r[:3], *[round(v, 9) for v in r[3:]]) for r in df.select(*keys, "x", "y", "z").collect()}
+    got = spark.read.parquet(out)
+    assert got.count() == points.count() and got.select("batch").distinct().count() == 1
+    assert rows(got) == rows(rectify(points, observations, cameras, RectifyConfig(), seed=7).corrected)
+    assert sum(spark.read.parquet(f"{out}/_late/batch={i}").count() for i in (1, 2, 3)) == parts[3].count()
+    assert sum(spark.read.parquet(f"{out}/_waiting/batch={i}").count() > 0 for i in range(4)) == 2
