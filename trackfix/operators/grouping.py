@@ -206,23 +206,20 @@ def _merge_small(small: dict[int, np.ndarray], middles: list[_Middle], least: in
     one left, so a sequence's parts are one task's work; a heap, whose entries are void once a part has grown,
     gives the smallest, and one array the distances of all centroids.
     """
-    small, alone = dict(small), []
-    centre = np.array([m.median() for m in middles]).reshape(-1, 3)
-    alive, into = np.ones(len(middles), bool), {i: [i] for i in range(len(middles))}
+    small, alone, into = dict(small), [], {i: [i] for i in range(len(middles))}
+    found = _Centroids(np.array([m.median() for m in middles]).reshape(-1, 3))
     heap = [(middles[i].n, i) for i in small]
     heapq.heapify(heap)
     while heap:
         size, i = heapq.heappop(heap)
-        if not alive[i] or middles[i].n != size:
+        if i not in small or middles[i].n != size:
             continue
-        alive[i], mine, own = False, small.pop(i), into.pop(i)
-        gap = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
-        gap[~alive | np.isnan(gap)] = np.inf
-        j = int(np.argmin(gap))
-        if gap[j] < factor * max(_scale(mine), 1e-6):
-            into[j] += own
+        mine = small.pop(i)
+        j, gap = found.take(i)
+        if gap < factor * max(_scale(mine), 1e-6):
+            into[j] += into.pop(i)
             middles[j].add(mine)
-            centre[j] = middles[j].median()
+            found.put(j, middles[j].median())
             if j in small:
                 small[j] = np.concatenate((small[j], mine))
                 if middles[j].n < least:
@@ -231,10 +228,43 @@ def _merge_small(small: dict[int, np.ndarray], middles: list[_Middle], least: in
                     del small[j]
         else:
             alone.append(i)
-            into[i] = own
     return alone, into
 
 
+class _Centroids:
+    """Centroids of parts by number; those taken lie at infinity, and go once they are half."""
+
+    def __init__(self, at: np.ndarray) -> None:
+        self.at = [np.where(np.isfinite(at).all(axis=1), at[:, i], np.inf) for i in range(3)]
+        self.part = np.arange(len(at))
+        self.place, self.taken = self.part.copy(), 0
+
+    def take(self, i: int) -> tuple[int, float]:
+        """Removes part ``i`` and returns the nearest other one, the lowest on ties, and its distance; infinite for none."""
+        p = self.place[i]
+        if p >= len(self.part) or self.part[p] != i:  # it had no finite centroid
+            return -1, math.inf
+        own = [float(c[p]) for c in self.at]
+        self.put(i, [math.inf] * 3)
+        self.taken += 1
+        if 2 * self.taken > len(self.part):  # what lies at infinity is never the nearest, and so never put anew
+            kept = np.isfinite(self.at[0])
+            self.part, self.at, self.taken = self.part[kept], [c[kept] for c in self.at], 0
+            self.place[self.part] = np.arange(len(self.part))
+        if not math.isfinite(own[0]) or not len(self.part):
+            return -1, math.inf
+        square = (self.at[0] - own[0]) ** 2
+        square += (self.at[1] - own[1]) ** 2
+        square += (self.at[2] - own[2]) ** 2
+        j = int(np.argmin(square))
+        return int(self.part[j]), math.sqrt(square[j])
+
+    def put(self, i: int, at: list[float]) -> None:
+        p = self.place[i]
+        for c, v in zip(self.at, at, strict=True):
+            c[p] = v if all(map(math.isfinite, at)) else math.inf
+
+
 def _absorb(parts: list[np.ndarray], xyz: np.ndarray, least: int, factor: float) -> tuple[list[tuple[int, np.ndarray]], dict[int, np.ndarray]]:
     """:func:`_merge_small` of parts given by their rows of ``xyz``; returns those alone, and the survivors, with their members."""
     alone, into = _merge_small({i: xyz[p] for i, p in enumerate(parts) if len(p) < least}, [_whole(xyz[p]) for p in parts], least, factor)
