@@ -401,3 +401,59 @@ def test_queries_match_their_sql(spark, name):
     got = QUERIES[full](spark, SF).toArrow().select(want.column_names)
     rows = lambda t: collections.Counter(map(str, (tuple(r.values()) for r in t.cast(pa.schema([(f.name, f.type) for f in t.schema])).to_pylist())))
     assert rows(got) == rows(want)
+
+
+def _plain_license_scan(texts, templates, threshold):
+    """The scan by words: every passage against every template, then every window that begins and ends in one."""
+    import re
+
+    word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+    grams = lambda ws: list(zip(ws, ws[1:], strict=False))
+    known = [(n, set(grams(word.findall(t.lower())))) for n, t in templates]
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    out = {}
+    for number, text in enumerate(texts):
+        parts = [ws for ws in (word.findall(p) for p in re.split(r"\n|(?<=[.!?]) ", text.lower())) if ws]
+        owner = [k for k, ws in enumerate(parts) for _ in ws]
+        all_grams = grams([w for ws in parts for w in ws])
+        claimed, at = [False] * len(all_grams), 0
+        for k, ws in enumerate(parts):
+            mine = set(grams(ws))
+            best = max(((dice(mine, b), n) for n, b in sorted(known, reverse=True) if mine and dice(mine, b) >= threshold), key=lambda x: x[0], default=None)
+            if best:
+                out[number, k, best[1]] = best[0]
+                claimed[at : at + len(ws) - 1] = [True] * (len(ws) - 1)
+            at += len(ws)
+        windows = []
+        for n, b in known:
+            inside = [i for i, g in enumerate(all_grams) if g in b]
+            for lo in inside:
+                reach = [(dice(set(all_grams[lo : hi + 1]), b), lo - hi, lo, hi, n) for hi in inside if hi >= lo]
+                if (top := max(reach, key=lambda w: w[:2]))[0] >= threshold:
+                    windows.append(top)
+        for d, _, lo, hi, n in sorted(windows, key=lambda w: (-w[0], w[1], w[4], w[2])):
+            if 2 * sum(claimed[lo : hi + 1]) <= hi + 1 - lo:
+                out.setdefault((number, owner[lo], n), d)
+                claimed[lo : hi + 1] = [True] * (hi + 1 - lo)
+    return sorted((*k, round(d, 12)) for k, d in out.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_windows_match_brute_force(seed):
+    import random
+
+    from trackfix.llm.license_scan import TEMPLATES, Templates
+
+    rng = random.Random(seed)
+    vocabulary = [w for _, t in TEMPLATES for w in t.split()] + ["plain", "other", "words"]
+    texts = []
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += rng.choices(vocabulary, k=rng.randint(0, 12))
+            cited = rng.choice(TEMPLATES)[1].split()
+            if rng.random() < 0.8:
+                words += [rng.choice(vocabulary) if rng.random() < 0.06 else w for w in cited if rng.random() > 0.04]
+        texts.append("".join(w + rng.choice([" ", " ", " ", " ", " ", "\n", ". "]) for w in words))
+    got = Templates(TEMPLATES, 0.8).scan(texts)
+    assert got and sorted((*k, round(d, 12)) for *k, d in got) == _plain_license_scan(texts, TEMPLATES, 0.8)
