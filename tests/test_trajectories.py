@@ -539,3 +539,19 @@ def test_stream_holds_a_sequence_until_it_is_complete(spark, tmp_path):
     assert rows(got) == rows(rectify(points, observations, cameras, RectifyConfig(), seed=7).corrected)
     assert sum(spark.read.parquet(f"{out}/_late/batch={i}").count() for i in (1, 2, 3)) == parts[3].count()
     assert sum(spark.read.parquet(f"{out}/_waiting/batch={i}").count() > 0 for i in range(4)) == 2
+
+
+def test_points_to_correct_are_shuffled_for_two_joins(spark):
+    from trackfix.operators.correct import apply_form
+
+    pred, truth, visible, centres, label = scene_a()
+    tables = to_tables(spark, pred, truth, visible, centres)
+    groups = spark.createDataFrame([(0, int(g), q) for q, g in enumerate(label)], "seq_id long, group_id int, query int")
+    anchors = spark.createDataFrame([(0, g, int(f), int(q), o) for g in range(3) for o, (f, q) in enumerate(np.argwhere(visible & (label == g))[:3])], "seq_id long, group_id int, frame int, query int, ord int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = apply_form(*tables, groups, anchors, "scale_about_camera_per_frame_translation")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 4, plan

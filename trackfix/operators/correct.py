@@ -56,16 +56,26 @@ def group_params(anchored: DataFrame, forms: DataFrame, points: DataFrame, obser
     return params, materialize(series)
 
 
-def scaled(cells: DataFrame, params: DataFrame, series: DataFrame, cameras: DataFrame) -> DataFrame:
+def params_by_frame(params: DataFrame, series: DataFrame, cameras: DataFrame, frames: DataFrame) -> DataFrame:
+    """Each group's parameters at each of ``frames`` (seq_id, frame) of its sequence, with the frame's scale and camera.
+
+    A group has a row per frame, not per point, so that what is corrected meets all of it in one join.
+    """
+    own = [*(c for c in params.columns if c in ("dx", "dy", "dz")), "mode", "shifts", "form", "alpha", "c0x", "c0y", "c0z", "s", "a0x", "a0y", "a0z", "t0x", "t0y", "t0z", "scale", "r", "tx", "ty", "tz"]
+    grid = params.select(*GROUP, *own).join(frames.select(SEQ, "frame").distinct(), SEQ)
+    return grid.join(series, [*GROUP, "frame"], "left").join(cameras.select(SEQ, "frame", "cx", "cy", "cz"), [SEQ, "frame"], "left")
+
+
+def scaled(cells: DataFrame, params: DataFrame) -> DataFrame:
     """``cells`` (keys and raw x, y, z, with group_id) with mode, shifts and sx, sy, sz: positions before the translation.
 
-    Cells without a group or a group's parameters keep their positions, and have no mode.
+    ``params`` are those by frame. Cells without a group or a group's parameters keep their positions, and have no mode.
 
     The camera form of per-frame scales applies the group's scale first and the frame's scale, estimated on
     raw positions as well, on top of it.
     """
-    own = [*(c for c in params.columns if c in ("dx", "dy", "dz")), "mode", "shifts", "form", "alpha", "c0x", "c0y", "c0z", "s", "a0x", "a0y", "a0z", "t0x", "t0y", "t0z", "scale", "r", "tx", "ty", "tz"]
-    both = cells.join(params.select(*GROUP, *own), GROUP, "left").join(series, [*GROUP, "frame"], "left").join(cameras, [SEQ, "frame"], "left")
+    both = cells.join(params, [*GROUP, "frame"], "left")
+    kept = [c for c in ("dx", "dy", "dz", "mode", "shifts") if c in params.columns]
     whole = {a: F.col("c0" + a) + F.col("alpha") * (F.col(a) - F.col("c0" + a)) for a in AXES}
     frame_scale = F.coalesce(F.when(~F.isnan("alpha_t"), F.col("alpha_t")), F.col("alpha"))
     framed = {a: F.col("c" + a) + frame_scale * (c - F.col("c" + a)) for a, c in whole.items()}
@@ -78,7 +88,7 @@ def scaled(cells: DataFrame, params: DataFrame, series: DataFrame, cameras: Data
         anchor = F.col("t0" + a) + F.col("s") * (F.col(a) - F.col("a0" + a))
         return F.when(F.col("mode") == "camera", camera).when(F.col("mode") == "anchor", anchor).when(F.col("mode") == "sim3", turned(i)).otherwise(F.col(a))
 
-    return both.select(*cells.columns, *[c for c in own if c in ("dx", "dy", "dz", "mode", "shifts")], *[position(i, a).alias("s" + a) for i, a in enumerate(AXES)])
+    return both.select(*cells.columns, *kept, *[position(i, a).alias("s" + a) for i, a in enumerate(AXES)])
 
 
 def apply_corrections(points: DataFrame, observations: DataFrame, cameras: DataFrame, groups: DataFrame, anchors: DataFrame, forms: DataFrame, cfg: RectifyConfig) -> DataFrame:
@@ -89,10 +99,11 @@ def apply_corrections(points: DataFrame, observations: DataFrame, cameras: DataF
     """
     anchored = est.anchor_points(anchors, points, observations)
     params, series = group_params(anchored, forms, points, observations, cameras, cfg)
-    at = scaled(anchored, params, series, cameras).where("shifts")
+    at = scaled(anchored, params_by_frame(params, series, cameras, anchored)).where("shifts")
     moved = at.select(*GROUP, *[F.col("s" + a).alias(a) for a in AXES], "gx", "gy", "gz")
-    shifted = materialize(params.join(est.group_translation(moved), GROUP, "left"))
-    new = scaled(points.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"], "left"), shifted, series, cameras)
+    shifted = params.join(est.group_translation(moved), GROUP, "left")
+    by_frame = materialize(params_by_frame(shifted, series, cameras, points))
+    new = scaled(points.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"], "left"), by_frame)
     place = {a: F.col("s" + a) + F.when(F.col("shifts"), F.coalesce("d" + a, F.lit(0.0))).otherwise(F.lit(0.0)) for a in AXES}
     return new.select(SEQ, "frame", "query", "visible", "group_id", *[F.coalesce(c, a).alias(a) for a, c in place.items()], F.col("mode").isNotNull().alias("moved"))
 
