@@ -42,24 +42,32 @@ def renumber(groups: DataFrame, order: list[str]) -> DataFrame:
     return groups.select(SEQ, *order, "group_type", "query").join(ids, [SEQ, *order]).select(SEQ, "group_id", "group_type", "query")
 
 
-def aligned_pairs(descriptors: DataFrame, threshold: float) -> DataFrame:
+def aligned_pairs(descriptors: DataFrame, threshold: float, least: int = 1) -> DataFrame:
     """``(seq_id, a, b)``, a < b, whose unit directions have a dot product of at least ``threshold`` at a common frame.
 
     A mean is no more than its largest term, so these are all pairs that can have a similarity of the
-    threshold. Directions of a frame are joined by grid cell; the side is the longest chord that the threshold
-    allows, so both ends lie in the same or neighbouring cells.
+    threshold; those with fewer than ``least`` common frames, which have none, are left out. Directions of a frame
+    are joined by grid cell; the side is the longest chord that the threshold allows, so both ends lie in the same
+    or neighbouring cells, and of two opposite neighbours one is looked into. Equal directions take little room in a
+    file, so the join is told to sort: by the files' size Spark would broadcast the table.
     """
-    step = descriptors.select(SEQ, "query", F.explode("desc").alias("d")).select(SEQ, "query", "d.frame", "d.dx", "d.dy", "d.dz")
+    frames = F.transform("desc", lambda d: d["frame"]).alias("frames")
+    step = descriptors.select(SEQ, "query", frames, F.explode("desc").alias("d")).select(SEQ, "query", "frames", "d.frame", "d.dx", "d.dy", "d.dz")
     side = math.sqrt(max(0.0, 2 - 2 * max(threshold, -1.0))) + 1e-4
     axes = ("dx", "dy", "dz")
     step = materialize(step.withColumns({"c" + c: F.floor(F.col(c) / side) for c in axes}))
-    around = F.expr("transform(sequence(0, 26), i -> named_struct('dx', i % 3 - 1, 'dy', (i div 3) % 3 - 1, 'dz', i div 9 - 1))")
+    # cell 13 is the point's own, cell 26 - i the opposite of cell i
+    ahead = F.expr("transform(sequence(13, 26), i -> named_struct('i', i, 'dx', i % 3 - 1, 'dy', (i div 3) % 3 - 1, 'dz', i div 9 - 1))")
     cells = ["c" + c for c in axes]
-    left = step.select(SEQ, "frame", F.col("query").alias("a"), *[F.col(c).alias("a" + c) for c in axes], *cells, F.explode(around).alias("o"))
-    left = left.select(SEQ, "frame", "a", *["a" + c for c in axes], *[(F.col("c" + c) + F.col(f"o.{c}")).alias("c" + c) for c in axes])
-    right = step.select(SEQ, "frame", F.col("query").alias("b"), *axes, *cells)
+    left = step.select(SEQ, "frame", F.col("query").alias("a"), F.col("frames").alias("af"), *[F.col(c).alias("a" + c) for c in axes], *cells, F.explode(ahead).alias("o"))
+    left = left.select(SEQ, "frame", "a", "af", *["a" + c for c in axes], (F.col("o.i") == 13).alias("own"), *[(F.col("c" + c) + F.col(f"o.{c}")).alias("c" + c) for c in axes])
+    right = step.select(SEQ, "frame", F.col("query").alias("b"), F.col("frames").alias("bf"), *axes, *cells)
     dot = sum((F.col("a" + c) * F.col(c) for c in axes), F.lit(0.0))
-    return left.join(right, [SEQ, "frame", *cells]).where((F.col("a") < F.col("b")) & (dot >= threshold - 1e-6)).select(SEQ, "a", "b").distinct()
+    once = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    common = F.aggregate("af", F.lit(0), lambda n, f: n + F.size(F.filter("bf", lambda g: g == f)))
+    near = left.join(right.hint("merge"), [SEQ, "frame", *cells]).where(once & (dot >= threshold - 1e-6))
+    near = near.where(common >= least) if least > 1 else near
+    return near.select(SEQ, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def direction_edges(descriptors: DataFrame, positions: DataFrame, cfg: RectifyConfig) -> DataFrame:
@@ -68,12 +76,12 @@ def direction_edges(descriptors: DataFrame, positions: DataFrame, cfg: RectifyCo
     Pairs are tried only where b is among the ``direction_knn`` nearest of a, so that an edge may be missing
     though a is near b. When that is None, every edge of a sequence is found: see ``aligned_pairs``.
     """
-    where = descriptors.select(SEQ, "query").join(positions, [SEQ, "query"])
+    where = descriptors.select(SEQ, "query").join(positions.hint("merge"), [SEQ, "query"])
     if cfg.direction_knn is None:
-        pairs = aligned_pairs(descriptors.join(where.select(SEQ, "query"), [SEQ, "query"]), cfg.direction_cos_threshold)
+        pairs = aligned_pairs(descriptors.join(where.select(SEQ, "query").hint("merge"), [SEQ, "query"]), cfg.direction_cos_threshold, cfg.min_co_visible_frames)
     else:
         pairs = nearest(where, [SEQ], cfg.direction_knn).where("a < b").select(SEQ, "a", "b")
-    side = lambda c: descriptors.select(SEQ, F.col("query").alias(c), F.col("desc").alias("d" + c))
+    side = lambda c: descriptors.select(SEQ, F.col("query").alias(c), F.col("desc").alias("d" + c)).hint("merge")
     judged = pairs.join(side("a"), [SEQ, "a"]).join(side("b"), [SEQ, "b"])
     similarity = direction_similarity(F.col("da"), F.col("db"), cfg.min_co_visible_frames)
     return judged.select(SEQ, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= cfg.direction_cos_threshold)
@@ -376,7 +384,7 @@ def motion_groups(points: DataFrame, cfg: RectifyConfig) -> DataFrame:
         lambda: materialize(world_fixed_points(points, cfg).select(SEQ, "query")),
         lambda: materialize(direction_descriptors(points, cfg)),
     )
-    moving = materialize(directed.join(fixed, [SEQ, "query"], "left_anti"))
+    moving = materialize(directed.join(fixed.hint("merge"), [SEQ, "query"], "left_anti"))
     groups = materialize(motion_clusters(fixed, moving, direction_edges(moving, positions, cfg), cfg))
     groups = materialize(spatial_split(groups, positions, cfg))
     groups = materialize(merge_fragments(groups, points, positions, cfg))

@@ -137,7 +137,7 @@ def group_parallax_form(s: Scene) -> DataFrame:
 
 def _moving(s: Scene) -> DataFrame:
     fixed = motion.world_fixed_points(s.points, CFG).select("seq_id", "query")
-    return materialize(motion.direction_descriptors(s.points, CFG).join(fixed, ["seq_id", "query"], "left_anti"))
+    return materialize(motion.direction_descriptors(s.points, CFG).join(fixed.hint("merge"), ["seq_id", "query"], "left_anti"))
 
 
 def _edges(s: Scene) -> DataFrame:
