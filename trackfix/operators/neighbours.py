@@ -8,17 +8,22 @@ points; for radius joins it is its largest radius.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackfix.functions.scalars import finite
-from trackfix.session import materialize
+from trackfix.session import join_sized, materialize
 
 AXES = ("px", "py", "pz")
 CELLS = tuple("at" + axis for axis in AXES)
 #: Bits of a box's number for each axis.
 BOX_BITS = 20
-#: Parts of up to so many points are one box, all pairs of which are compared.
+#: Parts of up to so many points are one box, all pairs of which are compared (by ``nearest`` in arrays, without a row per pair).
 WHOLE = 512
 LOW, HIGH = tuple("lo" + axis for axis in AXES), tuple("hi" + axis for axis in AXES)
 
@@ -162,15 +167,80 @@ def _best(pairs: DataFrame, part: list[str], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*part, "a.k").orderBy("d2", "b.k"))).where(F.col("rank") <= k)
 
 
+def _near_in_part(xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and squared distances of the ``k`` nearest other points of each point of a small part, ties by place."""
+    d2 = sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in range(len(AXES)))
+    np.fill_diagonal(d2, np.nan)  # sorted last
+    at = np.argsort(d2, axis=1, kind="stable")[:, : min(k, len(xyz) - 1)]
+    return at, np.take_along_axis(d2, at, axis=1)
+
+
+def _rank_parts(part: list[str], k: int):
+    """The neighbours in the parts of a task's rows, which come sorted by ``part`` and key; only one part is held over."""
+
+    def ranked(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        xyz = np.stack([rows.column(c).to_numpy() for c in AXES], axis=1)
+        a, b, d2, rank = [], [], [], []
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at, gap = _near_in_part(xyz[begin:end], k)
+            a.append(np.repeat(np.arange(begin, end), at.shape[1]))
+            b.append(at.ravel() + begin)
+            d2.append(gap.ravel())
+            rank.append(np.tile(np.arange(1, at.shape[1] + 1, dtype=np.int32), end - begin))
+        own, other = pa.array(np.concatenate(a)), pa.array(np.concatenate(b))
+        taken = [rows.column(c).take(own) for c in (*part, "k")] + [rows.column("k").take(other)]
+        arrays = [c.combine_chunks() for c in taken] + [pa.array(np.concatenate(d2)), pa.array(np.concatenate(rank))]
+        return pa.RecordBatch.from_arrays(arrays, names=[*part, "a", "b", "d2", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+            new = np.zeros(max(0, len(rows) - 1), bool)
+            for c in part:
+                column = rows.column(c)
+                new |= pc.not_equal(column.slice(1), column.slice(0, max(0, len(rows) - 1))).to_numpy()
+            cuts = np.append(0, np.flatnonzero(new) + 1)
+            held = rows.slice(cuts[-1]).to_batches()
+            if len(cuts) > 1:
+                yield ranked(rows, cuts)
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield ranked(rows, np.array([0, len(rows)]))
+
+    return run
+
+
+def _nearest_in_parts(points: DataFrame, part: list[str], k: int) -> DataFrame:
+    """:func:`nearest` for parts of few points, which arrays compare: nothing but the points is shuffled, and no row is made per pair."""
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join([*(f"{p} {kinds[p]}" for p in part), f"a {kinds['k']}", f"b {kinds['k']}", "d2 double", "rank int"])
+    dealt = points.select(*part, "k", *AXES).repartition(*part).sortWithinPartitions(*part, "k")
+    return dealt.mapInArrow(_rank_parts(part, k), schema)
+
+
 def nearest(points: DataFrame, part: list[str], k: int, key: str = "query") -> DataFrame:
     """``(part..., a, b, d2, rank)``: the ``k`` nearest other points of each point, ties by ``key``.
 
-    Points are compared with those of the nearest boxes that must hold ``k`` others, and then only with boxes
+    Points of a part of fewer than ``WHOLE`` points, or eight times ``k``, are compared with each other in arrays.
+    Others are compared with those of the nearest boxes that must hold ``k`` others, and then only with boxes
     within the distance of the k-th of these. Non-finite points have no neighbours.
     """
-    placed, boxes = _searched(points, part, k, key)
-    if boxes is None:
-        return _best(_in_core(placed, None, part), part, k).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2", "rank")
+    some = points.where(finite(*[F.col(c) for c in AXES])).select(*part, F.col(key).alias("k"), *AXES).dropna(subset=[*part, "k"])
+    some, bound = materialize(some), max(WHOLE, 8 * (k + 1))
+    sizes = some.groupBy(*part).count()
+    least, largest = sizes.agg(F.min("count"), F.max("count")).first()
+    if (largest or 0) < bound:
+        return _nearest_in_parts(some, part, k)
+    if least >= bound:
+        return _nearest_by_boxes(some, part, k)
+    large = materialize(sizes.where(F.col("count") >= bound).select(*part))
+    by_boxes = _nearest_by_boxes(join_sized(some, large, part, "left_semi"), part, k)
+    return by_boxes.unionByName(_nearest_in_parts(join_sized(some, large, part, "left_anti"), part, k))
+
+
+def _nearest_by_boxes(points: DataFrame, part: list[str], k: int) -> DataFrame:
+    placed, boxes = _searched(points, part, k, "k")
     first = materialize(_best(_in_core(placed, boxes, part), part, k))
     beyond = _beyond(placed, boxes, part, first, k)
     inside = first.select(*part, "a", "b", "d2").unionByName(beyond.where(F.col("d2") <= F.col("reach")).select(*part, "a", "b", "d2"))
