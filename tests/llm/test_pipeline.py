@@ -63,3 +63,19 @@ def test_run(spark):
     import corpus_pipeline as p
 
     assert p.run(spark, SF).count() > 100
+
+
+def test_workers_drop_what_other_stages_kept():
+    """A worker outlives its stage: its table of tokens serves tasks of packing, and goes with the next task of another kind."""
+    import pyarrow as pa
+
+    from trackfix.llm import best_fit_packing, dart_minhash
+    from trackfix.llm.hashing import KEPT
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
+    run = best_fit_packing._tokenize(path, 2048, 0)
+    first = list(run(iter([batch])))
+    table = KEPT[path]
+    assert list(run(iter([batch]))) == first and KEPT[path] is table
+    assert not list(dart_minhash._sketch(iter([]))) and not KEPT

@@ -17,19 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.llm.hashing import batches as slices
-from trackfix.llm.hashing import give_back
+from trackfix.llm.hashing import KEPT, give_back
 from trackfix.llm.token_ids import TokenTable
 from trackfix.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBERS = "array<struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long>>"
 
-_TABLES: dict[str, TokenTable] = {}
-
 
 def _tokenize(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TABLES[tokenizer] = _TABLES.get(tokenizer) or TokenTable(tokenizer)
+        table = KEPT[tokenizer] = KEPT.get(tokenizer) or TokenTable(tokenizer)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             docs, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
@@ -44,7 +42,7 @@ def _tokenize(tokenizer: str, capacity: int, end_id: int):
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        give_back()
+        give_back(keep=True)
 
     return run
 
@@ -86,6 +84,7 @@ def _pack(capacity: int, full: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         fill, members = [], []
         for batch in batches:
             fill += batch.column(0).to_pylist()

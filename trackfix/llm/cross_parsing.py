@@ -274,6 +274,7 @@ def _normal(text: str) -> str:
 
 def _predict(parser, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = parser.value
         for batch in batches:
             row = batch.column(0)

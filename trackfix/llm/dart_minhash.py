@@ -71,6 +71,7 @@ def signatures(key: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarr
 
 
 def _sketch(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches_in:
         texts = batch.column("text").to_pylist()
         for lo, hi in batches(texts):
@@ -154,6 +155,7 @@ def _exact_links(threshold: float):
                     parent[a] = b
                     out.append((begin + i, begin + j))
         ends = np.array(out, np.int64).reshape(-1, 2)
+        give_back()
         return pa.table({c: group.column("node").take(pa.array(ends[:, k])).combine_chunks() for k, c in enumerate("ab")})
 
     return links

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -58,9 +60,21 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def give_back() -> None:
-    """Return the memory that Arrow keeps for later; called at a task's end, as workers outlive their tasks."""
+#: What a worker keeps from one task for the next; tasks of another kind drop it.
+KEPT: dict[str, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back(keep: bool = False) -> None:
+    """Return the memory that Arrow and the allocator keep for later; called at a task's start or end, as workers outlive their tasks.
+
+    Without ``keep``, what other tasks left in ``KEPT`` goes as well.
+    """
+    if not keep:
+        KEPT.clear()
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def batches(texts: list[str | None], size: int = 1_000_000):
