@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackfix.functions.scalars import SEQ, above, finite, nan_median, norm3
-from trackfix.operators.medians import grouped_medians
+from trackfix.operators.medians import grouped_medians, largest_group
 
 GROUP = [SEQ, "group_id"]
 AXES = ("x", "y", "z")
@@ -64,7 +64,7 @@ def camera_scale(anchored: DataFrame, cameras: DataFrame) -> DataFrame:
     first = anchored.where("ord = 0").select(*GROUP, "frame").join(cameras, [SEQ, "frame"]).select(*GROUP, *[F.col("c" + a).alias("c0" + a) for a in AXES])
     keys = [*GROUP, *["c0" + a for a in AXES]]
     rows = anchored.join(first, GROUP).select(*keys, camera_ratio().alias("alpha"))
-    judged = grouped_medians(rows, keys, ["alpha"], [F.bool_and(all_finite(F.col("alpha"))).alias("ok")], total=anchored.count())
+    judged = grouped_medians(rows, keys, ["alpha"], [F.bool_and(all_finite(F.col("alpha"))).alias("ok")], largest=largest_group(anchored, GROUP))
     return judged.select(*keys, usable_scale(F.col("alpha"), F.col("ok")).alias("alpha"))
 
 
@@ -129,7 +129,7 @@ def group_translation(anchored: DataFrame) -> DataFrame:
     """``(seq_id, group_id, dx, dy, dz)``: median residual per axis; null where any residual isn't finite."""
     rows = anchored.select(*GROUP, *[(F.col("g" + a) - F.col(a)).alias("d" + a) for a in AXES])
     names = ["d" + a for a in AXES]
-    judged = grouped_medians(rows, GROUP, names, [F.bool_and(finite(*[F.col(n) for n in names])).alias("ok")], total=anchored.count())
+    judged = grouped_medians(rows, GROUP, names, [F.bool_and(finite(*[F.col(n) for n in names])).alias("ok")], largest=largest_group(anchored, GROUP))
     return judged.select(*GROUP, *[F.when(F.col("ok"), F.col(n)).alias(n) for n in names])
 
 

@@ -44,19 +44,22 @@ def _selected(rows: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
             return found
 
 
-def exact_medians(rows: DataFrame, by: list[str], columns: list[str], large: int = LARGE, total: int | None = None) -> DataFrame:
+def exact_medians(rows: DataFrame, by: list[str], columns: list[str], large: int = LARGE, total: int | None = None, largest: int | None = None) -> DataFrame:
     """``(by..., columns...)``: the median of each column in each group, as ``median`` gives it.
 
     Nulls don't count, NaN is the largest value, an even count gives the mean of the middle two, a group
     without values null. Groups of more than ``large`` rows are told by a count and selected by nested
     histograms, in state that is bounded whatever the group holds; at most ``total / large`` of them exist, which
     is what is broadcast. Null keys make no group. ``total``, where the caller knows a bound of the rows, spares
-    the count of a small table.
+    the count of a small table, and ``largest``, a bound of the largest group's, a pass over many small groups.
+    Other tables are written before they are read several times.
     """
     plain = lambda df: df.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns])
-    if (rows.count() if total is None else total) <= large:
+    if largest is not None and largest <= large or total is not None and total <= large:
         return plain(rows.dropna(subset=by))
-    known = rows.dropna(subset=by)
+    known = materialize(rows.dropna(subset=by).select(*by, *columns))
+    if known.count() <= large:
+        return plain(known)
     sizes = materialize(known.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), *[F.count(c).alias(c) for c in columns]).where(F.col("size") > large))
     if sizes.isEmpty():
         return plain(known)
@@ -73,18 +76,23 @@ def exact_medians(rows: DataFrame, by: list[str], columns: list[str], large: int
     return small.unionByName(sizes.select(*by).join(wide, by, "left"))
 
 
-def grouped_medians(rows: DataFrame, by: list[str], columns: list[str], others: list[Column], nan: bool = False, large: int = LARGE, total: int | None = None) -> DataFrame:
+def grouped_medians(rows: DataFrame, by: list[str], columns: list[str], others: list[Column], nan: bool = False, large: int = LARGE, total: int | None = None, largest: int | None = None) -> DataFrame:
     """:func:`exact_medians` beside the aggregates ``others``; with ``nan``, a NaN in a group makes its median NaN.
 
-    A small table is one aggregation.
+    A table that is small, or of groups that are (``largest`` bounds them), is one aggregation.
     """
-    total = rows.count() if total is None else total
+    total = rows.count() if total is None and largest is None else total
     flagged = {c: F.max(F.isnan(c)) for c in columns} if nan else {}
-    if total <= large:
+    if largest is not None and largest <= large or total is not None and total <= large:
         median = lambda c: F.when(flagged[c], F.lit(float("nan"))).otherwise(F.median(c)) if nan else F.median(c)
         return rows.groupBy(*by).agg(*[median(c).alias(c) for c in columns], *others)
     flags = [v.alias("nan_" + c) for c, v in flagged.items()]
-    both = rows.groupBy(*by).agg(*others, *flags).join(exact_medians(rows, by, columns, large, total), by, "left")
+    both = rows.groupBy(*by).agg(*others, *flags).join(exact_medians(rows, by, columns, large, total, largest), by, "left")
     out = both.withColumns({c: F.when(F.col("nan_" + c), F.lit(float("nan"))).otherwise(F.col(c)) for c in flagged})
     names = [c for c in both.columns if c not in by and c not in columns and not c.startswith("nan_")]
     return out.select(*by, *columns, *names)
+
+
+def largest_group(rows: DataFrame, by: list[str]) -> int:
+    """The size of the largest group, by a count that shuffles a row per group and task."""
+    return rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackfix.functions.scalars import SEQ, norm3
-from trackfix.operators.medians import grouped_medians
+from trackfix.operators.medians import grouped_medians, largest_group
 
 
 def median_error(points: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """Median distance of ``points`` (x, y, z) to ``truth`` (gx, gy, gz, and the columns ``by``).
 
-    A label may hold any number of cells: large groups' medians are selected by histograms.
+    A label may hold any number of cells: large groups' medians are selected by histograms. What ``truth`` has of
+    a label bounds its cells, so that the joined table is made once where no label is large.
     """
     d = norm3(*[F.col(a) - F.col("g" + a) for a in ("x", "y", "z")])
     keys = [SEQ, "frame", "query"]
     joined = points.select(*keys, "x", "y", "z").join(truth.select(*keys, "gx", "gy", "gz", *[c for c in by if c not in keys]), keys)
-    return grouped_medians(joined.withColumn("epe", d), by, ["epe"], [F.count(F.lit(1)).alias("cells")], total=truth.count())
+    return grouped_medians(joined.withColumn("epe", d), by, ["epe"], [F.count(F.lit(1)).alias("cells")], largest=largest_group(truth, by))
 
 
 def group_type_counts(groups: DataFrame) -> DataFrame:

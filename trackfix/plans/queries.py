@@ -380,10 +380,10 @@ def median_epe(s: Scene) -> DataFrame:
     """Median endpoint error of each object before and after a camera scale and translation from all observations."""
     cells = s.points.where("visible").join(s.observations, KEYS).join(s.groups, ["seq_id", "query"])
     order = F.row_number().over(Window.partitionBy("seq_id", "group_id").orderBy("frame", "query")) - 1
-    anchored = cells.withColumn("ord", order.cast("int"))
-    scale = estimate.camera_scale(anchored, s.cameras)
+    anchored = materialize(cells.withColumn("ord", order.cast("int")).select(*KEYS, "group_id", "ord", *"xyz", "gx", "gy", "gz"))
+    scale = materialize(estimate.camera_scale(anchored, s.cameras))
     place = lambda df: df.join(scale, ["seq_id", "group_id"]).withColumns({a: F.col("c0" + a) + F.col("alpha") * (F.col(a) - F.col("c0" + a)) for a in "xyz"})
-    shift = estimate.group_translation(place(anchored))
+    shift = materialize(estimate.group_translation(place(anchored)))
     moved = place(s.points.join(s.groups, ["seq_id", "query"])).join(shift, ["seq_id", "group_id"])
     moved = moved.withColumns({a: F.col(a) + F.col("d" + a) for a in "xyz"})
     before = metrics.median_error(s.points, s.truth, ["seq_id", "label"]).withColumnRenamed("epe", "epe_before")
