@@ -23,8 +23,12 @@ AXES = ("px", "py", "pz")
 CELLS = tuple("at" + axis for axis in AXES)
 #: Bits of a box's number for each axis.
 BOX_BITS = 20
-#: Parts of up to so many points are one box, all pairs of which are compared (by ``nearest`` in arrays, without a row per pair).
+#: Parts of up to so many points are one box, all pairs of which are compared.
 WHOLE = 512
+#: Parts of up to so many points ``nearest`` compares in arrays, without a row per pair; and so many pairs at a time.
+IN_ARRAYS, PAIRS_AT_ONCE = 4096, 1 << 20
+#: Points that a task compares in arrays.
+TASK_POINTS = 20_000
 LOW, HIGH = tuple("lo" + axis for axis in AXES), tuple("hi" + axis for axis in AXES)
 
 
@@ -99,10 +103,10 @@ def meeting_boxes(placed: DataFrame, part: list[str], k: int | None = None) -> D
         level = materialize(level.withColumn("up", up)) if depth else level.withColumn("up", up)
         side = lambda name, level=level: level.select(*part, F.col("up").alias("up" + name), F.struct(*fields).alias(name))
         if pairs is None:
-            both = side("a").join(side("b").drop("upb"), part).drop("upa")
+            both = side("a").join(side("b").drop("upb").hint("merge"), part).drop("upa")
         else:
-            half = pairs.select(*part, F.col("a.box").alias("upa"), "b", "reach").join(side("a"), [*part, "upa"]).where(_apart("a", "b") <= F.col("reach"))
-            both = half.select(*part, "a", F.col("b.box").alias("upb"), "reach").join(side("b"), [*part, "upb"]).where(_apart("a", "b") <= F.col("reach"))
+            half = pairs.select(*part, F.col("a.box").alias("upa"), "b", "reach").join(side("a").hint("merge"), [*part, "upa"]).where(_apart("a", "b") <= F.col("reach"))
+            both = half.select(*part, "a", F.col("b.box").alias("upb"), "reach").join(side("b").hint("merge"), [*part, "upb"]).where(_apart("a", "b") <= F.col("reach"))
         if k:
             near = Window.partitionBy(*part, "a.box").orderBy("across", "b.box")
             both = both.withColumn("across", _across("a", "b")).withColumn("upto", F.sum("b.n").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -141,7 +145,7 @@ def _in_core(placed: DataFrame, boxes: DataFrame | None, part: list[str]) -> Dat
         pairs = a.join(b, part)
     else:
         core = boxes.where("core").select(*part, F.col("a.box").alias("boxa"), F.col("b.box").alias("boxb"))
-        pairs = core.join(a, [*part, "boxa"]).join(b, [*part, "boxb"])
+        pairs = core.join(a.hint("merge"), [*part, "boxa"]).join(b.hint("merge"), [*part, "boxb"])
     return pairs.where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).select(*part, "a", "b", "d2", "boxa")
 
 
@@ -152,8 +156,8 @@ def _beyond(placed: DataFrame, boxes: DataFrame, part: list[str], first: DataFra
     widest = seeking.groupBy(*part, "boxa").agg(F.max("reach").alias("widest"))
     rest = boxes.where("NOT core").select(*part, F.col("a.box").alias("boxa"), "a", "b").join(widest, [*part, "boxa"]).where(_apart("a", "b") <= F.col("widest"))
     rest = rest.select(*part, "boxa", F.col("b.box").alias("boxb"), *[F.col("b." + c) for c in (*LOW, *HIGH)])
-    touched = rest.join(seeking, [*part, "boxa"]).where(_gap("a") <= F.col("reach")).select(*part, "boxb", "a", "reach")
-    return touched.join(_owned(placed, part, "b"), [*part, "boxb"]).where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).select(*part, "a", "b", "d2", "reach")
+    touched = rest.join(seeking.hint("merge"), [*part, "boxa"]).where(_gap("a") <= F.col("reach")).select(*part, "boxb", "a", "reach")
+    return touched.join(_owned(placed, part, "b").hint("merge"), [*part, "boxb"]).where(F.col("a.k") != F.col("b.k")).withColumn("d2", squared_distance()).select(*part, "a", "b", "d2", "reach")
 
 
 def compared(points: DataFrame, part: list[str], k: int, key: str = "query") -> tuple[DataFrame, DataFrame]:
@@ -169,10 +173,20 @@ def _best(pairs: DataFrame, part: list[str], k: int) -> DataFrame:
 
 def _near_in_part(xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and squared distances of the ``k`` nearest other points of each point of a small part, ties by place."""
-    d2 = sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in range(len(AXES)))
-    np.fill_diagonal(d2, np.nan)  # sorted last
-    at = np.argsort(d2, axis=1, kind="stable")[:, : min(k, len(xyz) - 1)]
-    return at, np.take_along_axis(d2, at, axis=1)
+    n, k = len(xyz), min(k, len(xyz) - 1)
+    if k <= 0:
+        return np.zeros((n, 0), np.int64), np.zeros((n, 0))
+    at, near, step = np.empty((n, k), np.int64), np.empty((n, k)), max(1, PAIRS_AT_ONCE // n)
+    for begin in range(0, n, step):
+        own = xyz[begin : begin + step]
+        d2 = sum((own[:, None, i] - xyz[None, :, i]) ** 2 for i in range(len(AXES)))
+        d2[np.arange(len(own)), np.arange(begin, begin + len(own))] = np.nan  # sorted last
+        row, place = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])  # those at the k-th distance all
+        gap = d2[row, place]
+        order = np.lexsort((place, gap, row))
+        first = np.searchsorted(row, np.arange(len(own)))[:, None] + np.arange(k)
+        at[begin : begin + step], near[begin : begin + step] = place[order][first], gap[order][first]
+    return at, near
 
 
 def _rank_parts(part: list[str], k: int):
@@ -211,32 +225,35 @@ def _rank_parts(part: list[str], k: int):
     return run
 
 
-def _nearest_in_parts(points: DataFrame, part: list[str], k: int) -> DataFrame:
-    """:func:`nearest` for parts of few points, which arrays compare: nothing but the points is shuffled, and no row is made per pair."""
+def _nearest_in_parts(points: DataFrame, part: list[str], k: int, rows: int) -> DataFrame:
+    """:func:`nearest` for parts of few points, which arrays compare: nothing but the points is shuffled, and no row is made per pair.
+
+    Tasks are counted by ``rows``: points are few bytes and much work, and by bytes would be put into too few tasks.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = ", ".join([*(f"{p} {kinds[p]}" for p in part), f"a {kinds['k']}", f"b {kinds['k']}", "d2 double", "rank int"])
-    dealt = points.select(*part, "k", *AXES).repartition(*part).sortWithinPartitions(*part, "k")
+    dealt = points.select(*part, "k", *AXES).repartition(-(-rows // TASK_POINTS) or 1, *part).sortWithinPartitions(*part, "k")
     return dealt.mapInArrow(_rank_parts(part, k), schema)
 
 
 def nearest(points: DataFrame, part: list[str], k: int, key: str = "query") -> DataFrame:
     """``(part..., a, b, d2, rank)``: the ``k`` nearest other points of each point, ties by ``key``.
 
-    Points of a part of fewer than ``WHOLE`` points, or eight times ``k``, are compared with each other in arrays.
+    Points of a part of fewer than ``IN_ARRAYS`` points, or eight times ``k``, are compared with each other in arrays.
     Others are compared with those of the nearest boxes that must hold ``k`` others, and then only with boxes
     within the distance of the k-th of these. Non-finite points have no neighbours.
     """
     some = points.where(finite(*[F.col(c) for c in AXES])).select(*part, F.col(key).alias("k"), *AXES).dropna(subset=[*part, "k"])
-    some, bound = materialize(some), max(WHOLE, 8 * (k + 1))
+    some, bound = materialize(some), max(IN_ARRAYS, 8 * (k + 1))
     sizes = some.groupBy(*part).count()
-    least, largest = sizes.agg(F.min("count"), F.max("count")).first()
+    least, largest, rows = sizes.agg(F.min("count"), F.max("count"), F.sum("count")).first()
     if (largest or 0) < bound:
-        return _nearest_in_parts(some, part, k)
+        return _nearest_in_parts(some, part, k, rows or 0)
     if least >= bound:
         return _nearest_by_boxes(some, part, k)
     large = materialize(sizes.where(F.col("count") >= bound).select(*part))
     by_boxes = _nearest_by_boxes(join_sized(some, large, part, "left_semi"), part, k)
-    return by_boxes.unionByName(_nearest_in_parts(join_sized(some, large, part, "left_anti"), part, k))
+    return by_boxes.unionByName(_nearest_in_parts(join_sized(some, large, part, "left_anti"), part, k, rows))
 
 
 def _nearest_by_boxes(points: DataFrame, part: list[str], k: int) -> DataFrame:
@@ -255,7 +272,7 @@ def touched_boxes(items: DataFrame, part: list[str], key: str, radius: str, leaf
     boxes = meeting_boxes(placed, part)
     boxes = boxes.select(*part, F.col("a.box").alias("boxa"), F.col("b.box").alias("box"), *[F.col("b." + c) for c in (*LOW, *HIGH)])
     seeking = placed.select(*part, F.col("box").alias("boxa"), F.struct("k", *AXES).alias("a"), F.col("r2").alias("reach"))
-    return placed, boxes.join(seeking, [*part, "boxa"]).where(_gap("a") <= F.col("reach")).select(*part, "box", "a", "reach")
+    return placed, boxes.join(seeking.hint("merge"), [*part, "boxa"]).where(_gap("a") <= F.col("reach")).select(*part, "box", "a", "reach")
 
 
 def radius_pairs(items: DataFrame, part: list[str], key: str, radius: str) -> DataFrame:
@@ -264,7 +281,7 @@ def radius_pairs(items: DataFrame, part: list[str], key: str, radius: str) -> Da
     Non-finite items and radii pair with nothing, nor do negative radii.
     """
     placed, touched = touched_boxes(items, part, key, radius)
-    pairs = touched.join(placed.select(*part, "box", F.struct("k", *AXES).alias("b")), [*part, "box"]).where(F.col("a.k") < F.col("b.k")).withColumn("d2", squared_distance())
+    pairs = touched.join(placed.select(*part, "box", F.struct("k", *AXES).alias("b")).hint("merge"), [*part, "box"]).where(F.col("a.k") < F.col("b.k")).withColumn("d2", squared_distance())
     return pairs.where(F.col("d2") <= F.col("reach")).select(*part, F.col("a.k").alias("a"), F.col("b.k").alias("b"), "d2")
 
 
