@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from trackfix.config import RectifyConfig
 from trackfix.functions.scalars import SEQ, finite
 from trackfix.operators.components import connected_components
-from trackfix.operators.medians import grouped_medians
+from trackfix.operators.medians import grouped_medians, largest_group
 from trackfix.operators.motion import direction_descriptors, direction_similarity, group_descriptors, median_positions, world_fixed_points
 from trackfix.operators.neighbours import AXES, nearest, radius_pairs
 from trackfix.session import at_once, materialize
 
 #: Queries of one sequence whose edges one task takes, as a power of two.
 RANGE_BITS = 17
+#: Sequences whose fragments one task absorbs.
+TASK_SEQUENCES = 64
 GROUP = "seq_id long, group_id int, group_type string, query int"
 
 
@@ -36,10 +38,14 @@ def keyed_components(edges: DataFrame, part: list[str]) -> DataFrame:
 
 
 def renumber(groups: DataFrame, order: list[str]) -> DataFrame:
-    """Groups told apart by ``order`` within a sequence get ids 0, 1, ... in that order."""
+    """Groups told apart by ``order`` within a sequence get ids 0, 1, ... in that order.
+
+    ``groups`` are written first, as they are read twice and mostly come from costly steps.
+    """
+    groups = materialize(groups.select(SEQ, *order, "group_type", "query"))
     rank = F.row_number().over(Window.partitionBy(SEQ).orderBy(*order)) - 1
     ids = groups.select(SEQ, *order).distinct().select(SEQ, *order, rank.cast("int").alias("group_id"))
-    return groups.select(SEQ, *order, "group_type", "query").join(ids, [SEQ, *order]).select(SEQ, "group_id", "group_type", "query")
+    return groups.join(ids.hint("merge"), [SEQ, *order]).select(SEQ, "group_id", "group_type", "query")
 
 
 def aligned_pairs(descriptors: DataFrame, threshold: float, least: int = 1) -> DataFrame:
@@ -93,7 +99,7 @@ def motion_clusters(fixed: DataFrame, descriptors: DataFrame, edges: DataFrame,
     Descriptors are keyed by query, so that points that stand still never shift those of others.
     """
     comps = keyed_components(edges, [SEQ])
-    member = descriptors.select(SEQ, "query").join(comps, [SEQ, "query"], "left").withColumn("component", F.coalesce("component", "query"))
+    member = descriptors.select(SEQ, "query").join(comps.hint("merge"), [SEQ, "query"], "left").withColumn("component", F.coalesce("component", "query"))
     size = F.count(F.lit(1)).over(Window.partitionBy(SEQ, "component"))
     kind = F.when(size >= cfg.min_group_size, "co_moving").otherwise("independent_dynamic")
     moving = member.select(SEQ, "query", kind.alias("group_type"), F.lit(1).alias("first"), F.col("component").cast("int").alias("second"))
@@ -108,9 +114,9 @@ def spatial_split(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig, k
         return groups
     size = F.count(F.lit(1)).over(Window.partitionBy(SEQ, "group_id"))
     sized = groups.withColumn("size", size)
-    large = sized.where((F.col("group_type") == kind) & (F.col("size") > cfg.min_group_size)).join(positions, [SEQ, "query"])
+    large = sized.where((F.col("group_type") == kind) & (F.col("size") > cfg.min_group_size)).join(positions.hint("merge"), [SEQ, "query"])
     parts = keyed_components(nearest(large, [SEQ, "group_id"], k), [SEQ, "group_id"]).withColumnRenamed("component", "part")
-    split = sized.join(parts, [SEQ, "group_id", "query"], "left")
+    split = sized.join(parts.hint("merge"), [SEQ, "group_id", "query"], "left")
     eligible = (F.col("group_type") == kind) & (F.col("size") > cfg.min_group_size)
     split = split.withColumn("part", F.when(eligible, F.coalesce("part", "query")).otherwise(F.lit(-1)).cast("int"))
     n = F.count(F.lit(1)).over(Window.partitionBy(SEQ, "group_id", "part"))
@@ -120,8 +126,12 @@ def spatial_split(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig, k
 
 def group_centroids(groups: DataFrame, positions: DataFrame) -> DataFrame:
     """Median position per axis and size of each group."""
-    member = groups.join(positions, [SEQ, "query"])
-    return grouped_medians(member, [SEQ, "group_id", "group_type"], list(AXES), [F.count(F.lit(1)).alias("size")], nan=True, total=groups.count())
+    return _centroids(materialize(groups.join(positions.hint("merge"), [SEQ, "query"])))
+
+
+def _centroids(member: DataFrame) -> DataFrame:
+    largest = largest_group(member, [SEQ, "group_id"])
+    return grouped_medians(member, [SEQ, "group_id", "group_type"], list(AXES), [F.count(F.lit(1)).alias("size")], nan=True, largest=largest)
 
 
 def fragment_scale(groups: DataFrame, positions: DataFrame) -> DataFrame:
@@ -130,10 +140,13 @@ def fragment_scale(groups: DataFrame, positions: DataFrame) -> DataFrame:
     1 for a group of one, with a non-finite member, or of equal points only; duplicates have distance 0 and
     don't count.
     """
-    member = groups.join(positions, [SEQ, "query"])
+    return _scales(materialize(groups.join(positions.hint("merge"), [SEQ, "query"])))
+
+
+def _scales(member: DataFrame) -> DataFrame:
     near = nearest(member, [SEQ, "group_id"], 1).where("d2 > 0").groupBy(SEQ, "group_id").agg(F.median(F.sqrt("d2")).alias("m"))
     whole = member.groupBy(SEQ, "group_id").agg(F.bool_and(finite(*[F.col(c) for c in AXES])).alias("ok"))
-    return whole.join(near, [SEQ, "group_id"], "left").select(SEQ, "group_id", F.coalesce(F.when(F.col("ok"), F.col("m")), F.lit(1.0)).alias("scale"))
+    return whole.join(near.hint("merge"), [SEQ, "group_id"], "left").select(SEQ, "group_id", F.coalesce(F.when(F.col("ok"), F.col("m")), F.lit(1.0)).alias("scale"))
 
 
 def fragment_pairs(groups: DataFrame, points: DataFrame, positions: DataFrame, cfg: RectifyConfig) -> tuple[DataFrame, DataFrame]:
@@ -143,10 +156,12 @@ def fragment_pairs(groups: DataFrame, points: DataFrame, positions: DataFrame, c
     """
     size = F.count(F.lit(1)).over(Window.partitionBy(SEQ, "group_id"))
     large = groups.withColumn("size", size).where((F.col("group_type") == "co_moving") & (F.col("size") >= cfg.merge_min_group_size))
-    desc = group_descriptors(points, large, cfg).where(F.size("desc") >= cfg.min_co_visible_frames)
-    members = large.drop("size").join(desc.select(SEQ, "group_id"), [SEQ, "group_id"])
+    large = materialize(large.drop("size"))
+    desc = materialize(group_descriptors(points, large, cfg).where(F.size("desc") >= cfg.min_co_visible_frames))
+    members = large.join(desc.select(SEQ, "group_id").hint("merge"), [SEQ, "group_id"])
+    members = materialize(members.join(positions.hint("merge"), [SEQ, "query"]))
     reach = (F.lit(cfg.merge_distance_factor) * F.greatest("scale", F.lit(1e-6))).alias("reach")
-    items = group_centroids(members, positions).join(fragment_scale(members, positions), [SEQ, "group_id"]).select(SEQ, "group_id", *AXES, "size", reach)
+    items = _centroids(members).join(_scales(members).hint("merge"), [SEQ, "group_id"]).select(SEQ, "group_id", *AXES, "size", reach)
     items = materialize(items)
     near = radius_pairs(items, [SEQ], "group_id", "reach")
     if cfg.merge_max_group_size is not None:
@@ -154,7 +169,7 @@ def fragment_pairs(groups: DataFrame, points: DataFrame, positions: DataFrame, c
         near = near.join(small("a"), [SEQ, "a"]).join(small("b"), [SEQ, "b"]).where((F.col("na") <= cfg.merge_max_group_size) | (F.col("nb") <= cfg.merge_max_group_size))
     side = lambda c: desc.select(SEQ, F.col("group_id").alias(c), F.col("desc").alias("d" + c))
     similarity = direction_similarity(F.col("da"), F.col("db"), cfg.min_co_visible_frames).alias("similarity")
-    alike = near.join(side("a"), [SEQ, "a"]).join(side("b"), [SEQ, "b"]).select(SEQ, "a", "b", similarity)
+    alike = near.join(side("a").hint("merge"), [SEQ, "a"]).join(side("b").hint("merge"), [SEQ, "b"]).select(SEQ, "a", "b", similarity)
     return items, alike.where(F.col("similarity") >= cfg.merge_direction_cos_threshold)
 
 
@@ -166,7 +181,7 @@ def merge_fragments(groups: DataFrame, points: DataFrame, positions: DataFrame,
     comps = keyed_components(pairs, [SEQ]).withColumnRenamed("query", "group_id")
     several = F.count(F.lit(1)).over(Window.partitionBy(SEQ)) >= 2
     able = items.withColumn("several", several).where("several").select(SEQ, "group_id", F.lit(0).alias("first"))
-    new = groups.join(able, [SEQ, "group_id"], "left").join(comps, [SEQ, "group_id"], "left")
+    new = groups.join(able.hint("merge"), [SEQ, "group_id"], "left").join(comps.hint("merge"), [SEQ, "group_id"], "left")
     new = new.withColumns({"first": F.coalesce("first", F.lit(1)), "second": F.coalesce("component", "group_id").cast("int")})
     return renumber(new, ["first", "second"])
 
@@ -345,10 +360,12 @@ def absorb_fragments(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig
         return pd.DataFrame({SEQ: pdf[SEQ], "old": pdf["group_id"], "group_id": order, "group_type": kind})
 
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
-    parts = _parts(member.where("any_small = 1").join(positions, [SEQ, "query"]))
-    moved = parts.groupBy(SEQ).applyInPandas(run, f"{SEQ} {kinds[SEQ]}, old {kinds['group_id']}, group_id {kinds['group_id']}, group_type string")
+    member = materialize(member)
+    parts = materialize(_parts(member.where("any_small = 1").join(positions.hint("merge"), [SEQ, "query"])))
+    tasks = -(-parts.agg(F.count_distinct(SEQ)).first()[0] // TASK_SEQUENCES) or 1  # few bytes, much work
+    moved = parts.repartition(tasks, SEQ).groupBy(SEQ).applyInPandas(run, f"{SEQ} {kinds[SEQ]}, old {kinds['group_id']}, group_id {kinds['group_id']}, group_type string")
     old = member.where("any_small = 1").select(SEQ, F.col("group_id").alias("old"), "query")
-    absorbed = old.join(moved, [SEQ, "old"]).select(SEQ, "group_id", "group_type", "query")
+    absorbed = old.join(moved.hint("merge"), [SEQ, "old"]).select(SEQ, "group_id", "group_type", "query")
     same = member.where("any_small = 0").select(SEQ, "group_id", "group_type", "query")
     changed = same.unionByName(absorbed).withColumn("part", F.lit(0 if world_fixed else 1))
     other = groups.where(~mine).select(SEQ, "group_id", "group_type", "query").withColumn("part", F.lit(1 if world_fixed else 0))
@@ -357,16 +374,16 @@ def absorb_fragments(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig
 
 def split_world_fixed(groups: DataFrame, positions: DataFrame, cfg: RectifyConfig) -> DataFrame:
     """Splits the world-fixed points in space and absorbs the small parts; non-finite ones stay whole."""
-    bad = groups.where("group_type = 'world_fixed'").join(positions, [SEQ, "query"]).where(~finite(*[F.col(c) for c in AXES])).select(SEQ).distinct()
+    bad = groups.where("group_type = 'world_fixed'").join(positions.hint("merge"), [SEQ, "query"]).where(~finite(*[F.col(c) for c in AXES])).select(SEQ).distinct()
     size = F.count(F.lit(1)).over(Window.partitionBy(SEQ, "group_id"))
     k = cfg.world_fixed_spatial_knn
     sized = groups.withColumn("size", size).join(bad.withColumn("bad", F.lit(True)), SEQ, "left")
     able = (F.col("group_type") == "world_fixed") & (F.col("size") >= cfg.min_group_size) & F.col("bad").isNull()
-    large = sized.where(able).join(positions, [SEQ, "query"])
+    large = sized.where(able).join(positions.hint("merge"), [SEQ, "query"])
     parts = keyed_components(nearest(large, [SEQ, "group_id"], k), [SEQ, "group_id"]).withColumnRenamed("component", "part") if k > 0 else None
     if parts is None:
         return groups
-    split = sized.join(parts, [SEQ, "group_id", "query"], "left").withColumn("part", F.when(able, F.coalesce("part", "query")).otherwise(F.lit(-1)).cast("int"))
+    split = sized.join(parts.hint("merge"), [SEQ, "group_id", "query"], "left").withColumn("part", F.when(able, F.coalesce("part", "query")).otherwise(F.lit(-1)).cast("int"))
     numbered = materialize(renumber(split.withColumnRenamed("group_id", "old"), ["old", "part"]))
     pieces = numbered.where("group_type = 'world_fixed'").select(SEQ, "group_id").distinct().groupBy(SEQ).count().where("count > 1").select(SEQ)
     several = numbered.join(pieces, SEQ, "left_semi")
