@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackfix.functions.scalars import SEQ, above, clip, norm3
-from trackfix.operators.medians import exact_medians
+from trackfix.operators.medians import exact_medians, largest_group
+from trackfix.session import materialize
 
 
 def rays(points: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -19,6 +20,8 @@ def rays(points: DataFrame, cameras: DataFrame) -> DataFrame:
 
 #: What rounding may take off a bound of dot products.
 SLACK = 1e-12
+#: Rays of a query of which all pairs are compared: with so few, cells cost more than they leave out.
+FEW_RAYS = 64
 RAY = ("rx", "ry", "rz")
 
 
@@ -61,17 +64,30 @@ def wide_pairs(cells: Column) -> Column:
 def query_parallax(points: DataFrame, cameras: DataFrame) -> DataFrame:
     """Largest angle between two rays of a query point, 0 with fewer than two, as ``(seq_id, query, parallax)``.
 
-    Only rays of cells that may be farthest apart are compared, in packed arrays, so that nothing is joined with
-    itself; the angle is taken once, being monotone in the dot product.
+    Of up to ``FEW_RAYS`` rays all pairs are compared, of more only those of cells that may be farthest apart, in packed
+    arrays; nothing is joined with itself, and the angle is taken once, being monotone in the dot product.
     """
-    packed = ray_cells(rays(points, cameras)).withColumn("pairs", wide_pairs(F.col("cells")))
+    directions = rays(points, cameras).groupBy(SEQ, "query").agg(F.collect_list(F.struct(*RAY)).alias("rays"))
+    directions = materialize(directions.withColumn("n", F.size("rays")))
+    one = directions.where(F.col("n") <= FEW_RAYS).select(SEQ, "query", "n", "rays", F.posexplode("rays").alias("i", "a"))
+    two = one.select(SEQ, "query", "n", "a", F.explode(F.slice("rays", F.col("i") + 1, F.col("n"))).alias("b"))
+    least = two.groupBy(SEQ, "query").agg(F.max("n").alias("n"), F.min(_dot(F.col("a"), F.col("b"))).alias("least"))
+    many = directions.where(F.col("n") > FEW_RAYS)
+    if not many.isEmpty():
+        least = least.unionByName(_least_of_cells(ray_cells(many.select(SEQ, "query", F.inline("rays")))))
+    angle = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.acos(clip(F.col("least"), -1.0, 1.0)))
+    everyone = points.select(SEQ, "query").distinct()
+    return everyone.join(least.select(SEQ, "query", angle.alias("parallax")), [SEQ, "query"], "left").select(SEQ, "query", F.coalesce("parallax", F.lit(0.0)).alias("parallax"))
+
+
+def _least_of_cells(cells: DataFrame) -> DataFrame:
+    """``(seq_id, query, n, least)``: number of rays and least dot product of two of them, from their ``cells``."""
+    packed = cells.withColumn("pairs", wide_pairs(F.col("cells")))
     least = F.array_min(F.transform("pairs", lambda p: F.array_min(F.transform(p["a"], lambda a: F.array_min(F.transform(p["b"], lambda b: _dot(a, b)))))))
     n = F.aggregate("cells", F.lit(0), lambda s, c: s + F.size(c["rays"]))
-    angle = F.when(n < 2, F.lit(0.0)).otherwise(F.acos(clip(least, -1.0, 1.0)))
-    everyone = points.select(SEQ, "query").distinct()
-    return everyone.join(packed.select(SEQ, "query", angle.alias("parallax")), [SEQ, "query"], "left").select(SEQ, "query", F.coalesce("parallax", F.lit(0.0)).alias("parallax"))
+    return packed.select(SEQ, "query", n.alias("n"), least.alias("least"))
 
 
 def group_parallax(groups: DataFrame, parallax: DataFrame) -> DataFrame:
     """Median parallax of each group's members."""
-    return exact_medians(groups.join(parallax, [SEQ, "query"]), [SEQ, "group_id", "group_type"], ["parallax"], total=groups.count())
+    return exact_medians(groups.join(parallax.hint("merge"), [SEQ, "query"]), [SEQ, "group_id", "group_type"], ["parallax"], largest=largest_group(groups, [SEQ, "group_id"]))
