@@ -34,5 +34,5 @@ def allocate_budget(stats: DataFrame, n_queries: DataFrame, cfg: RectifyConfig)
     more = won.groupBy(SEQ, "group_id").agg(F.count(F.lit(1)).alias("more"))
     k = F.coalesce("base", F.lit(0).cast("long")) + F.coalesce("more", F.lit(0).cast("long"))
     k = k if cfg.max_anchors_per_group is None else F.least(k, F.lit(cfg.max_anchors_per_group))
-    out = stats.select(SEQ, "group_id").join(extra.select(SEQ, "group_id", "base"), [SEQ, "group_id"], "left").join(more, [SEQ, "group_id"], "left")
+    out = stats.select(SEQ, "group_id").join(extra.select(SEQ, "group_id", "base").hint("merge"), [SEQ, "group_id"], "left").join(more.hint("merge"), [SEQ, "group_id"], "left")
     return out.select(SEQ, "group_id", k.cast("int").alias("k"))

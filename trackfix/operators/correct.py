@@ -63,7 +63,7 @@ def params_by_frame(params: DataFrame, series: DataFrame, cameras: DataFrame, fr
     """
     own = [*(c for c in params.columns if c in ("dx", "dy", "dz")), "mode", "shifts", "form", "alpha", "c0x", "c0y", "c0z", "s", "a0x", "a0y", "a0z", "t0x", "t0y", "t0z", "scale", "r", "tx", "ty", "tz"]
     grid = params.select(*GROUP, *own).join(frames.select(SEQ, "frame").distinct(), SEQ)
-    return grid.join(series, [*GROUP, "frame"], "left").join(cameras.select(SEQ, "frame", "cx", "cy", "cz"), [SEQ, "frame"], "left")
+    return grid.join(series.hint("merge"), [*GROUP, "frame"], "left").join(cameras.select(SEQ, "frame", "cx", "cy", "cz"), [SEQ, "frame"], "left")
 
 
 def scaled(cells: DataFrame, params: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def scaled(cells: DataFrame, params: DataFrame) -> DataFrame:
     The camera form of per-frame scales applies the group's scale first and the frame's scale, estimated on
     raw positions as well, on top of it.
     """
-    both = cells.join(params, [*GROUP, "frame"], "left")
+    both = cells.join(params.hint("merge"), [*GROUP, "frame"], "left")
     kept = [c for c in ("dx", "dy", "dz", "mode", "shifts") if c in params.columns]
     whole = {a: F.col("c0" + a) + F.col("alpha") * (F.col(a) - F.col("c0" + a)) for a in AXES}
     frame_scale = F.coalesce(F.when(~F.isnan("alpha_t"), F.col("alpha_t")), F.col("alpha"))
@@ -103,7 +103,7 @@ def apply_corrections(points: DataFrame, observations: DataFrame, cameras: DataF
     moved = at.select(*GROUP, *[F.col("s" + a).alias(a) for a in AXES], "gx", "gy", "gz")
     shifted = params.join(est.group_translation(moved), GROUP, "left")
     by_frame = materialize(params_by_frame(shifted, series, cameras, points))
-    new = scaled(points.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"], "left"), by_frame)
+    new = scaled(points.join(groups.select(SEQ, "query", "group_id").hint("merge"), [SEQ, "query"], "left"), by_frame)
     place = {a: F.col("s" + a) + F.when(F.col("shifts"), F.coalesce("d" + a, F.lit(0.0))).otherwise(F.lit(0.0)) for a in AXES}
     return new.select(SEQ, "frame", "query", "visible", "group_id", *[F.coalesce(c, a).alias(a) for a, c in place.items()], F.col("mode").isNotNull().alias("moved"))
 

@@ -21,7 +21,7 @@ MIN_RATIO, MIN_SCALE, MIN_SPREAD = 1e-3, 1e-8, 1e-12
 def anchor_points(anchors: DataFrame, points: DataFrame, observations: DataFrame) -> DataFrame:
     """Anchors with their predicted (x, y, z) and observed (gx, gy, gz) positions, ``ord`` kept."""
     keys = [SEQ, "frame", "query"]
-    return anchors.join(points.select(*keys, *AXES), keys).join(observations, keys, "left")
+    return anchors.join(points.select(*keys, *AXES), keys).join(observations.hint("merge"), keys, "left")
 
 
 def ratio(pred: list[Column], true: list[Column]) -> Column:
@@ -75,7 +75,7 @@ def per_frame_scale(anchored: DataFrame, points: DataFrame, observations: DataFr
     """
     keys = [SEQ, "frame", "query"]
     queries = anchored.select(*GROUP, "query").distinct()
-    cells = points.where("visible").select(*keys, *AXES).join(queries, [SEQ, "query"]).join(observations, keys).join(cameras, [SEQ, "frame"])
+    cells = points.where("visible").select(*keys, *AXES).join(queries, [SEQ, "query"]).join(observations.hint("merge"), keys).join(cameras, [SEQ, "frame"])
     centre = ("cx", "cy", "cz")
     r = ratio(_offsets(AXES, centre), _offsets(("gx", "gy", "gz"), centre))
     out = cells.withColumn("r", r).groupBy(*GROUP, "frame").agg(F.count(F.lit(1)).alias("cells"), F.count("r").alias("n"), median_scale(F.col("r")).alias("alpha"))

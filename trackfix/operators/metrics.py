@@ -43,5 +43,5 @@ def changed_groups(before: DataFrame, after: DataFrame, groups: DataFrame) -> Da
     b = before.select(*keys, *[F.col(a).alias("b" + a) for a in ("x", "y", "z")])
     d2 = sum(((F.col(a) - F.col("b" + a)) * (F.col(a) - F.col("b" + a)) for a in ("x", "y", "z")), F.lit(0.0))
     own = groups.select(SEQ, "query", F.col("group_id").alias("g"))
-    total = after.select(*keys, "x", "y", "z").join(b, keys).join(own, [SEQ, "query"]).groupBy(SEQ, F.col("g").alias("group_id")).agg(F.sqrt(F.sum(d2)).alias("change"))
+    total = after.select(*keys, "x", "y", "z").join(b, keys).join(own.hint("merge"), [SEQ, "query"]).groupBy(SEQ, F.col("g").alias("group_id")).agg(F.sqrt(F.sum(d2)).alias("change"))
     return total.where("change > 1e-6")

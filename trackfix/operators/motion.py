@@ -60,7 +60,7 @@ def group_descriptors(points: DataFrame, groups: DataFrame, cfg: RectifyConfig,
     w = Window.partitionBy(SEQ, "query").orderBy("frame")
     nxt = points.select(SEQ, "query", "frame", "visible", *XYZ, F.lead(F.struct("frame", "visible", *XYZ)).over(w).alias("n"))
     both = nxt.where(F.col("visible") & F.col("n.visible") & (F.col("n.frame") == F.col("frame") + 1))
-    members = both.join(groups.select(SEQ, "query", "group_id"), [SEQ, "query"])
+    members = both.join(groups.select(SEQ, "query", "group_id").hint("merge"), [SEQ, "query"])
     steps = members.groupBy(SEQ, "group_id", "frame").agg(
         F.count(F.lit(1)).alias("members"), *[(nan_median(F.col(f"n.{c}")) - nan_median(F.col(c))).alias("d" + c) for c in XYZ]
     )
@@ -80,12 +80,12 @@ def group_motion(points: DataFrame, observations: DataFrame, groups: DataFrame)
 
     A cell is observable when visible and observed; a step needs both of its frames.
     """
-    cells = points.where("visible").join(observations.select(SEQ, "frame", "query").distinct(), [SEQ, "frame", "query"])
+    cells = points.where("visible").join(observations.select(SEQ, "frame", "query").distinct().hint("merge"), [SEQ, "frame", "query"])
     w = Window.partitionBy(SEQ, "query").orderBy("frame")
     nxt = cells.select(SEQ, "query", "frame", *XYZ, F.lead(F.struct("frame", *XYZ)).over(w).alias("n"))
     length = F.when(F.col("n.frame") == F.col("frame") + 1, norm3(*[F.col(f"n.{c}") - F.col(c) for c in XYZ]))
     per_query = nxt.groupBy(SEQ, "query").agg(F.sum(length).alias("total"), F.count(length).alias("steps"))
     zero = F.lit(0.0)
-    return groups.join(per_query, [SEQ, "query"], "left").groupBy(SEQ, "group_id", "group_type").agg(
+    return groups.join(per_query.hint("merge"), [SEQ, "query"], "left").groupBy(SEQ, "group_id", "group_type").agg(
         F.count("steps").alias("size"), F.coalesce(F.try_divide(F.sum("total"), F.sum("steps")), zero).alias("motion")
     )

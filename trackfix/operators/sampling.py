@@ -20,10 +20,10 @@ def candidate_cells(points: DataFrame, observations: DataFrame, groups: DataFram
     ``place`` is a member's place in its group: the column ``ord`` of ``groups`` where there is one, else the query.
     """
     keys = [SEQ, "frame", "query"]
-    seen = points.where("visible").select(*keys).join(observations.select(*keys).distinct(), keys)
-    able = groups.where("group_type <> 'independent_dynamic'").join(budget.where("k > 0"), [SEQ, "group_id"])
+    seen = points.where("visible").select(*keys).join(observations.select(*keys).distinct().hint("merge"), keys)
+    able = groups.where("group_type <> 'independent_dynamic'").join(budget.where("k > 0").hint("merge"), [SEQ, "group_id"])
     place = F.col("ord" if "ord" in groups.columns else "query").alias("place")
-    return seen.join(able.select(SEQ, "group_id", "query", "k", place), [SEQ, "query"])
+    return seen.join(able.select(SEQ, "group_id", "query", "k", place).hint("merge"), [SEQ, "query"])
 
 
 def sample_anchors(cells: DataFrame, seed: int = 0, prefer_common_frame: bool = True) -> DataFrame:
@@ -39,7 +39,7 @@ def sample_anchors(cells: DataFrame, seed: int = 0, prefer_common_frame: bool =
     common = frames.groupBy(*group).agg(F.min_by("frame", F.struct(_draw(seed, SEQ, "group_id", "frame"), "frame")).alias("common"))
     if not prefer_common_frame:
         common = common.where(F.lit(False))
-    inside = cells.select(*group, "k", "query", "frame").join(common, group).where("frame = common").select(*group, "k", "query", "frame").distinct()
+    inside = cells.select(*group, "k", "query", "frame").hint("merge").join(common, group).where("frame = common").select(*group, "k", "query", "frame").distinct()
     scattered = queries.join(common, group, "left_anti").select(*group, "k", "query", F.col("own").alias("frame"))
     pool = inside.unionByName(scattered).withColumn("draw", _draw(seed, SEQ, "group_id", "query"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("draw", "query"))

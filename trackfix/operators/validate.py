@@ -41,7 +41,7 @@ def validation_report(points: DataFrame, observations: DataFrame, cameras: DataF
         "n_candidates": F.count_if(F.col("visible") & F.col("m")),
         "n_visible_nan": F.count_if(F.col("visible") & ~finite(F.col("x"), F.col("y"), F.col("z"))),
     }
-    cells = tallied(points.join(marked, keys, "left"), ["frame", "query"], counts).withColumnsRenamed({"n_frame": "n_frames", "n_query": "n_queries"})
+    cells = tallied(points.join(marked.hint("merge"), keys, "left"), ["frame", "query"], counts).withColumnsRenamed({"n_frame": "n_frames", "n_query": "n_queries"})
     c = ("cx", "cy", "cz")
     first = cameras.groupBy(SEQ).agg(*[F.min_by(n, "frame").alias(n + "0") for n in c])
     zero = F.lit(True)

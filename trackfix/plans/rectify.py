@@ -62,11 +62,12 @@ def rectify(
     able = ~((F.col("form") == "scale_about_anchor") & (F.col("members") < 2))
     stats, forms = at_once(
         lambda: materialize(group_motion(points, observations, groups)),
-        lambda: materialize(choose_forms(group_parallax(groups, per_query), cfg).join(sizes, [SEQ, "group_id"]).where(able)),
+        lambda: materialize(choose_forms(group_parallax(groups, per_query), cfg).join(sizes.hint("merge"), [SEQ, "group_id"]).where(able)),
     )
     budget = allocate_budget(stats, n_queries, cfg)
     if anchors is None:
-        cells = candidate_cells(points, observations, groups, budget).join(forms.select(SEQ, "group_id"), [SEQ, "group_id"], "left_semi")
+        able = budget.join(forms.select(SEQ, "group_id").hint("merge"), [SEQ, "group_id"], "left_semi")
+        cells = candidate_cells(points, observations, groups, able)
         anchors = {"hash": sample_anchors, "numpy": sample_anchors_numpy}[sampler](materialize(cells), seed)
     anchors = materialize(anchors)
     corrected = materialize(apply_corrections(points, observations, cameras, groups, anchors, forms, cfg))

@@ -68,11 +68,12 @@ def join_sized(
     """Join to a materialized ``right``: broadcast below a checked size, else a shuffled join.
 
     The check counts rows and the bytes of string columns, so what is broadcast is at most about
-    ``max_rows * row_bytes``; beyond that Spark's own join runs, whose hot keys adaptive execution splits.
+    ``max_rows * row_bytes``; beyond that the join sorts, its hot keys split by adaptive execution: left to itself, Spark
+    would go by the size of the files, which for repeated values is a small part of what they hold in memory.
     """
     strings = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in right.dtypes if kind == "string"]
     wide = sum(strings, F.lit(0)).cast("long")
     rows, size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0).cast("long"))).first()
     if rows <= max_rows and size <= max_rows * row_bytes:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+        return left.join(F.broadcast(right), on, how)
+    return left.join(right.hint("merge"), on, how)
