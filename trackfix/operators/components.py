@@ -16,6 +16,8 @@ from trackfix.session import materialize
 SALTS = 16
 #: Nodes that a task's stars hold before it starts others.
 FOREST_NODES = 500_000
+#: So many edges at most, left by all tasks' stars together, are joined by one task, which holds more of its own.
+FEW_EDGES = 200_000
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -77,7 +79,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, together: list[st
 
     First each task turns its edges into stars; ``together`` names columns by which edges are dealt out for
     that, where they mostly bound a component (a sequence and a range of its nodes, say), and mostly nothing is
-    left to do. Then each round every node points to the least node of its closed neighbourhood and the graph contracts
+    left to do. Without it, up to ``FEW_EDGES`` edges of stars are joined at once, which spares the jobs of the rounds. Else each round every node points to the least node of its closed neighbourhood and the graph contracts
     along the pointers, so that only edges between different groups remain. Even rounds order nodes by
     themselves (a star around its least node ends in one round), odd rounds by a hash of the round, under
     which long chains lose a constant share of their nodes. Rounds are written to the shared folder; no
@@ -90,6 +92,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, together: list[st
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (a != b))
     )
     level = materialize(level.mapInArrow(_stars, level.schema))
+    if not together and level.count() <= FEW_EDGES:
+        level = materialize(level.coalesce(1).mapInArrow(_stars, level.schema))
+        return level.select(b.alias("node"), a.alias("component")).union(level.select(a, a).distinct())
     if together:
         ends = level.select(a.alias("node"), F.lit(0).alias("leaf")).union(level.select(b, F.lit(1)))
         crossed = ends.groupBy("node").agg(F.sum("leaf").alias("stars"), F.min("leaf").alias("leaf")).where("stars > 1 OR (stars = 1 AND leaf = 0)")
