@@ -9,12 +9,19 @@ from trackfix.config import RectifyConfig
 from trackfix.functions.scalars import SEQ, above, clip, finite, nan_median, norm3
 
 XYZ = ("x", "y", "z")
+#: Rows of points whose medians one task takes.
+TASK_ROWS = 100_000
 
 
 def median_positions(points: DataFrame) -> DataFrame:
-    """Per query the median visible position per axis, else the position at the first frame."""
+    """Per query the median visible position per axis, else the position at the first frame.
+
+    Medians hold a task's rows until all are there, so rows are dealt out by point first, to tasks counted by rows:
+    Spark would count them by the size of files, which for regular motions is a small part of what the rows hold.
+    """
     seen = lambda n: F.when(F.col("visible"), F.col(n))
-    return points.groupBy(SEQ, "query").agg(*[F.coalesce(nan_median(seen(n)), F.min_by(n, "frame")).alias("p" + n) for n in XYZ])
+    dealt = points.select(SEQ, "query", "frame", "visible", *XYZ).repartition(-(-points.count() // TASK_ROWS) or 1, SEQ, "query")
+    return dealt.groupBy(SEQ, "query").agg(*[F.coalesce(nan_median(seen(n)), F.min_by(n, "frame")).alias("p" + n) for n in XYZ])
 
 
 def world_fixed_points(points: DataFrame, cfg: RectifyConfig) -> DataFrame:

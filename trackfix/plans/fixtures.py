@@ -28,6 +28,8 @@ FIXTURE_CTES = {
 }
 #: Points of a sequence of the scene of large sequences.
 LARGE_POINTS = 3000
+#: Customers whose trajectories one task writes.
+TASK_CUSTOMERS = 20_000
 
 
 def resized(sql: str, points: int) -> str:
@@ -50,8 +52,14 @@ class Scene:
 
 
 def scene(spark: SparkSession, sf_dir: str, settle: bool = False, points: int = 120) -> Scene:
-    """The fixture's tables with sequences of ``points`` points; ``settle`` writes it first, for queries of many steps."""
-    pts = spark.sql(resized(FIXTURE_SQL, points).replace("FROM customer", "FROM {customer}"), customer=read_table(spark, sf_dir, "customer"))
+    """The fixture's tables with sequences of ``points`` points; ``settle`` writes it first, for queries of many steps.
+
+    What is written is dealt out by customers: their file is small, so that Spark would give millions of points to one task.
+    """
+    customer = read_table(spark, sf_dir, "customer")
+    if settle:
+        customer = customer.select("c_custkey", "c_nationkey").repartition(-(-customer.count() // TASK_CUSTOMERS) or 1, "c_custkey")
+    pts = spark.sql(resized(FIXTURE_SQL, points).replace("FROM customer", "FROM {customer}"), customer=customer)
     pts = materialize(pts) if settle else pts
     kind = F.when(F.col("o") == 0, "world_fixed").otherwise("co_moving")
     return Scene(
