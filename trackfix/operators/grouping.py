@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
 import math
+import operator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackfix.config import RectifyConfig
@@ -21,6 +23,8 @@ from trackfix.session import at_once, materialize
 
 #: Queries of one sequence whose edges one task takes, as a power of two.
 RANGE_BITS = 17
+#: Directions in cells that one task joins.
+TASK_DIRECTIONS = 100_000
 #: Sequences whose fragments one task absorbs.
 TASK_SEQUENCES = 64
 GROUP = "seq_id long, group_id int, group_type string, query int"
@@ -48,32 +52,48 @@ def renumber(groups: DataFrame, order: list[str]) -> DataFrame:
     return groups.join(ids.hint("merge"), [SEQ, *order]).select(SEQ, "group_id", "group_type", "query")
 
 
-def aligned_pairs(descriptors: DataFrame, threshold: float, least: int = 1) -> DataFrame:
-    """``(seq_id, a, b)``, a < b, whose unit directions have a dot product of at least ``threshold`` at a common frame.
+def _aligned(descriptors: DataFrame, threshold: float, least: int) -> DataFrame:
+    """The pairs of :func:`aligned_pairs`, each once, as ``(seq_id, a, b, da, db)`` with both descriptors, whichever is whose.
 
-    A mean is no more than its largest term, so these are all pairs that can have a similarity of the
-    threshold; those with fewer than ``least`` common frames, which have none, are left out. Directions of a frame
-    are joined by grid cell; the side is the longest chord that the threshold allows, so both ends lie in the same
-    or neighbouring cells, and of two opposite neighbours one is looked into. Equal directions take little room in a
-    file, so the join is told to sort: by the files' size Spark would broadcast the table.
+    Directions of a frame are joined by grid cell; the side is the longest chord that the threshold allows, so both
+    ends lie in the same or neighbouring cells, and of two opposite neighbours one is looked into. A pair is kept at
+    the first frame where it meets, so that neither a distinct nor another join with the descriptors is needed. Equal
+    directions take little room in a file, by which Spark would broadcast the table or put millions of its rows into
+    one task: the join is told to sort, and its tasks are counted by rows.
     """
-    frames = F.transform("desc", lambda d: d["frame"]).alias("frames")
-    step = descriptors.select(SEQ, "query", frames, F.explode("desc").alias("d")).select(SEQ, "query", "frames", "d.frame", "d.dx", "d.dy", "d.dz")
+    step = descriptors.select(SEQ, "query", "desc", F.explode("desc").alias("d")).select(SEQ, "query", "desc", "d.frame", "d.dx", "d.dy", "d.dz")
     side = math.sqrt(max(0.0, 2 - 2 * max(threshold, -1.0))) + 1e-4
     axes = ("dx", "dy", "dz")
     step = materialize(step.withColumns({"c" + c: F.floor(F.col(c) / side) for c in axes}))
     # cell 13 is the point's own, cell 26 - i the opposite of cell i
     ahead = F.expr("transform(sequence(13, 26), i -> named_struct('i', i, 'dx', i % 3 - 1, 'dy', (i div 3) % 3 - 1, 'dz', i div 9 - 1))")
     cells = ["c" + c for c in axes]
-    left = step.select(SEQ, "frame", F.col("query").alias("a"), F.col("frames").alias("af"), *[F.col(c).alias("a" + c) for c in axes], *cells, F.explode(ahead).alias("o"))
-    left = left.select(SEQ, "frame", "a", "af", *["a" + c for c in axes], (F.col("o.i") == 13).alias("own"), *[(F.col("c" + c) + F.col(f"o.{c}")).alias("c" + c) for c in axes])
-    right = step.select(SEQ, "frame", F.col("query").alias("b"), F.col("frames").alias("bf"), *axes, *cells)
-    dot = sum((F.col("a" + c) * F.col(c) for c in axes), F.lit(0.0))
+    tasks = -(-14 * step.count() // TASK_DIRECTIONS) or 1
+    spread = step.repartition(-(-tasks // 4), SEQ, "query")  # each becomes 14 rows, which are held for the shuffle
+    left = spread.select(SEQ, "frame", F.col("query").alias("a"), F.col("desc").alias("da"), *[F.col(c).alias("a" + c) for c in axes], *cells, F.explode(ahead).alias("o"))
+    left = left.select(SEQ, "frame", "a", "da", *["a" + c for c in axes], (F.col("o.i") == 13).alias("own"), *[(F.col("c" + c) + F.col(f"o.{c}")).alias("c" + c) for c in axes])
+    right = step.select(SEQ, "frame", F.col("query").alias("b"), F.col("desc").alias("db"), *axes, *cells)
+    left, right = left.repartition(tasks, SEQ, "frame", *cells), right.repartition(tasks, SEQ, "frame", *cells)
+    alike = lambda p, q: sum((u * v for u, v in zip(p, q, strict=True)), F.lit(0.0)) >= threshold - 1e-6
     once = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    common = F.aggregate("af", F.lit(0), lambda n, f: n + F.size(F.filter("bf", lambda g: g == f)))
-    near = left.join(right.hint("merge"), [SEQ, "frame", *cells]).where(once & (dot >= threshold - 1e-6))
-    near = near.where(common >= least) if least > 1 else near
-    return near.select(SEQ, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = left.join(right.hint("merge"), [SEQ, "frame", *cells]).where(once & alike([F.col("a" + c) for c in axes], [F.col(c) for c in axes]))
+    near = near.where(F.size(F.array_intersect("da.frame", "db.frame")) >= least) if least > 1 else near
+
+    def met(p: Column, q: Column) -> Column:
+        beside = [F.abs(F.floor(p[c] / side) - F.floor(q[c] / side)) <= 1 for c in axes]
+        return functools.reduce(operator.and_, beside, (p["frame"] == q["frame"]) & alike([p[c] for c in axes], [q[c] for c in axes]))
+
+    before = F.exists("da", lambda p: (p["frame"] < F.col("frame")) & F.exists("db", lambda q: met(p, q)))
+    return near.where(~F.coalesce(before, F.lit(False))).select(SEQ, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "da", "db")
+
+
+def aligned_pairs(descriptors: DataFrame, threshold: float, least: int = 1) -> DataFrame:
+    """``(seq_id, a, b)``, a < b, whose unit directions have a dot product of at least ``threshold`` at a common frame.
+
+    A mean is no more than its largest term, so these are all pairs that can have a similarity of the
+    threshold; those with fewer than ``least`` common frames, which have none, are left out.
+    """
+    return _aligned(descriptors, threshold, least).select(SEQ, "a", "b")
 
 
 def direction_edges(descriptors: DataFrame, positions: DataFrame, cfg: RectifyConfig) -> DataFrame:
@@ -84,11 +104,12 @@ def direction_edges(descriptors: DataFrame, positions: DataFrame, cfg: RectifyCo
     """
     where = descriptors.select(SEQ, "query").join(positions.hint("merge"), [SEQ, "query"])
     if cfg.direction_knn is None:
-        pairs = aligned_pairs(descriptors.join(where.select(SEQ, "query").hint("merge"), [SEQ, "query"]), cfg.direction_cos_threshold, cfg.min_co_visible_frames)
+        placed = descriptors.join(where.select(SEQ, "query").hint("merge"), [SEQ, "query"])
+        judged = _aligned(placed, cfg.direction_cos_threshold, cfg.min_co_visible_frames)
     else:
         pairs = nearest(where, [SEQ], cfg.direction_knn).where("a < b").select(SEQ, "a", "b")
-    side = lambda c: descriptors.select(SEQ, F.col("query").alias(c), F.col("desc").alias("d" + c)).hint("merge")
-    judged = pairs.join(side("a"), [SEQ, "a"]).join(side("b"), [SEQ, "b"])
+        side = lambda c: descriptors.select(SEQ, F.col("query").alias(c), F.col("desc").alias("d" + c)).hint("merge")
+        judged = pairs.join(side("a"), [SEQ, "a"]).join(side("b"), [SEQ, "b"])
     similarity = direction_similarity(F.col("da"), F.col("db"), cfg.min_co_visible_frames)
     return judged.select(SEQ, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= cfg.direction_cos_threshold)
 

@@ -77,9 +77,11 @@ def group_descriptors(points: DataFrame, groups: DataFrame, cfg: RectifyConfig,
 def direction_similarity(a: Column, b: Column, least: int) -> Column:
     """Mean dot product of two descriptors over their common frames; null with fewer than ``least``."""
     dot = lambda p, q: p["dx"] * q["dx"] + p["dy"] * q["dy"] + p["dz"] * q["dz"]
-    dots = F.flatten(F.transform(a, lambda p: F.transform(F.filter(b, lambda q: q["frame"] == p["frame"]), lambda q: dot(p, q))))
-    mean = F.aggregate(dots, F.lit(0.0), lambda s, v: s + v) / F.size(dots)
-    return F.when(F.size(dots) >= F.greatest(F.lit(least), F.lit(1)), clip(mean, -1.0, 1.0))
+    none = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    more = lambda t, p, q: F.struct((t["total"] + dot(p, q)).alias("total"), (t["n"] + 1).alias("n"))
+    common = lambda t, p: F.aggregate(b, t, lambda u, q: F.when(q["frame"] == p["frame"], more(u, p, q)).otherwise(u))
+    mean = lambda t: F.when(t["n"] >= F.greatest(F.lit(least), F.lit(1)), clip(t["total"] / t["n"], -1.0, 1.0))
+    return F.aggregate(a, none, common, mean)
 
 
 def group_motion(points: DataFrame, observations: DataFrame, groups: DataFrame) -> DataFrame:
