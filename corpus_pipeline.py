@@ -19,8 +19,20 @@ from trackfix.llm.source_mixing import mixed_rows, whole_row
 from trackfix.session import join_sized, materialize, read_table, scratch_dir
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, where the session leaves Spark's 64 MB as they are.
+
+    A task of whole texts holds its batches several times, in the JVM and in Python. No result depends on
+    it; the setting stays, as a stage's rows are read after it returns.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents without a language: null texts and those without a letter."""
+    bound_batches(spark)
     return identify_languages(docs, keep_rows=True).where("lang_pred <> 'und'").select("row.*")
 
 
@@ -30,6 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document is a doc_id with a text: rows that repeat both leave one, rows of one doc_id with different
     texts are documents of their own and stay unless they are alike. Texts without words are like nothing.
     """
+    bound_batches(spark)
     named = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long")), "digest": F.xxhash64("text")}
     keyed = docs.select(whole_row(docs), *[c.alias(n) for n, c in named.items()])
     kept = near_duplicates(keyed.select(F.struct(*named).alias("doc_id"), F.col("row.text").alias("text"))).where("kept").select("doc_id.*")
@@ -42,6 +55,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with its secrets replaced by a mark."""
+    bound_batches(spark)
     return redact(docs)
 
 
@@ -54,6 +68,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Packs all documents into sequences of at most 2048 tokens."""
     import public_tokenizers
 
+    bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 

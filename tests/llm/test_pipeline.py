@@ -79,3 +79,33 @@ def test_workers_drop_what_other_stages_kept():
     table = KEPT[path]
     assert list(run(iter([batch]))) == first and KEPT[path] is table
     assert not list(dart_minhash._sketch(iter([]))) and not KEPT
+
+
+def test_memory_of_a_task_follows_its_characters():
+    """Short texts need as many darts as long ones, so a slice of them holds fewer."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from trackfix.llm import dart_minhash
+    from trackfix.llm.hashing import text_slices
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out, most
+
+    texts = [f"w{i} a b c d e f" for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(range(1500)), pa.array(texts)], names=["doc_id", "t", "text"])
+    found, most = peak(lambda: list(dart_minhash._sketch(iter([batch]))))
+    assert pa.Table.from_batches(found).column("doc_id").to_pylist() == list(range(1500)) and most < 120, most
+
+    rng = np.random.default_rng(1)
+    odd = [None if n == 7 else "é" * int(n) for n in rng.integers(0, 60, 300)]
+    batches = pa.table({"k": range(300), "text": odd}).to_batches(max_chunksize=70)
+    parts = list(text_slices(iter(batches), lambda b: b.column(1), size=100, each=10))
+    assert [t for _, some in parts for t in some] == odd and [k for b, _ in parts for k in b.column(0).to_pylist()] == list(range(300))
+    assert all(len(some) == 1 or sum(len(t or "") + 10 for t in some) <= 100 for _, some in parts)

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackfix.llm.hashing import batches as slices
-from trackfix.llm.hashing import KEPT, give_back
+from trackfix.llm.hashing import KEPT, give_back, text_slices
 from trackfix.llm.token_ids import TokenTable
 from trackfix.session import materialize
 
@@ -29,16 +28,15 @@ def _tokenize(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = KEPT[tokenizer] = KEPT.get(tokenizer) or TokenTable(tokenizer)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            docs, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
-            for lo, hi in slices(texts):
-                for doc, ids in zip(docs[lo:hi], table.encode(texts[lo:hi]), strict=True):
-                    ids = np.concatenate((ids, end)).astype("<u4", copy=False)
-                    total = len(ids)
-                    piece, begin, stop = 0, 0, total % capacity or min(total, capacity)
-                    while begin < total:
-                        rows.append((doc, piece, begin, stop - begin, zlib.crc32(ids[begin:stop])))
-                        piece, begin, stop = piece + 1, stop, stop + capacity
+        for some, texts in text_slices(batches, lambda b: b.column(1)):
+            rows = []
+            for doc, ids in zip(some.column(0).to_pylist(), table.encode([t or "" for t in texts]), strict=True):
+                ids = np.concatenate((ids, end)).astype("<u4", copy=False)
+                total = len(ids)
+                piece, begin, stop = 0, 0, total % capacity or min(total, capacity)
+                while begin < total:
+                    rows.append((doc, piece, begin, stop - begin, zlib.crc32(ids[begin:stop])))
+                    piece, begin, stop = piece + 1, stop, stop + capacity
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from trackfix.llm.hashing import batches as slices
-from trackfix.llm.hashing import give_back
+from trackfix.llm.hashing import give_back, text_slices
 
 #: Texts are parsed from so many places at once, which is put right where a phrase crosses one of them.
 BLOCK = 512
@@ -47,7 +46,8 @@ def training_sample(docs: DataFrame, per_language: int = 64, passage: int = 200,
     share = {r.lang: min(1.0, 4 * per_language / r.passages) for r in counts}
     drawn: list[tuple[str, str]] = []
     while share:
-        limits = docs.sparkSession.createDataFrame([(lang, _HIGH if v == 1 else _LOW + int(v * 2.0**64)) for lang, v in share.items()], "lang string, limit long")
+        bounds = [_HIGH if v == 1 else _LOW + int(v * 2.0**64) for v in share.values()]
+        limits = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(share), pa.string()), "limit": pa.array(bounds, pa.int64())}))  # a list of rows would start Python workers of another kind
         keyed = known.join(F.broadcast(limits), "lang").select("lang", "text", "limit", F.xxhash64("doc_id", "text").alias("row"))
         spots = F.filter(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("row", i) <= F.col("limit"))
         some = keyed.select("lang", "text", "row", F.explode(spots).alias("i"))
@@ -276,13 +276,9 @@ def _predict(parser, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         model = parser.value
-        for batch in batches:
-            row = batch.column(0)
-            texts, langs, scores = row.field("text").to_pylist(), [], []
-            for lo, hi in slices(texts):
-                lang, score = model.judge(texts[lo:hi])
-                langs += lang
-                scores += score.tolist()
+        for some, texts in text_slices(batches, lambda b: b.column(0).field("text")):
+            row = some.column(0)
+            langs, scores = model.judge(texts)
             yield pa.RecordBatch.from_arrays([row if keep else row.field("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row" if keep else "doc_id", "lang_pred", "score"])
         give_back()
 

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackfix.llm.hashing import batches, give_back, mix, salted
+from trackfix.llm.hashing import batches, give_back, mix, salted, text_slices
 from trackfix.llm.shingles import features
 from trackfix.operators.components import connected_components
 from trackfix.session import join_sized, materialize
 
 ROWS, BANDS = 7, 36
 K = ROWS * BANDS
+#: Characters whose shingles take as much memory as the darts of a text, which it needs however short it is.
+DARTS = 8000
 #: Of a Poisson variable of mean 1: P(count <= c), as thresholds of a uint64 hash.
 _POISSON = np.array([int(min(p, 1.0) * ((1 << 64) - 1)) for p in np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))], np.uint64)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -72,26 +74,24 @@ def signatures(key: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarr
 
 def _sketch(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
-    for batch in batches_in:
-        texts = batch.column("text").to_pylist()
-        for lo, hi in batches(texts):
-            key, owner = features(texts[lo:hi])
-            best, some = signatures(key, owner, hi - lo)
-            size = np.bincount(owner, minlength=hi - lo)
-            sums = []
-            for salt in (11, 12):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(salted(key, salt))))
-                end = np.cumsum(size)
-                sums.append((total[end] - total[end - size]).view(np.int64))
-            band = np.zeros((hi - lo, BANDS), np.uint64)
-            for r in range(ROWS):
-                band = mix(band + best[:, r::ROWS])
-            band = salted(band + np.arange(BANDS, dtype=np.uint64), 13).view(np.int64)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "t")), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(band[some].reshape(-1)))],
-                names=["doc_id", "t", "h1", "h2", "n_features", "bands"],
-            )
+    for batch, texts in text_slices(batches_in, lambda b: b.column("text"), each=DARTS):
+        key, owner = features(texts)
+        best, some = signatures(key, owner, len(texts))
+        size = np.bincount(owner, minlength=len(texts))
+        sums = []
+        for salt in (11, 12):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(salted(key, salt))))
+            end = np.cumsum(size)
+            sums.append((total[end] - total[end - size]).view(np.int64))
+        band = np.zeros((len(texts), BANDS), np.uint64)
+        for r in range(ROWS):
+            band = mix(band + best[:, r::ROWS])
+        band = salted(band + np.arange(BANDS, dtype=np.uint64), 13).view(np.int64)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "t")), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(band[some].reshape(-1)))],
+            names=["doc_id", "t", "h1", "h2", "n_features", "bands"],
+        )
     give_back()
 
 
@@ -108,6 +108,13 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct ones share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
+
 def _exact_links(threshold: float):
     """Links of one task's groups, as a spanning forest on top of what is known already.
 
@@ -129,7 +136,7 @@ def _exact_links(threshold: float):
             sets: list[np.ndarray] = []
             for lo, hi in batches(texts):
                 key, owner = features(texts[lo:hi])
-                sets += np.split(key, np.cumsum(np.bincount(owner, minlength=hi - lo))[:-1])
+                sets += [np.sort(s) for s in np.split(key, np.cumsum(np.bincount(owner, minlength=hi - lo))[:-1])]
             side, own, parent, first = sides[begin:end], bands[begin:end], list(range(end - begin)), {}
             for i, c in enumerate(known[begin:end].tolist()):
                 parent[i] = first.setdefault(c, i)
@@ -144,13 +151,11 @@ def _exact_links(threshold: float):
                 hit = same > 0
                 shared.append(np.stack((same[hit], np.full(hit.sum(), i), other[hit]), axis=1))
             pairs = np.concatenate(shared)
-            seen: dict[int, frozenset] = {}
-            as_set = lambda k: seen.get(k) or seen.setdefault(k, frozenset(sets[k].tolist()))  # noqa: B023, E731
             for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
                 a, b = _find(parent, i), _find(parent, j)
                 if a == b:
                     continue
-                common = len(as_set(i) & as_set(j))
+                common = _common(sets[i], sets[j])
                 if common >= threshold * (len(sets[i]) + len(sets[j]) - common):
                     parent[a] = b
                     out.append((begin + i, begin + j))

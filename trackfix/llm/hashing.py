@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -77,14 +79,30 @@ def give_back(keep: bool = False) -> None:
         _TRIM(0)
 
 
-def batches(texts: list[str | None], size: int = 1_000_000):
-    """Slices of consecutive texts of about ``size`` characters in all; a longer text comes alone."""
+def _slices(lengths: list[int], size: int, each: int) -> Iterator[tuple[int, int]]:
     begin, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > begin and total + n > size:
+    for i, n in enumerate(lengths):
+        if i > begin and total + n + each > size:
             yield begin, i
             begin, total = i, 0
-        total += n
-    if begin < len(texts):
-        yield begin, len(texts)
+        total += n + each
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def batches(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Slices of consecutive texts of about ``size`` characters in all; a longer text comes alone."""
+    return _slices([len(t) if t else 0 for t in texts], size, 0)
+
+
+def text_slices(batches_in: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], size: int = 1_000_000, each: int = 0) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of record batches, in order, with their texts as strings, which are made for one slice at a time.
+
+    A slice's texts are of about ``size`` characters in all, each counting as ``each`` more; a longer text comes
+    alone. Of the batches only the one at hand is held.
+    """
+    for batch in batches_in:
+        column = text(batch)
+        for lo, hi in _slices(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), size, each):
+            yield batch.slice(lo, hi - lo), column.slice(lo, hi - lo).to_pylist()
+        del batch, column
